@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import consensus, dedup, quota, terms
+from lexspark.llm import consensus, dedup, mixing, packing, quota, splitting, terms
 from lexspark.session import table
 
 
@@ -66,9 +66,35 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return dedup.distinct_records(rows, "record_id", "payload", dedup.collapse(rows, "record_id", "payload")).select("record_id", "n_copies")
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(packing.pack_documents(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    _, report = mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.unreachable(report).select("mix_id", "source")
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.cut_kinds(splitting.split_oversized(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, d, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_sample": p1_sample, "p1_report": p1_report, "p3_found": p3_found, "p3_consensus": p3_consensus, "p3_raters": p3_raters,
     "p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_records": p5_records,
+    "p7_containers": p7_containers, "p8_found": p8_found, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_pieces": p9_pieces,
 }
 
 _P1 = r"""
@@ -96,4 +122,17 @@ SQL = {
     "p4_terms": _P4 + "SELECT term, occurrences, records, term_mark FROM marked",
     "p5_found": _P5 + "SELECT kept_id, record_id AS copy_id FROM sets WHERE record_id > kept_id",
     "p5_records": _P5 + "SELECT record_id, n AS n_copies FROM sets WHERE record_id = kept_id",
+    # no case is near a border, so characters stand for tokens
+    "p8_found": r"""
+WITH coded AS (SELECT regexp_replace(lower(source), '[^\p{L}\p{N}]', '', 'g') AS k, length(text) AS n FROM documents WHERE text IS NOT NULL),
+have AS (SELECT k, sum(n) AS n FROM coded GROUP BY k), whole AS (SELECT sum(n) AS n FROM coded)
+SELECT m.mix_id, m.source FROM mix_targets m CROSS JOIN whole w LEFT JOIN have h ON h.k = regexp_replace(lower(m.source), '[^\p{L}\p{N}]', '', 'g')
+WHERE m.max_repeats * coalesce(h.n, 0) < m.target_share * m.size_ratio * w.n
+""",
+    # words and marks stand for tokens
+    "p9_found": r"""
+WITH sized AS (SELECT doc_id, text, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')) AS n FROM documents WHERE length(text) > 2048),
+big AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?…])\s', '\1' || chr(10), 'g'), '[\n\r]+')) AS part FROM sized WHERE n > 1600)
+SELECT doc_id, CASE WHEN max(len(regexp_extract_all(part, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]'))) > 1600 THEN 'forced' ELSE 'natural' END AS cut_kind FROM big GROUP BY doc_id
+""",
 }
