@@ -19,7 +19,7 @@ def cosine(a: Column, b: Column, clamp: bool = True) -> Column:
     lengths differ."""
     norm = F.sqrt(dot(a, a) * dot(b, b))
     c = dot(a, b) / F.when(norm > 0, norm)
-    return F.greatest(c, F.lit(0.0)) if clamp else c
+    return F.when(c.isNotNull(), F.greatest(c, F.lit(0.0))) if clamp else c
 
 
 def pairwise_mean(df: DataFrame, group: str, id: str, vector: str, clamp: bool = True, block: int = 512) -> DataFrame:

@@ -295,7 +295,7 @@ def fan_out_join(spark: SparkSession, d: str) -> DataFrame:
     p = base.pool(spark, d)
     sample = table(spark, d, "sq3_anchors").unionByName(p.groupBy("target", "response").agg(F.min("pair_id").alias("pair_id")))
     out = agreement.fan_out(p.withColumnsRenamed({"target": "gold", "response": "raw_response"}), sample)
-    return rounded(out.groupBy("pair_id").agg(F.count("*").alias("n"), F.avg("cosine_sim").alias("mean_cosine")))
+    return rounded(out.groupBy("pair_id").agg(F.count("*").alias("n"), F.avg("cosine_sim").alias("mean_cosine")), 9)
 
 
 # --- agreement and statistics
@@ -492,10 +492,10 @@ answers AS (SELECT pair_id, target AS gold, response, participant_id, diagnosis,
   CASE WHEN e THEN 1.0 WHEN normalized IS NULL THEN 0.0 ELSE greatest(coalesce(cosine_sim, 0.0), 0.0) END::DOUBLE AS cosine_sim, e::INT AS binary_score
   FROM (SELECT *, coalesce(normalized = target OR string_split_regex(normalized, '\\s+')[-1] = target, false) AS e FROM norm))"""
 _COS = "list_sum(list_transform(list_zip(a, b), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / sqrt(list_sum(list_transform(a, lambda p: p::DOUBLE * p)) * list_sum(list_transform(b, lambda p: p::DOUBLE * p)))"
-_SIMS = f"sims AS (SELECT label, vec_id, pos, greatest({_COS}, 0.0) AS sim FROM (SELECT label, vec_id, row_number() OVER w - 1 AS pos, lag(embedding) OVER w AS a, embedding AS b FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)))"
+_SIMS = f"sims AS (SELECT label, vec_id, pos, CASE WHEN a IS NOT NULL THEN greatest({_COS}, 0.0) END AS sim FROM (SELECT label, vec_id, row_number() OVER w - 1 AS pos, lag(embedding) OVER w AS a, embedding AS b FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)))"
 _MOCK = "list_transform(range(16), lambda i: ('0x' || substr(md5(word || '#' || i), 1, 6))::BIGINT / 16777216.0::DOUBLE - 0.5::DOUBLE)"
 _WORD_SIMS = f"""{base.WORDS}, dim AS (SELECT word, {_MOCK} AS e FROM (SELECT DISTINCT word FROM words)),
-wsims AS (SELECT participant_id, pos, word, greatest({_COS}, 0.0) AS sim FROM (SELECT participant_id, pos, word, lag(e) OVER (PARTITION BY participant_id ORDER BY pos) AS a, e AS b FROM words JOIN dim USING (word)))"""
+wsims AS (SELECT participant_id, pos, word, CASE WHEN a IS NOT NULL THEN greatest({_COS}, 0.0) END AS sim FROM (SELECT participant_id, pos, word, lag(e) OVER (PARTITION BY participant_id ORDER BY pos) AS a, e AS b FROM words JOIN dim USING (word)))"""
 
 
 def _profile_sql(sims: str, by: str) -> str:
@@ -613,7 +613,7 @@ SELECT participant_id, count(*) AS cluster_count_total, count(*) - count(DISTINC
     "cross_test_summary": "SELECT test_code, count(*) AS n_entries, count(DISTINCT participant_id) AS n_participants FROM meta_entries GROUP BY 1 UNION ALL SELECT 'svf lists', count(*), count(DISTINCT participant_id) FROM svf_participant",
     "quartile_assign": f"WITH {base.POOL}, q AS (SELECT quantile_cont(cosine_sim::DOUBLE, [0.25, 0.5, 0.75]) AS e FROM pool) SELECT CASE WHEN cosine_sim <= e[1] THEN 0 WHEN cosine_sim <= e[2] THEN 1 WHEN cosine_sim <= e[3] THEN 2 WHEN cosine_sim IS NOT NULL THEN 3 END AS quartile, count(*) AS n, min(cosine_sim) AS lo, max(cosine_sim) AS hi FROM pool, q GROUP BY 1",
     "semi_anti_split": f"WITH {base.CURRENT}, {base.POOL} SELECT pair_id, target, CASE WHEN pair_id IN (SELECT pair_id FROM current) THEN 'rated' ELSE 'unrated' END AS part FROM pool",
-    "fan_out_join": rounded_sql(f"WITH {base.POOL}, s AS (SELECT pair_id, target, response FROM sq3_anchors UNION ALL SELECT min(pair_id), target, response FROM pool GROUP BY target, response)\nSELECT s.pair_id, count(*) AS n, avg(cosine_sim) AS mean_cosine FROM s JOIN pool p ON s.target = p.target AND s.response = p.response GROUP BY s.pair_id", "mean_cosine", "pair_id n"),
+    "fan_out_join": rounded_sql(f"WITH {base.POOL}, s AS (SELECT pair_id, target, response FROM sq3_anchors UNION ALL SELECT min(pair_id), target, response FROM pool GROUP BY target, response)\nSELECT s.pair_id, count(*) AS n, avg(cosine_sim) AS mean_cosine FROM s JOIN pool p ON s.target = p.target AND s.response = p.response GROUP BY s.pair_id", "mean_cosine", "pair_id n", 9),
     "test_retest": rounded_sql(f"""WITH {_RELIABLE}, ok AS (SELECT * FROM ab), r AS (SELECT rank() OVER (ORDER BY ra) + (count(*) OVER (PARTITION BY ra) - 1) / 2.0 AS x, rank() OVER (ORDER BY rb) + (count(*) OVER (PARTITION BY rb) - 1) / 2.0 AS y FROM ok)
 SELECT *, {_FLAG} FROM (SELECT count(*) AS n_pairs, {_KW} AS weighted_kappa, (SELECT corr(x, y) FROM r) AS spearman_rho, {_kappa_sql('ca', 'cb')} AS category_kappa, {_kappa_sql('ia', 'ib')} AS compound_kappa FROM ab)""", "weighted_kappa spearman_rho category_kappa compound_kappa", "n_pairs interpretability"),
     "test_retest_by_rater": rounded_sql(f"WITH {_RELIABLE}\nSELECT *, {_FLAG} FROM (SELECT rater_id, count(*) AS n_pairs, {_KW} AS weighted_kappa FROM ab GROUP BY rater_id)", "weighted_kappa", "rater_id n_pairs interpretability"),
@@ -621,14 +621,14 @@ SELECT *, {_FLAG} FROM (SELECT count(*) AS n_pairs, {_KW} AS weighted_kappa, (SE
     "spearman_by_model": rounded_sql(_spearman_sql("model_name"), "spearman_rho", "model_name n below_min_n"),
     "spearman_by_quartile": rounded_sql(_spearman_sql("model_name, cosine_quartile"), "spearman_rho", "model_name cosine_quartile n below_min_n"),
     "spearman_by_category": rounded_sql(_spearman_sql("model_name, category", 15), "spearman_rho", "model_name category n below_min_n"),
-    "kruskal_words": rounded_sql(f"WITH {_SCORED}, long AS (UNPIVOT (SELECT participant_id, diagnosis, total_words, unique_words, repetitions FROM scored) ON total_words, unique_words, repetitions INTO NAME metric VALUE value)\nSELECT metric, k, n, h FROM {_kruskal_sql('long', 'metric')}", "h", "metric k n"),
+    "kruskal_words": rounded_sql(f"WITH {_SCORED}, long AS (UNPIVOT (SELECT participant_id, diagnosis, total_words, unique_words, repetitions FROM scored) ON total_words, unique_words, repetitions INTO NAME metric VALUE value), kw AS {_kruskal_sql('long', 'metric')}\nSELECT metric, k, n, h FROM kw", "h", "metric k n"),
     "threshold_kruskal": rounded_sql(f"""WITH {_WORD_SIMS}, grid AS (SELECT *, t / 1000.0::DOUBLE AS threshold FROM wsims, range(0, 301, 50) r(t)), m AS (SELECT participant_id, threshold, {_METRICS} FROM {_clusters_sql('grid', 'participant_id, threshold', 'sim >= threshold')} GROUP BY ALL),
-md AS (SELECT threshold, diagnosis, mean_cluster_size::DOUBLE AS mean_cluster_size, switch_count::DOUBLE AS switch_count, cluster_count::DOUBLE AS cluster_count FROM m JOIN participants USING (participant_id)), long AS (UNPIVOT md ON mean_cluster_size, switch_count, cluster_count INTO NAME metric VALUE value)
-SELECT metric, best.t AS threshold, best.h AS h FROM (SELECT metric, arg_max({{'t': threshold, 'h': h}}, (h, -threshold)) AS best FROM {_kruskal_sql('long', 'metric, threshold', 2)} GROUP BY metric)""", "threshold h", "metric"),
+md AS (SELECT threshold, diagnosis, mean_cluster_size::DOUBLE AS mean_cluster_size, switch_count::DOUBLE AS switch_count, cluster_count::DOUBLE AS cluster_count FROM m JOIN participants USING (participant_id)), long AS (UNPIVOT md ON mean_cluster_size, switch_count, cluster_count INTO NAME metric VALUE value), kw AS {_kruskal_sql('long', 'metric, threshold', 2)}
+SELECT metric, best.t AS threshold, best.h AS h FROM (SELECT metric, arg_max({{'t': threshold, 'h': h}}, (h, -threshold)) AS best FROM kw WHERE h IS NOT NULL GROUP BY metric)""", "threshold h", "metric"),
     "cohens_d": rounded_sql(f"""WITH {_SCORED}, g AS (SELECT diagnosis, count(*) AS n, avg(total_words) AS m, var_samp(total_words) AS v FROM scored GROUP BY diagnosis), w AS (SELECT * FROM (VALUES ('HC', 'MCI'), ('HC', 'non-AD'), ('HC', 'AD'), ('MCI', 'AD')) x(group_a, group_b))
 SELECT *, CASE WHEN d IS NULL THEN 'n/a' WHEN abs(d) >= 0.8 THEN 'large' WHEN abs(d) >= 0.5 THEN 'medium' WHEN abs(d) >= 0.2 THEN 'small' ELSE 'negligible' END AS magnitude FROM (SELECT group_a, group_b, a.n AS n_a, b.n AS n_b, (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) AS d FROM w JOIN g a ON a.diagnosis = group_a JOIN g b ON b.diagnosis = group_b)""", "d", "group_a group_b n_a n_b magnitude"),
-    "residual_kruskal": rounded_sql(f"""WITH {_SCORED}, fit AS (SELECT regr_slope(total_words, age) AS s, regr_intercept(total_words, age) AS i FROM scored), long AS (SELECT 'x' AS metric, diagnosis, round(total_words - (s * age + i), 9) AS value FROM scored, fit)
-SELECT k, n, h FROM {_kruskal_sql('long', 'metric')}""", "h", "k n", 4),
+    "residual_kruskal": rounded_sql(f"""WITH {_SCORED}, fit AS (SELECT regr_slope(total_words, age) AS s, regr_intercept(total_words, age) AS i FROM scored), long AS (SELECT 'x' AS metric, diagnosis, round(total_words - (s * age + i), 9) AS value FROM scored, fit), kw AS {_kruskal_sql('long', 'metric')}
+SELECT k, n, h FROM kw""", "h", "k n", 4),
     "correlation_table": rounded_sql(f"WITH {_SCORED}, long AS (UNPIVOT (SELECT mmse, total_words, unique_words, repetitions, age FROM scored) ON total_words, unique_words, repetitions, age INTO NAME feature VALUE value)\nSELECT feature, count(mmse) AS n, corr(value, mmse) AS r, coalesce(abs(corr(value, mmse)) > 0.3, false) AS passes FROM long GROUP BY feature", "r", "feature n passes"),
     "divergence_catalog": rounded_sql(f"WITH {_J}, e AS (SELECT *, abs(rating / 3 - cosine_sim) AS disagreement FROM j), q AS (SELECT quantile_cont(disagreement, 0.9) AS q FROM e)\nSELECT pair_id, target, response, rating, cosine_sim, disagreement, category, is_compound, coalesce(disagreement > q, false) AS is_divergence_case FROM e, q", "rating cosine_sim disagreement", "pair_id target response category is_compound is_divergence_case"),
     "graph_depth": f"WITH RECURSIVE {_GRAPH} SELECT sense, depth FROM walk",
