@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions.values import PLACEHOLDERS, is_blank, label_key, stated_gender, stated_number, strip, code_key
+from lexspark.session import cut
 
 
 @dataclass(frozen=True)
@@ -99,7 +100,7 @@ def schema_changes(records: DataFrame, fields: Sequence[Field] = SHEET_FIELDS) -
     in a file is that of most of its non-null values (string before the others if equal). Null file_seq sorts first.
     Records with a null file_id form one file of their series.
     """
-    h = headers(records, fields)
+    h = cut(headers(records, fields), "headers")
     order = file_order(records)
     per_label = h.groupBy("series_id", "file_id", "field", "label").agg(F.sum("n").alias("n"))
     present = per_label.groupBy("series_id", "file_id", "field").agg(F.min(F.struct((-F.col("n")).alias("m"), F.col("label").alias("label"))).alias("s")).select("series_id", "file_id", "field", F.col("s.label").alias("label"))
