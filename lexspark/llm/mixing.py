@@ -113,6 +113,7 @@ def mix_sources(df: DataFrame, targets: DataFrame, id: str = "doc_id", text: str
         raise ValueError(f"more than {max_targets} target rows")
     whole = int(totals.agg(F.sum("source_tokens")).first()[0] or 0)
     rows["row"] = np.arange(len(rows))
+    rows["target_share"] = rows["target_share"].astype("float64").fillna(0.0)
     rows["source_tokens"] = rows["source_tokens"].fillna(0).astype("int64")
     rows["mix_tokens"] = rows["size_ratio"].fillna(0.0).astype("float64") * whole
     rows["n_blocks"] = -(-rows["source_tokens"] // block)
@@ -138,7 +139,7 @@ def mix_sources(df: DataFrame, targets: DataFrame, id: str = "doc_id", text: str
     sizes = spans.groupBy("source_key", "block").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("tokens"))
     got = slots.join(sizes, (F.col("key") == F.col("source_key")) & (slots["block"] == sizes["block"])).groupBy("row").agg(F.count("*").alias("filled"), F.sum("tokens").alias("reached_tokens"), (F.max("repeat_no") + 1).alias("repeats"))
     wanted = drawn.groupby("row")["n"].sum().reindex(rows["row"], fill_value=0).to_numpy() if len(rows) else []
-    report_rows = [(int(r.row), r.mix_id, r.source, float(r.target_share or 0.0), int(r.max_repeats), float(r.mix_tokens), int(r.source_tokens), float((r.target_share or 0.0) * r.mix_tokens), int(r.max_repeats * r.source_tokens), int(w)) for r, w in zip(rows.itertuples(), wanted)]
+    report_rows = [(int(r.row), r.mix_id, r.source, float(r.target_share), int(r.max_repeats), float(r.mix_tokens), int(r.source_tokens), float(r.target_share * r.mix_tokens), int(r.max_repeats * r.source_tokens), int(w)) for r, w in zip(rows.itertuples(), wanted)]
     report_schema = T.StructType([T.StructField("row", T.LongType()), targets.schema["mix_id"], *(T.StructField(n, t) for n, t in (("source", T.StringType()), ("target_share", T.DoubleType()), ("max_repeats", T.LongType()), ("mix_tokens", T.DoubleType()), ("source_tokens", T.LongType()), ("needed_tokens", T.DoubleType()), ("allowed_tokens", T.LongType()), ("slots", T.LongType())))])
     report = spark.createDataFrame(report_rows, report_schema).join(got, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
