@@ -21,7 +21,8 @@ SENSITIVE = ("participant_id", "gender", "age", "diagnosis", "mmse", "cosine_sim
 
 
 def pair_uuid(seed: int, index: int) -> str:
-    """A version-4 uuid that depends on seed and index alone."""
+    """A version-4 uuid that depends on the sum of seed and index alone: seeds less than a sample's size apart share ids, so
+    the ids of a sample are unique within it, not across samples."""
     return str(uuid.UUID(bytes=np.random.default_rng(seed + index).bytes(16), version=4))
 
 

@@ -52,7 +52,7 @@ def pairwise_mean(df: DataFrame, group: str, id: str, vector: str, clamp: bool =
                 c = c[np.triu_indices(len(c), 1)] if same else c.ravel()
                 c = c[~np.isnan(c)]
                 c = np.maximum(c, 0.0) if clamp else c
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(r, 1), b.column(1).slice(r, 1), *(pa.array([x]) for x in (len(c), float(c.sum()), float((c * c).sum()), float(c.min()) if len(c) else None, float(c.max()) if len(c) else None))], names=["g", "n", "c", "s", "ss", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(r, 1), b.column(1).slice(r, 1), pa.array([len(c)]), *(pa.array([x], pa.float64()) for x in (float(c.sum()), float((c * c).sum()), float(c.min()) if len(c) else None, float(c.max()) if len(c) else None))], names=["g", "n", "c", "s", "ss", "lo", "hi"])
 
     kind = rows.schema["g"].dataType.simpleString()
     part = meet.mapInArrow(multiply, f"g {kind}, n bigint, c bigint, s double, ss double, lo double, hi double")
