@@ -67,9 +67,11 @@ def source_spans(df: DataFrame, id: str, text: str, source: str, block: int = 20
     return counts, rows.select("source_key", "block", "id", start.alias("token_from"), stop.alias("token_to"))
 
 
-def draw_slots(targets: pd.DataFrame, block: int, seed: int, shards: int) -> pd.DataFrame:
+def draw_slots(targets: pd.DataFrame, block: int, seed: int, shards: int, slots_per_shard: int = 1_000_000) -> pd.DataFrame:
     """Slots by (mix_id, shard, row): `targets` has mix_id, row, target_share, mix_tokens. Shares below 0 or null count
-    as 0. base: how many slots of the row lie in earlier shards."""
+    as 0. base: how many slots of the row lie in earlier shards.
+    A shard has at most `slots_per_shard` slots, so that the numbers of its slots fit a row, and there are at least
+    `shards` of them where a mix is large enough."""
     out = []
     for mix, g in targets.sort_values("row").groupby("mix_id", sort=True):
         share = np.maximum(np.nan_to_num(g["target_share"].to_numpy(dtype="float64")), 0)
@@ -79,7 +81,7 @@ def draw_slots(targets: pd.DataFrame, block: int, seed: int, shards: int) -> pd.
         short = int(round(ideal.sum())) - int(total.sum())
         total[np.argsort(-(ideal - total), kind="stable")[: max(short, 0)]] += 1
         rng = np.random.default_rng([seed, int(mix)])
-        n = max(1, min(shards, slots // 16))
+        n = max(1, min(shards, slots // 16), -(-slots // slots_per_shard))
         left, base = total.copy(), np.zeros_like(total)
         for s in range(n):
             size = int(left.sum()) // (n - s)

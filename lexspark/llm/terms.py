@@ -86,5 +86,5 @@ def term_frequency(df: DataFrame, record: str, terms: str, rare_below: int = 3,
     counted = placed.select("term", "record", "n").mapInArrow(_last_seen, "term string, occurrences bigint, records bigint")
     out = counted.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     share = F.col("records") / F.lit(float(total or 1))
-    mark = F.when(F.col("records") > F.lit(common_above * (total or 0)), "common").when(F.col("records") < rare_below, "rare")
+    mark = F.when(share > common_above, "common").when(F.col("records") < rare_below, "rare")  # 1800 / 6000 is 0.3, 0.3 * 6000 may not be 1800
     return out.select("term", "occurrences", "records", share.alias("share"), mark.alias("term_mark"))
