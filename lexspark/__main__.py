@@ -1,4 +1,5 @@
-"""Command line: python -m lexspark COMMAND ... (bnt, svf, fas, regression, calibrate, lexicon, sample, drift, wide)."""
+"""Command line: python -m lexspark COMMAND ... (bnt, svf, fas, regression, calibrate, lexicon, sample,
+eligibility, analyze, drift, wide)."""
 
 from __future__ import annotations
 
@@ -7,7 +8,8 @@ import argparse
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.operators import drift, eav, frequency, graph
+from lexspark.functions import text
+from lexspark.operators import drift, eav, frequency, graph, matching, stats, summaries
 from lexspark.plans import pipelines
 from lexspark.session import build_session
 from lexspark.sources import lexicon, sheets, tables
@@ -44,6 +46,13 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--target-size", type=int, default=200)
     c.add_argument("--raters", type=int, default=2)
     c.add_argument("--model", default="model")
+    c = sub.add_parser("eligibility", help="funnel, quartile edges and counts by quartile and diagnosis of a scored bnt table")
+    c.add_argument("--input", required=True)
+    c = sub.add_parser("analyze", help="reliability, agreement with models and divergence from rating files")
+    for o in ("--ratings", "--sampled-pairs", "--models", "--output-dir"):
+        c.add_argument(o, required=True)
+    c.add_argument("--branch", choices=("multi", "sole_test_retest"), default="multi")
+    c.add_argument("--lexicon", help="graph tables for relations between words")
     c = sub.add_parser("drift", help="one consistent table and the list of changes from records of drifting files")
     c.add_argument("--input", required=True)
     c.add_argument("--output-dir", required=True)
@@ -81,6 +90,20 @@ def main(argv: list[str] | None = None) -> int:
         scored = tables.read_csv(spark, a.input, tables.SCORED)
         for name, df in pipelines.rater_samples(scored, a.model, a.raters, a.target_size // 4).items():
             tables.save_csv(df, f"{a.output_dir}/{name}")
+    elif a.command == "eligibility":
+        scored = tables.read_csv(spark, a.input, tables.SCORED)
+        eligible = stats.assign_quartile(matching.eligible_pairs(scored), "cosine_sim")
+        print(tables.to_markdown(matching.eligibility_funnel(scored)))
+        print(stats.quartile_cutpoints(eligible, "cosine_sim"))
+        print(tables.to_markdown(summaries.contingency(eligible, "cosine_quartile", "diagnosis", summaries.DIAGNOSES)))
+    elif a.command == "analyze":
+        rated = tables.read_ratings(spark, a.ratings).withColumn("is_compound", text.truthy(F.col("is_compound")))
+        files = [rated.filter(F.col("rater_id") == r[0]) for r in rated.select("rater_id").distinct().orderBy("rater_id").collect()]
+        sample = spark.read.option("header", True).option("inferSchema", True).csv(a.sampled_pairs)
+        models = tables.read_csv(spark, a.models, tables.SCORED).withColumn("model_name", tables.rater_id(F.input_file_name()))
+        relations = graph.relation_summary(sample.select("target", "response"), lexicon.load_graph(spark, a.lexicon)) if a.lexicon else None
+        for name, df in pipelines.rating_analysis(files, sample, models, relations, a.branch == "sole_test_retest").items():
+            tables.save_csv(df, f"{a.output_dir}/{name}")
     elif a.command == "drift":
         records: DataFrame = spark.read.parquet(a.input)
         drift.consistent_table(records).write.mode("overwrite").parquet(f"{a.output_dir}/records")

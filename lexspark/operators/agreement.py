@@ -100,3 +100,22 @@ def divergence_catalog(rated: DataFrame, pairs: DataFrame, percentile: float = 0
     limit = j.agg(F.percentile("disagreement", F.lit(percentile))).first()[0]
     out = j.withColumns({"is_divergence_case": F.coalesce(F.col("disagreement") > F.lit(limit), F.lit(False)), "threshold_value": F.lit(limit).cast("double"), "threshold_percentile": F.lit(100 * percentile)})
     return out.join(relations, ["target", "response"], "left") if relations is not None else out
+
+
+def graph_agreement(rated: DataFrame, pairs: DataFrame, similarity: DataFrame) -> DataFrame:
+    """measure (path_similarity, wu_palmer), n, n_oov, oov_rate, spearman_rho of mean ratings and graph similarities.
+    Pairs without a similarity count as out of vocabulary, those in the vocabulary but without a path too. `similarity`:
+    target, response, path_similarity, wu_palmer."""
+    j = rated.select("pair_id", "rating").join(pairs.select("pair_id", "target", "response"), "pair_id").join(similarity, ["target", "response"], "left")
+    long = j.unpivot(["pair_id", "rating"], ["path_similarity", "wu_palmer"], "measure", "value")
+    counts = long.groupBy("measure").agg(F.count("*").alias("n_pairs"), F.count_if(F.col("value").isNull()).alias("n_oov"))
+    rho = stats.spearman(long, "rating", "value", ["measure"])
+    return counts.join(rho, "measure", "left").select("measure", F.coalesce("n", F.lit(0)).alias("n"), "n_oov", (F.col("n_oov") / F.col("n_pairs")).alias("oov_rate"), "spearman_rho")
+
+
+def with_interval(rated: DataFrame, cosines: DataFrame, by: Sequence[str] = ("model_name",), min_n: int = 3, n_boot: int = 1000, seed: int = 20260507) -> DataFrame:
+    """`model_agreement` with the bootstrap interval: by, n, spearman_rho, ci_low, ci_high, below_min_n; all three null
+    below min_n."""
+    b = stats.bootstrap_spearman(rated.join(cosines, "pair_id"), "rating", "cosine_sim", by, "pair_id", n_boot, seed)
+    low = F.col("n") < min_n
+    return b.select(*by, "n", *[F.when(~low, F.col(c)).alias(c) for c in ("spearman_rho", "ci_low", "ci_high")], low.alias("below_min_n"))

@@ -11,10 +11,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions.values import PLACEHOLDERS, is_blank, label_key, stated_gender, stated_number, strip, code_key
+from lexspark.operators.ranking import previous_values, spread_key
 from lexspark.session import cut
 
 
@@ -86,14 +87,13 @@ def headers(records: DataFrame, fields: Sequence[Field] = SHEET_FIELDS, payload:
 
 
 def file_order(records: DataFrame) -> DataFrame:
-    """Every file with the one before it in its series (`prev_id`, null for the first)."""
-    w = Window.partitionBy("series_id").orderBy("file_seq", "file_id")
-    files = records.groupBy("series_id", "file_seq", "file_id").agg(F.count("*").alias("_n"))
-    return files.select("series_id", "file_seq", "file_id", F.lag("file_id").over(w).alias("prev_id"), F.row_number().over(w).alias("file_pos"))
+    """Every file with the one before it in its series: prev_id, has_prev (false for the first)."""
+    files = cut(records.groupBy("series_id", "file_seq", "file_id").agg(F.count("*").alias("_n")).drop("_n"), "files")
+    return previous_values(files.withColumn("id", F.col("file_id")), ["series_id"], spread_key(files, "file_seq"), ["id"], ["file_seq", "file_id"]).drop("id")
 
 
 def schema_changes(records: DataFrame, fields: Sequence[Field] = SHEET_FIELDS) -> DataFrame:
-    """The ordered differences between each file and the one before it in its series: series_id, file_pos, file_id,
+    """The ordered differences between each file and the one before it in its series: series_id, file_seq, file_id,
     field, field_label, change_kind (added, removed, renamed, retyped), before, after.
 
     A field with several labels in one file goes under the most frequent (the least by name if equal). A field's type
@@ -106,24 +106,24 @@ def schema_changes(records: DataFrame, fields: Sequence[Field] = SHEET_FIELDS) -
     present = per_label.groupBy("series_id", "file_id", "field").agg(F.min(F.struct((-F.col("n")).alias("m"), F.col("label").alias("label"))).alias("s")).select("series_id", "file_id", "field", F.col("s.label").alias("label"))
 
     def keyed(on: str, label: str) -> DataFrame:
-        o = order.select(F.col("series_id").alias("s"), "file_id", "file_pos", "prev_id").alias("o")
+        o = order.select(F.col("series_id").alias("s"), "file_id", "file_seq", "prev_id", "has_prev").alias("o")
         p = present.select(F.col("series_id").alias("ps"), F.col("file_id").alias("pf"), "field", F.col("label").alias(label)).alias("p")
-        return o.join(p, F.col("s").eqNullSafe(F.col("ps")) & F.col(f"o.{on}").eqNullSafe(F.col("pf"))).filter(F.col("file_pos") > 1).select(F.col("s").alias("series_id"), "file_pos", "file_id", "field", label)
+        return o.join(p, F.col("s").eqNullSafe(F.col("ps")) & F.col(f"o.{on}").eqNullSafe(F.col("pf"))).filter("has_prev").select(F.col("s").alias("series_id"), "file_seq", "file_id", "field", label)
 
-    both = keyed("file_id", "after").unionByName(keyed("prev_id", "before"), allowMissingColumns=True).groupBy("series_id", "file_pos", "file_id", "field").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+    both = keyed("file_id", "after").unionByName(keyed("prev_id", "before"), allowMissingColumns=True).groupBy("series_id", "file_seq", "file_id", "field").agg(F.max("before").alias("before"), F.max("after").alias("after"))
     layout = both.select(
-        "series_id", "file_pos", "file_id", "field", F.coalesce("after", "before").alias("field_label"),
+        "series_id", "file_seq", "file_id", "field", F.coalesce("after", "before").alias("field_label"),
         F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("before") != F.col("after"), "renamed").alias("change_kind"), "before", "after",
     ).filter("change_kind IS NOT NULL")
 
     kinds = h.filter("kind <> 'void'").groupBy("series_id", "file_id", "field", "kind").agg(F.sum("n").alias("n"))
     kinds = kinds.groupBy("series_id", "file_id", "field").agg(F.max(F.struct("n", "kind")).alias("k")).select("series_id", "file_id", "field", F.col("k.kind").alias("kind"))
-    o = order.select(F.col("series_id").alias("s"), F.col("file_id").alias("f"), "file_pos")
-    w = Window.partitionBy("series_id", "field").orderBy("file_pos")
-    typed = kinds.join(o, F.col("series_id").eqNullSafe(F.col("s")) & F.col("file_id").eqNullSafe(F.col("f"))).withColumn("before", F.lag("kind").over(w)).filter(F.col("before") != F.col("kind"))
+    o = order.select(F.col("series_id").alias("s"), F.col("file_id").alias("f"), "file_seq")
+    placed = kinds.join(o, F.col("series_id").eqNullSafe(F.col("s")) & F.col("file_id").eqNullSafe(F.col("f"))).drop("s", "f")
+    typed = previous_values(placed, ["series_id", "field"], spread_key(order, "file_seq"), ["kind"], ["file_seq", "file_id"]).withColumnRenamed("prev_kind", "before").filter(F.col("before") != F.col("kind"))
     p = present.select(F.col("series_id").alias("ps"), F.col("file_id").alias("pf"), F.col("field").alias("pl"), F.col("label").alias("field_label"))
     retyped = typed.join(p, F.col("series_id").eqNullSafe(F.col("ps")) & F.col("file_id").eqNullSafe(F.col("pf")) & (F.col("field") == F.col("pl"))).select(
-        "series_id", "file_pos", "file_id", "field", "field_label", F.lit("retyped").alias("change_kind"), "before", F.col("kind").alias("after")
+        "series_id", "file_seq", "file_id", "field", "field_label", F.lit("retyped").alias("change_kind"), "before", F.col("kind").alias("after")
     )
     return layout.unionByName(retyped)
 

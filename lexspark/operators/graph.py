@@ -158,3 +158,26 @@ def graph_stats(graph: SenseGraph, paths: DataFrame) -> DataFrame:
     s, p = graph.senses().agg(F.count("*").alias("n_senses")), paths.agg(F.count("*").alias("n_connected"), F.max("depth").alias("max_depth"))
     one = lambda df: df.withColumn("_k", F.lit(1))
     return one(s).join(one(e), "_k").join(one(p), "_k").drop("_k")
+
+
+def best_sense(pairs: DataFrame, graph: SenseGraph, paths: DataFrame | None = None) -> DataFrame:
+    """(target, response, s1, s2, wu_palmer): the pair of senses of each word pair with the greatest similarity, the
+    least ids if equal; word pairs without a similarity are left out."""
+    senses = cut(sense_pairs(pairs, graph).filter("s1 IS NOT NULL AND s2 IS NOT NULL"), "senses")
+    wp = wu_palmer(senses, paths if paths is not None else depths(graph)).filter("wu_palmer IS NOT NULL")
+    best = senses.join(wp, ["s1", "s2"]).groupBy("target", "response").agg(F.min(F.struct((-F.col("wu_palmer")).alias("m"), "s1", "s2")).alias("b"))
+    return best.select("target", "response", "b.s1", "b.s2", (-F.col("b.m")).alias("wu_palmer"))
+
+
+def check_graph(stats: DataFrame, n_senses: int | None = None, least_primary: int | None = None, secondary: tuple[int, int] | None = None, max_depth: tuple[int, int] | None = None) -> list[str]:
+    """What in the statistics of a graph is not as expected; empty if all is."""
+    r = stats.first()
+    wrong = []
+    if n_senses is not None and r["n_senses"] != n_senses:
+        wrong.append(f"{r['n_senses']} senses, expected {n_senses}")
+    if least_primary is not None and r["n_primary"] < least_primary:
+        wrong.append(f"{r['n_primary']} primary edges, expected at least {least_primary}")
+    for name, bounds in (("n_secondary", secondary), ("max_depth", max_depth)):
+        if bounds is not None and not bounds[0] <= (r[name] or 0) <= bounds[1]:
+            wrong.append(f"{name} is {r[name]}, expected {bounds[0]} to {bounds[1]}")
+    return wrong

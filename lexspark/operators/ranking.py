@@ -8,6 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def spread_key(df: DataFrame, value: str) -> Column:
+    """A bigint that rises with a numeric column and spreads over the whole key range, so that the buckets of the
+    functions here are used evenly; equal keys are told apart by their ties. Null for null."""
+    lo, hi = df.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+    if lo is None or hi is None or hi <= lo:
+        return F.lit(0).cast("bigint")
+    return ((F.col(value).cast("double") - lo) / (hi - lo) * (2.0**63) - 2.0**62 - 2.0**61).cast("bigint")
+
+
 def running_offset(df: DataFrame, by: Sequence[str], key: Column, weight: Column | None = None, ties: Sequence[str] = (), bits: int = 10, name: str = "offset") -> DataFrame:
     """Adds `name`: the sum of `weight` (1 if not given, so the 0-based rank) of the rows of the same group `by` that
     come before, in the order of `key` (a bigint) and `ties`.
@@ -28,3 +37,22 @@ def running_offset(df: DataFrame, by: Sequence[str], key: Column, weight: Column
         cond = cond & F.col(c).eqNullSafe(F.col(f"_g_{i}"))
     inner = Window.partitionBy(*g, "_slot").orderBy("_key", *ties).rowsBetween(Window.unboundedPreceding, 0)
     return rows.join(sums, cond).withColumn(name, F.col("_base") + F.sum("_w").over(inner) - F.col("_w")).select(*df.columns, name)
+
+
+def previous_values(df: DataFrame, by: Sequence[str], key: Column, values: Sequence[str], ties: Sequence[str] = (), bits: int = 10, prefix: str = "prev_") -> DataFrame:
+    """Adds prefix + name of each of `values`: those of the row before in the same group, in the order of `key` and
+    `ties`; null for the first row. And `has_prev`, false for the first row.
+
+    A lag that does not order a group in one task: rows look back within their bucket of the key range, the first of a
+    bucket takes the last row of the bucket before it that is not empty.
+    """
+    rows = df.withColumn("_key", F.coalesce(key.cast("bigint"), F.lit(-(2**63)))).withColumn("_slot", F.shiftright("_key", 64 - bits).cast("int"))
+    g = [*(F.col(c) for c in by)]
+    last = rows.groupBy(*g, "_slot").agg(F.max_by(F.struct(*values), F.struct("_key", *ties)).alias("_last"))
+    ends = last.select(*[F.col(c).alias(f"_g_{i}") for i, c in enumerate(by)], F.col("_slot").alias("_g_slot"), F.lag("_last").over(Window.partitionBy(*g).orderBy("_slot")).alias("_before"))
+    cond = F.col("_slot") == F.col("_g_slot")
+    for i, c in enumerate(by):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_g_{i}"))
+    w = Window.partitionBy(*g, "_slot").orderBy("_key", *ties)
+    seen = rows.join(ends, cond).withColumn("_p", F.coalesce(F.lag(F.struct(*values)).over(w), F.col("_before")))
+    return seen.select(*df.columns, *[F.col(f"_p.{v}").alias(f"{prefix}{v}") for v in values], F.col("_p").isNotNull().alias("has_prev"))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.operators.ranking import running_offset, spread_key
 from lexspark.operators.strdist import linked, normalized_edit_distance
 
 
@@ -24,26 +25,31 @@ def similarity_profile(sims: DataFrame, by: Sequence[str]) -> DataFrame:
     counts to the second half), null for m < 2. Slope: least squares on the index 0..m-1, null for m < 2. Null
     similarities beyond the first are left out of the means."""
     i = F.col("pos") - 1
-    counted = sims.withColumn("m", F.count("*").over(Window.partitionBy(*by)) - 1)
+    counted = sims.join(sims.groupBy(*by).agg((F.count("*") - 1).alias("m")), list(by))
     first, rest = F.avg(F.when((i >= 0) & (i < _first_half()), F.col("sim"))), F.avg(F.when(i >= _first_half(), F.col("sim")))
     slope = F.regr_slope(F.when(i >= 0, F.col("sim")), F.when(i >= 0, i.cast("double")))
     g = counted.groupBy(*by).agg(F.count("*").alias("n_words"), F.avg("sim").alias("mean_consecutive_similarity"), (first - rest).alias("temporal_gradient"), slope.alias("similarity_slope"), F.count("sim").alias("_m"))
     return g.select(*by, "n_words", "mean_consecutive_similarity", F.when(F.col("_m") >= 2, F.col("temporal_gradient")).alias("temporal_gradient"), F.when(F.col("_m") >= 2, F.col("similarity_slope")).alias("similarity_slope"))
 
 
-def chain_clusters(rows: DataFrame, by: Sequence[str], order: str, joins: Column) -> DataFrame:
+def chain_clusters(rows: DataFrame, by: Sequence[str], order: str, joins: Column, long: bool = False) -> DataFrame:
     """`rows` with cluster_id (from 1): a row for which `joins` is not true opens a cluster. `joins` may look at values
-    of the row before only through columns already there."""
+    of the row before only through columns already there. `long` is for sequences of any length, numbered from 0 by
+    `order`: the clusters opened so far are a bucketed running sum, no sequence is held in one task."""
+    if long:
+        opened = rows.withColumn("_new", F.when((F.col(order) == 0) | ~F.coalesce(joins, F.lit(False)), 1).otherwise(0))
+        before = running_offset(opened, by, spread_key(rows, order), F.col("_new"), ties=[order], name="_before")
+        return before.withColumn("cluster_id", F.col("_before") + F.col("_new")).drop("_new", "_before")
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     first = F.row_number().over(Window.partitionBy(*by).orderBy(order)) == 1
     return rows.withColumn("_new", F.when(first | ~F.coalesce(joins, F.lit(False)), 1).otherwise(0)).withColumn("cluster_id", F.sum("_new").over(w)).drop("_new")
 
 
-def detect_clusters(sims: DataFrame, by: Sequence[str], threshold: float = 0.45, method: str = "chain") -> DataFrame:
+def detect_clusters(sims: DataFrame, by: Sequence[str], threshold: float = 0.45, method: str = "chain", long: bool = False) -> DataFrame:
     """Chain clusters of (by, pos, sim): a word joins the cluster of the one before at sim >= threshold."""
     if method != "chain":
         raise ValueError(f"unknown method {method!r}")
-    return chain_clusters(sims, by, "pos", F.col("sim") >= threshold)
+    return chain_clusters(sims, by, "pos", F.col("sim") >= threshold, long)
 
 
 def cluster_metrics(clustered: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -109,9 +115,9 @@ def first_of_each(words: DataFrame, by: Sequence[str], order: str = "pos", word:
     return clean.groupBy(*by, word).agg(F.min(order).alias(order))
 
 
-def threshold_sweep(sims: DataFrame, by: Sequence[str], thresholds: Sequence[float]) -> DataFrame:
+def threshold_sweep(sims: DataFrame, by: Sequence[str], thresholds: Sequence[float], long: bool = False) -> DataFrame:
     """Cluster metrics at every threshold: the similarities are computed once, each row is repeated per threshold (a
     fixed, short list), and clusters are chains within (by, threshold)."""
     grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
     rows = sims.select(*by, "pos", "sim", grid)
-    return cluster_metrics(chain_clusters(rows, [*by, "threshold"], "pos", F.col("sim") >= F.col("threshold")), [*by, "threshold"])
+    return cluster_metrics(chain_clusters(rows, [*by, "threshold"], "pos", F.col("sim") >= F.col("threshold"), long), [*by, "threshold"])

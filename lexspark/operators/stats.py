@@ -15,22 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexspark.operators.ranking import running_offset
-
-
-def _ordered_key(df: DataFrame, value: str) -> Column:
-    """A bigint that rises with the value and spreads over the whole key range; equal keys are told apart by ties."""
-    lo, hi = df.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
-    if lo is None or hi is None or hi <= lo:
-        return F.lit(0).cast("bigint")
-    return ((F.col(value).cast("double") - lo) / (hi - lo) * (2.0**63) - 2.0**62 - 2.0**61).cast("bigint")
+from lexspark.operators.ranking import running_offset, spread_key
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """(by, value, n, rank): the average rank of each distinct value within its group, and how often it occurs.
     Null values have no rank."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    before = running_offset(counts, list(by), _ordered_key(counts, value), F.col("n"), ties=[value], name="_before")
+    before = running_offset(counts, list(by), spread_key(counts, value), F.col("n"), ties=[value], name="_before")
     return before.select(*by, value, "n", (F.col("_before") + (F.col("n") + 1) / 2).alias(name))
 
 
@@ -56,7 +48,7 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), min_n: int =
     cells = both.groupBy(*by, "x", "y").agg(F.count("*").alias("w"))
     for v in ("x", "y"):
         marg = cells.groupBy(*by, v).agg(F.sum("w").alias("n"))
-        r = running_offset(marg, list(by), _ordered_key(marg, v), F.col("n"), ties=[v], name="_before").select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], F.col(v).alias("_v"), (F.col("_before") + (F.col("n") + 1) / 2).alias(f"r{v}"))
+        r = running_offset(marg, list(by), spread_key(marg, v), F.col("n"), ties=[v], name="_before").select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], F.col(v).alias("_v"), (F.col("_before") + (F.col("n") + 1) / 2).alias(f"r{v}"))
         cond = F.col(v) == F.col("_v")
         for i, c in enumerate(by):
             cond = cond & F.col(c).eqNullSafe(F.col(f"_b{i}"))
@@ -78,7 +70,7 @@ def kruskal(df: DataFrame, value: str, group: str, by: Sequence[str] = (), least
         enough = cells.groupBy(*by, "g").agg(F.sum("w").alias("_n")).filter(F.col("_n") >= least).drop("_n")
         cells = cells.join(enough, [*by, "g"])
     marg = cells.groupBy(*by, "v").agg(F.sum("w").alias("n"))
-    ranks = running_offset(marg, list(by), _ordered_key(marg, "v"), F.col("n"), ties=["v"], name="_before").select(*by, "v", (F.col("_before") + (F.col("n") + 1) / 2).alias("r"), F.col("n").alias("t"))
+    ranks = running_offset(marg, list(by), spread_key(marg, "v"), F.col("n"), ties=["v"], name="_before").select(*by, "v", (F.col("_before") + (F.col("n") + 1) / 2).alias("r"), F.col("n").alias("t"))
     sums = cells.join(ranks, [*by, "v"]).groupBy(*by, "g").agg(F.sum("w").alias("ng"), F.sum(F.col("w") * F.col("r")).alias("rs"))
     per = sums.groupBy(*by).agg(F.count("*").alias("k"), F.sum("ng").alias("n"), F.sum(F.col("rs") * F.col("rs") / F.col("ng")).alias("q"))
     t = F.col("t").cast("double")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.operators.ranking import running_offset, spread_key
+
 #: The diagnoses in the order reports give them.
 DIAGNOSES = ("HC", "MCI", "non-AD", "AD")
 
@@ -93,3 +95,33 @@ def best_by(df: DataFrame, by: Sequence[str], score: str, choice: str) -> DataFr
     """by, choice, score: the choice with the greatest score, the least choice if equal; null scores never win."""
     best = df.filter(F.col(score).isNotNull()).groupBy(*by).agg(F.max_by(F.struct(F.col(choice).alias("c"), F.col(score).alias("s")), F.struct(F.col(score), -F.col(choice))).alias("b"))
     return best.select(*by, F.col("b.c").alias(choice), F.col("b.s").alias(score))
+
+
+def item_by_group(scored: DataFrame, item: str, group: str = "diagnosis", value: str = "cosine_sim") -> DataFrame:
+    """Per item and group: n, mean, deviation, least and greatest value."""
+    return scored.groupBy(item, group).agg(F.count("*").alias("n"), F.avg(value).alias("value_mean"), F.stddev_samp(value).alias("value_sd"), F.min(value).alias("value_min"), F.max(value).alias("value_max"))
+
+
+def accuracy_by_category(scored: DataFrame, item: str, category: str, correct: str) -> DataFrame:
+    """Accuracy of each item, then mean, deviation and number of items per category."""
+    per = scored.groupBy(item, category).agg(F.avg(F.col(correct).cast("double")).alias("a"))
+    return per.groupBy(category).agg(F.count("*").alias("n_items"), F.avg("a").alias("accuracy_mean"), F.stddev_samp("a").alias("accuracy_sd"))
+
+
+def top_row(df: DataFrame, by: Sequence[str], value: str, key: str) -> DataFrame:
+    """The row with the greatest value of each group, the least key if equal; combined on the map side."""
+    others = [c for c in df.columns if c not in (*by, value, key)]
+    best = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.min(F.struct((-F.col(value)).alias("m"), key, *others)).alias("b"))
+    return best.select(*by, (-F.col("b.m")).alias(value), F.col(f"b.{key}").alias(key), *[F.col(f"b.{c}").alias(c) for c in others])
+
+
+def without_empty_rows(df: DataFrame, order: str, name: str = "slot") -> DataFrame:
+    """Rows where anything but the order is given, numbered anew from 1 (a sheet's rows; numbered by bucketed rank)."""
+    kept = df.dropna("all", subset=[c for c in df.columns if c != order])
+    return running_offset(kept, [], spread_key(kept, order), ties=[order], name="_r").withColumn(name, F.col("_r") + 1).drop("_r")
+
+
+def chosen_models(df: DataFrame, include: Sequence[str] = (), skip: Sequence[str] = (), column: str = "model_name") -> DataFrame:
+    """Rows of the models that are asked for (all, if none is named) and not to be skipped."""
+    out = df.filter(F.col(column).isin(*include)) if include else df
+    return out.filter(~F.col(column).isin(*skip)) if skip else out

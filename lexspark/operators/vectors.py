@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.operators.ranking import previous_values, running_offset, spread_key
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -61,8 +63,15 @@ def pairwise_mean(df: DataFrame, group: str, id: str, vector: str, clamp: bool =
     return out.select(F.col("g").alias(group), "n", F.col("c").alias("n_pairs"), mean.alias("mean"), F.sqrt(F.greatest(F.col("ss") / F.when(F.col("c") > 0, F.col("c")) - mean * mean, F.lit(0.0))).alias("std"), F.col("lo").alias("min"), F.col("hi").alias("max"))
 
 
-def adjacent(df: DataFrame, group: str, order: str, vector: str, clamp: bool = True) -> DataFrame:
+def adjacent(df: DataFrame, group: str, order: str, vector: str, clamp: bool = True, long: bool = False) -> DataFrame:
     """df with `pos` (from 0 within the group) and `sim`, the cosine with the vector before (null for the first).
-    Only the vector before travels in the window; groups are sequences (a participant's answers)."""
+
+    Groups are sequences, a participant's answers, and a window holds one at a time. `long` is for sequences of any
+    length (`order` a number): they are ordered in buckets, no group in one task, with the same result."""
+    if long:
+        key = spread_key(df, order)
+        placed = running_offset(df, [group], key, ties=[order], name="pos")
+        seen = previous_values(placed, [group], key, [vector], ties=[order], prefix="_prev_").withColumnRenamed(f"_prev_{vector}", "_prev")
+        return seen.withColumn("sim", cosine(F.col("_prev"), F.col(vector), clamp)).drop("_prev", "has_prev")
     w = Window.partitionBy(group).orderBy(order)
     return df.withColumns({"pos": F.row_number().over(w) - 1, "_prev": F.lag(vector).over(w)}).withColumn("sim", cosine(F.col("_prev"), F.col(vector), clamp)).drop("_prev")

@@ -74,7 +74,7 @@ def eligible_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def item_variation(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(summaries.item_variation(_answers(spark, d), "gold", "cosine_sim", 10))
+    return rounded(summaries.item_variation(_answers(spark, d), "gold", "cosine_sim", 10), 10)
 
 
 @query
@@ -99,7 +99,7 @@ def unpivot_long(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def consecutive_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(vectors.adjacent(table(spark, d, "embeddings"), "label", "vec_id", "embedding").select("label", "vec_id", "pos", "sim"))
+    return rounded(vectors.adjacent(table(spark, d, "embeddings"), "label", "vec_id", "embedding", long=True).select("label", "vec_id", "pos", "sim"))
 
 
 @query
@@ -109,19 +109,19 @@ def pairwise_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def similarity_profile(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(sequence.similarity_profile(vectors.adjacent(table(spark, d, "embeddings"), "label", "vec_id", "embedding"), ["label"]), 9)
+    return rounded(sequence.similarity_profile(vectors.adjacent(table(spark, d, "embeddings"), "label", "vec_id", "embedding", long=True), ["label"]), 9)
 
 
 @query
 def svf_chain_clusters(spark: SparkSession, d: str) -> DataFrame:
-    sims = vectors.adjacent(table(spark, d, "embeddings"), "label", "vec_id", "embedding").select("label", "pos", "sim")
-    return rounded(sequence.cluster_metrics(sequence.detect_clusters(sims, ["label"], 0.05), ["label"]))
+    sims = vectors.adjacent(table(spark, d, "embeddings"), "label", "vec_id", "embedding", long=True).select("label", "pos", "sim")
+    return rounded(sequence.cluster_metrics(sequence.detect_clusters(sims, ["label"], 0.05, long=True), ["label"]))
 
 
 @query
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    sims = vectors.adjacent(table(spark, d, "embeddings"), "label", "vec_id", "embedding").select("label", "pos", "sim")
-    return rounded(sequence.threshold_sweep(sims, ["label"], [i / 1000 for i in range(0, 301, 25)]))
+    sims = vectors.adjacent(table(spark, d, "embeddings"), "label", "vec_id", "embedding", long=True).select("label", "pos", "sim")
+    return rounded(sequence.threshold_sweep(sims, ["label"], [i / 1000 for i in range(0, 301, 25)], long=True))
 
 
 @query
@@ -280,6 +280,36 @@ def quartile_assign(spark: SparkSession, d: str) -> DataFrame:
     return stats.assign_quartile(base.pool(spark, d).select("pair_id", "cosine_sim"), "cosine_sim", "quartile").groupBy("quartile").agg(F.count("*").alias("n"), F.min("cosine_sim").alias("lo"), F.max("cosine_sim").alias("hi"))
 
 
+@query
+def item_by_group(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(summaries.item_by_group(_answers(spark, d), "gold"), 10)
+
+
+@query
+def accuracy_by_category(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(summaries.accuracy_by_category(_answers(spark, d).withColumn("near", F.col("cosine_sim") >= 0.5), "gold", "model_name", "near"))
+
+
+@query
+def most_words(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(summaries.top_row(_scored(spark, d).select("diagnosis", "total_words", "participant_id"), ["diagnosis"], "total_words", "participant_id"))
+
+
+@query
+def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    p = base.pool(spark, d).filter("model_name IS NOT NULL")
+    h = stats.kruskal(p, "cosine_sim", "diagnosis", ["model_name"], 2)
+    return rounded(h.join(stats.cohens_d(p, "cosine_sim", "diagnosis", [("HC", "AD")], ["model_name"]).select("model_name", "d"), "model_name"))
+
+
+@query
+def users_of_all_tests(spark: SparkSession, d: str) -> DataFrame:
+    """Names that occur in all three tests. The same name is not the same person; the count is for exploration."""
+    m = table(spark, d, "meta_entries")
+    one = [m.filter(F.col("test_code") == t).select("participant_id") for t in ("bnt", "svf", "fas")]
+    return one[0].intersect(one[1]).intersect(one[2])
+
+
 # --- joins
 
 
@@ -438,6 +468,16 @@ def graph_stats(spark: SparkSession, d: str) -> DataFrame:
     return graph.graph_stats(g, graph.depths(g))
 
 
+@query
+def graph_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Ratings against graph similarity; a word's sense is the part its md5 points to."""
+    g, p = _graph(spark, d), base.pool(spark, d)
+    w = p.select(F.col("target").alias("form")).union(p.select("response")).filter("form IS NOT NULL").distinct()
+    forms = w.filter("char_length(form) <= 12").select("form", F.concat(F.lit("s"), F.conv(F.substring(F.md5("form"), 1, 4), 16, 10).cast("bigint") % 200).alias("sense"), F.lit(0).alias("ord"))
+    one = graph.SenseGraph(g.edge, forms)
+    return rounded(agreement.graph_agreement(base.rated(spark, d), p, graph.pair_similarity(p, one, max_hops=4)))
+
+
 # --- samples and regression
 
 
@@ -570,7 +610,7 @@ SELECT model_name, count(*) AS n, avg(coalesce(r = g, false)::INT) AS exact_rate
 SELECT *, graded_mean - binary_mean AS gain, CASE WHEN graded_mean - binary_mean > 0.05 THEN 'graded captures more' ELSE 'similar' END AS gain_label FROM (SELECT diagnosis, count(participant_id) AS n_users, sum(b) / sum(n) AS binary_mean, sum(g) / sum(n) AS graded_mean, stddev_samp(g / n) AS graded_std, sum(nr) / sum(n) AS non_response_rate FROM per GROUP BY diagnosis)""", "binary_mean graded_mean graded_std non_response_rate gain", "diagnosis n_users gain_label"),
     "eligibility_funnel": f"WITH {_ANSWERS} SELECT count(*) AS n_total, count(*) FILTER (is_non_response) AS n_non_response, count(*) FILTER (is_exact_match) AS n_exact, count(*) FILTER (is_non_response AND is_exact_match) AS n_both, count(*) FILTER (NOT is_non_response AND NOT is_exact_match) AS n_eligible FROM answers",
     "eligible_pairs": f"WITH {_ANSWERS} SELECT gold, normalized, arg_min({{'p': participant_id}}, coalesce(participant_id, '')).p AS participant_id FROM answers WHERE NOT is_non_response AND NOT is_exact_match GROUP BY ALL",
-    "item_variation": rounded_sql(f"WITH {_ANSWERS}\nSELECT gold, count(*) AS n, avg(cosine_sim) AS value_mean, stddev_samp(cosine_sim) AS value_sd FROM answers GROUP BY gold ORDER BY value_sd DESC NULLS LAST, gold LIMIT 10", "value_mean value_sd", "gold n"),
+    "item_variation": rounded_sql(f"WITH {_ANSWERS}\nSELECT gold, count(*) AS n, avg(cosine_sim) AS value_mean, stddev_samp(cosine_sim) AS value_sd FROM answers GROUP BY gold ORDER BY value_sd DESC NULLS LAST, gold LIMIT 10", "value_mean value_sd", "gold n", 10),
     "fas_triplets": rf"""WITH {base.PARTICIPANTS}, cells AS (SELECT participant_id, array_to_string(list_filter(responses[1:4], lambda x: x IS NOT NULL), ',') AS cell FROM participants WHERE len(responses) > 0),
 parts AS (SELECT participant_id, list_transform(string_split(cell, ','), lambda x: trim(x, ' ')) AS t FROM cells)
 SELECT participant_id, {', '.join(f"lower(trim(CASE WHEN regexp_matches(coalesce(t[{i}], ''), '^<.*>$') THEN substr(t[{i}], 2, length(t[{i}]) - 2) ELSE coalesce(t[{i}], '') END, ' ')) AS word_{x}" for i, x in enumerate('fas', 1))}, len(list_filter(t, lambda x: x <> '')) AS n_compact FROM parts""",
@@ -611,6 +651,13 @@ SELECT participant_id, count(*) AS cluster_count_total, count(*) - count(DISTINC
     "text_lengths": rounded_sql("WITH x AS (SELECT * FROM sq3_pairs WHERE response IS NOT NULL)\nSELECT target, count(*) AS n, avg(length(response)) AS mean_length, median(length(response)) AS median_length, max(length(response))::BIGINT AS max_length, count(DISTINCT lower(trim(response))) AS n_distinct FROM x GROUP BY target", "mean_length median_length", "target n max_length n_distinct"),
     "missing_cells": "\nUNION ALL\n".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS n_missing, count(*) AS n_rows FROM sq3_pairs" for c in ("target", "response", "cosine_sim", "cosine_quartile", "participant_id", "diagnosis", "model")),
     "cross_test_summary": "SELECT test_code, count(*) AS n_entries, count(DISTINCT participant_id) AS n_participants FROM meta_entries GROUP BY 1 UNION ALL SELECT 'svf lists', count(*), count(DISTINCT participant_id) FROM svf_participant",
+    "item_by_group": rounded_sql(f"WITH {_ANSWERS}\nSELECT gold, diagnosis, count(*) AS n, avg(cosine_sim) AS value_mean, stddev_samp(cosine_sim) AS value_sd, min(cosine_sim) AS value_min, max(cosine_sim) AS value_max FROM answers GROUP BY ALL", "value_mean value_sd value_min value_max", "gold diagnosis n", 10),
+    "accuracy_by_category": rounded_sql(f"WITH {_ANSWERS}, per AS (SELECT gold, model_name, avg((cosine_sim >= 0.5)::INT) AS a FROM answers GROUP BY ALL)\nSELECT model_name, count(*) AS n_items, avg(a) AS accuracy_mean, stddev_samp(a) AS accuracy_sd FROM per GROUP BY ALL", "accuracy_mean accuracy_sd", "model_name n_items"),
+    "most_words": rounded_sql(f"WITH {_SCORED}\nSELECT diagnosis, total_words, participant_id FROM (SELECT *, row_number() OVER (PARTITION BY diagnosis ORDER BY total_words DESC, participant_id) AS r FROM scored) WHERE r = 1", "total_words", "diagnosis participant_id"),
+    "model_comparison": rounded_sql(f"""WITH {base.POOL}, src AS (SELECT model_name, diagnosis, cosine_sim AS value FROM pool WHERE model_name IS NOT NULL), kw AS {_kruskal_sql('src', 'model_name', 2)},
+g AS (SELECT model_name, diagnosis, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM src WHERE value IS NOT NULL GROUP BY ALL), dd AS (SELECT model_name, (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) AS d FROM g a JOIN g b USING (model_name) WHERE a.diagnosis = 'HC' AND b.diagnosis = 'AD')
+SELECT model_name, k, n, h, d FROM kw JOIN dd USING (model_name)""", "h d", "model_name k n"),
+    "users_of_all_tests": "SELECT participant_id FROM meta_entries GROUP BY participant_id HAVING count(DISTINCT test_code) = 3",
     "quartile_assign": f"WITH {base.POOL}, q AS (SELECT quantile_cont(cosine_sim::DOUBLE, [0.25, 0.5, 0.75]) AS e FROM pool) SELECT CASE WHEN cosine_sim <= e[1] THEN 0 WHEN cosine_sim <= e[2] THEN 1 WHEN cosine_sim <= e[3] THEN 2 WHEN cosine_sim IS NOT NULL THEN 3 END AS quartile, count(*) AS n, min(cosine_sim) AS lo, max(cosine_sim) AS hi FROM pool, q GROUP BY 1",
     "semi_anti_split": f"WITH {base.CURRENT}, {base.POOL} SELECT pair_id, target, CASE WHEN pair_id IN (SELECT pair_id FROM current) THEN 'rated' ELSE 'unrated' END AS part FROM pool",
     "fan_out_join": rounded_sql(f"WITH {base.POOL}, s AS (SELECT pair_id, target, response FROM sq3_anchors UNION ALL SELECT min(pair_id), target, response FROM pool GROUP BY target, response)\nSELECT s.pair_id, count(*) AS n, avg(cosine_sim) AS mean_cosine FROM s JOIN pool p ON s.target = p.target AND s.response = p.response GROUP BY s.pair_id", "mean_cosine", "pair_id n", 9),
@@ -637,6 +684,13 @@ SELECT k, n, h FROM kw""", "h", "k n", 4),
     "graph_path": f"WITH RECURSIVE {_GRAPH}, {_PAIRS}, {_BFS.format(h=4)} SELECT s1, s2, path_length FROM len",
     "graph_relations": f"WITH RECURSIVE {_GRAPH}, {_PAIRS}, {_BFS.format(h=3)} SELECT CASE WHEN path_length = 1 THEN 'mother(t→r)' WHEN path_length = 2 THEN 'm-sibling' WHEN path_length <= 3 THEN 'near' ELSE 'far' END AS relation, count(*) AS n FROM len GROUP BY 1",
     "graph_stats": f"WITH RECURSIVE {_GRAPH} SELECT (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) AS n_senses, (SELECT count(*) FROM edges WHERE label = 'primary') AS n_primary, (SELECT count(*) FROM edges WHERE label = 'secondary') AS n_secondary, count(*) AS n_connected, max(depth) AS max_depth FROM walk",
+    "graph_agreement": rounded_sql(f"""WITH RECURSIVE {_GRAPH}, {base.RATED}, {base.POOL}, w AS (SELECT DISTINCT form, 's' || (('0x' || substr(md5(form), 1, 4))::BIGINT % 200) AS sense FROM (SELECT target AS form FROM pool UNION ALL SELECT response FROM pool) WHERE length(form) <= 12),
+tr AS (SELECT DISTINCT target, response, a.sense AS s1, b.sense AS s2 FROM pool LEFT JOIN w a ON a.form = target LEFT JOIN w b ON b.form = response), pairs AS (SELECT DISTINCT s1, s2 FROM tr WHERE s1 IS NOT NULL AND s2 IS NOT NULL), {_BFS.format(h=4)},
+sim AS (SELECT target, response, 1.0 / (1 + path_length) AS path_similarity, CASE WHEN a.path IS NULL OR b.path IS NULL THEN NULL WHEN s1 = s2 THEN 1.0 ELSE 2.0 * (len(list_filter(range(1, least(len(a.path), len(b.path)) + 1), lambda i: a.path[i] = b.path[i])) - 1) / nullif(a.depth + b.depth, 0) END::DOUBLE AS wu_palmer
+  FROM tr LEFT JOIN len USING (s1, s2) LEFT JOIN walk a ON a.sense = s1 LEFT JOIN walk b ON b.sense = s2),
+long AS (SELECT 'path_similarity' AS measure, rating, path_similarity::DOUBLE AS value FROM rated JOIN pool USING (pair_id) LEFT JOIN sim USING (target, response) UNION ALL SELECT 'wu_palmer', rating, wu_palmer FROM rated JOIN pool USING (pair_id) LEFT JOIN sim USING (target, response)),
+r AS (SELECT measure, rank() OVER (PARTITION BY measure ORDER BY rating) + (count(*) OVER (PARTITION BY measure, rating) - 1) / 2.0 AS x, rank() OVER (PARTITION BY measure ORDER BY value) + (count(*) OVER (PARTITION BY measure, value) - 1) / 2.0 AS y FROM long WHERE value IS NOT NULL)
+SELECT measure, any_value(n) AS n, any_value(n_oov) AS n_oov, any_value(oov_rate) AS oov_rate, corr(x, y) AS spearman_rho FROM r JOIN (SELECT measure, count(value) AS n, count(*) - count(value) AS n_oov, 1 - count(value) / count(*)::DOUBLE AS oov_rate FROM long GROUP BY measure) USING (measure) GROUP BY measure""", "oov_rate spearman_rho", "measure n n_oov"),
     "ridge_closed_form": rounded_sql(f"""WITH {_SCORED}, x AS (SELECT age AS a, total_words AS b, mmse AS y FROM scored WHERE mmse IS NOT NULL AND age IS NOT NULL), m AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS byy FROM x),
 s AS (SELECT *, n + 1.0 AS p, n * ab / (sa * sb) AS q, n * ay / sa AS u, n * byy / sb AS v FROM m), w AS (SELECT *, (u * p - q * v) / (p * p - q * q) / sa AS b_age, (v * p - q * u) / (p * p - q * q) / sb AS b_words FROM s)
 SELECT n, my - b_age * ma - b_words * mb AS intercept, b_age, b_words FROM w""", "intercept b_age b_words", "n", 5),

@@ -41,3 +41,8 @@ def to_markdown(df: DataFrame, max_rows: int = 1000) -> str:
     text = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(text(v) for v in r) + " |" for r in rows])
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, sha256 of files."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))

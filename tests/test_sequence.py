@@ -77,3 +77,12 @@ def test_sweep_matches_single_thresholds(spark):
     sweep = {r.threshold: r.cluster_count for r in S.threshold_sweep(s, ["participant_id"], [0.0, 0.2, 0.25, 0.5]).collect()}
     assert sweep == {0.0: 1, 0.2: 2, 0.25: 4, 0.5: 5}
     assert s.filter(F.col("pos") < 0).transform(lambda d: S.threshold_sweep(d, ["participant_id"], [0.1])).count() == 0
+
+
+def test_long_sequences_give_the_same(spark):
+    rows = spark.createDataFrame([(f"g{i % 3 if i % 2 else 0}", i * 37 % 1009, [float(i % 5), 1.0, float(i % 3)]) for i in range(400)], "g string, i int, v array<double>")
+    short, long = vectors.adjacent(rows, "g", "i", "v").cache(), vectors.adjacent(rows, "g", "i", "v", long=True).cache()
+    key = lambda d: sorted((r.g, r.pos, r.i, r.sim) for r in d.collect() if r.sim is not None)
+    assert key(short) == key(long) and long.filter("sim IS NULL").count() == short.filter("sim IS NULL").count() == 3
+    a, b = (S.detect_clusters(d.select("g", "pos", "sim"), ["g"], 0.9, long=x) for d, x in ((short, False), (long, True)))
+    assert sorted(map(tuple, a.select("g", "pos", "cluster_id").collect())) == sorted(map(tuple, b.select("g", "pos", "cluster_id").collect()))

@@ -162,3 +162,14 @@ def test_summaries(spark):
     assert (best.t, best.h) == (0.1, 2.0)
     for empty in (summaries.value_counts(df.limit(0), "v"), summaries.demographics(df.limit(0).selectExpr("g", "v as gender", "n as age"), "g")):
         assert empty.count() == 0
+
+
+def test_previous_values_over_buckets_equal_lag(spark):
+    from lexspark.operators.ranking import previous_values, spread_key
+
+    rows = spark.createDataFrame([(None if i % 5 == 0 else i % 3, None if i == 77 else i * 7919 % 1009, f"v{i}" if i % 4 else None) for i in range(300)], "g int, k int, v string")
+    got = previous_values(rows, ["g"], spread_key(rows, "k"), ["v", "k"], ["k", "v"], bits=5).toPandas()
+    for _, part in got.groupby("g", dropna=False):
+        part = part.sort_values("k", na_position="first", kind="stable")
+        assert part["prev_v"].tolist()[1:] == part["v"].tolist()[:-1] and part["has_prev"].tolist() == [False] + [True] * (len(part) - 1)
+    assert previous_values(rows.limit(0), ["g"], F.col("k"), ["v"]).count() == 0
