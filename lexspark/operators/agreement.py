@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions.text import interpretability, truthy
 from lexspark.operators import stats
+from lexspark.session import cut
 
 #: The closed lists a rating file is checked against.
 RATINGS = (0, 1, 2, 3)
@@ -96,8 +97,8 @@ def divergence_catalog(rated: DataFrame, pairs: DataFrame, percentile: float = 0
     The threshold is one number, exact and interpolated."""
     require(rated, ("pair_id", "rating"))
     require(pairs, ("pair_id", "cosine_sim"))
-    j = rated.join(pairs, "pair_id").withColumn("disagreement", F.abs(F.col("rating") / 3 - F.col("cosine_sim")))
-    limit = j.agg(F.percentile("disagreement", F.lit(percentile))).first()[0]
+    j = cut(rated.join(pairs, "pair_id").withColumn("disagreement", F.abs(F.col("rating") / 3 - F.col("cosine_sim"))), "disagreement")
+    limit = next(iter(stats.exact_percentiles(j, "disagreement", [percentile])), None)
     out = j.withColumns({"is_divergence_case": F.coalesce(F.col("disagreement") > F.lit(limit), F.lit(False)), "threshold_value": F.lit(limit).cast("double"), "threshold_percentile": F.lit(100 * percentile)})
     return out.join(relations, ["target", "response"], "left") if relations is not None else out
 

@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexspark.operators.ranking import running_offset, spread_key
+from lexspark.session import cut
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """(by, value, n, rank): the average rank of each distinct value within its group, and how often it occurs.
     Null values have no rank."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    counts = cut(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")), "counts")
     before = running_offset(counts, list(by), spread_key(counts, value), F.col("n"), ties=[value], name="_before")
     return before.select(*by, value, "n", (F.col("_before") + (F.col("n") + 1) / 2).alias(name))
 
@@ -45,7 +46,7 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), min_n: int =
 
     The correlation is computed from the sums over distinct (x, y) cells."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("x"), F.col(y).alias("y"))
-    cells = both.groupBy(*by, "x", "y").agg(F.count("*").alias("w"))
+    cells = cut(both.groupBy(*by, "x", "y").agg(F.count("*").alias("w")), "cells")
     for v in ("x", "y"):
         marg = cells.groupBy(*by, v).agg(F.sum("w").alias("n"))
         r = running_offset(marg, list(by), spread_key(marg, v), F.col("n"), ties=[v], name="_before").select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], F.col(v).alias("_v"), (F.col("_before") + (F.col("n") + 1) / 2).alias(f"r{v}"))
@@ -69,6 +70,7 @@ def kruskal(df: DataFrame, value: str, group: str, by: Sequence[str] = (), least
     if least > 1:
         enough = cells.groupBy(*by, "g").agg(F.sum("w").alias("_n")).filter(F.col("_n") >= least).drop("_n")
         cells = cells.join(enough, [*by, "g"])
+    cells = cut(cells, "cells")
     marg = cells.groupBy(*by, "v").agg(F.sum("w").alias("n"))
     ranks = running_offset(marg, list(by), spread_key(marg, "v"), F.col("n"), ties=["v"], name="_before").select(*by, "v", (F.col("_before") + (F.col("n") + 1) / 2).alias("r"), F.col("n").alias("t"))
     sums = cells.join(ranks, [*by, "v"]).groupBy(*by, "g").agg(F.sum("w").alias("ng"), F.sum(F.col("w") * F.col("r")).alias("rs"))
@@ -203,11 +205,26 @@ def residuals(df: DataFrame, y: str, x: str, name: str = "residual") -> DataFram
     return df.withColumn(name, F.col(y) - (F.lit(float(slope)) * F.col(x) + F.lit(float(icept))))
 
 
+def exact_percentiles(df: DataFrame, value: str, probabilities: Sequence[float]) -> list[float]:
+    """Percentiles by linear interpolation, exact, over all non-null values; empty for an empty column. The values at
+    the positions in question are found through bucketed running counts of distinct values, so no task holds them all."""
+    counts = cut(df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
+        return []
+    at = [(total - 1) * p for p in probabilities]
+    wanted = sorted({k for h in at for k in (math.floor(h), math.ceil(h))})
+    placed = running_offset(counts, [], spread_key(counts, "v"), F.col("n"), ties=["v"], name="_before")
+    hit = F.array(*[F.lit(k) for k in wanted])
+    rows = placed.select("v", F.explode(F.filter(hit, lambda k: (k >= F.col("_before")) & (k < F.col("_before") + F.col("n")))).alias("k")).collect()
+    found = {r["k"]: r["v"] for r in rows}
+    return [found[math.floor(h)] + (found[math.ceil(h)] - found[math.floor(h)]) * (h - math.floor(h)) for h in at]
+
+
 def quartile_cutpoints(df: DataFrame, value: str) -> list[float]:
     """The edges of qcut with four parts: minimum, exact quartiles by linear interpolation, maximum; equal edges
     dropped. Empty for an empty column."""
-    edges = df.agg(F.percentile(F.col(value).cast("double"), F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)]))).first()[0]
-    return sorted(set(edges)) if edges else []
+    return sorted(set(exact_percentiles(df, value, (0.0, 0.25, 0.5, 0.75, 1.0))))
 
 
 def assign_quartile(df: DataFrame, value: str, name: str = "cosine_quartile") -> DataFrame:

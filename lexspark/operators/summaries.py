@@ -38,11 +38,16 @@ def item_variation(df: DataFrame, item: str, value: str, k: int | None = 10) ->
     return ordered.limit(k) if k is not None else ordered
 
 
+def _with_share(counts: DataFrame) -> DataFrame:
+    """counts with each n as a share of their sum, which is one row joined by a constant; both sides read the same
+    aggregation, so the rows are counted once."""
+    total = counts.agg(F.sum("n").cast("double").alias("_total"), F.lit(1).alias("_one"))
+    return counts.withColumn("_one", F.lit(1)).join(total, "_one").withColumn("share", F.col("n") / F.col("_total")).drop("_one", "_total")
+
+
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:
     """Distinct values with their count and share of all rows (the counts are summed, not the rows windowed)."""
-    counts = df.groupBy(*columns).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.withColumn("share", F.col("n") / F.lit(float(total or 1)))
+    return _with_share(df.groupBy(*columns).agg(F.count("*").alias("n")))
 
 
 def top_k_values(df: DataFrame, by: Sequence[str], value: str, k: int) -> DataFrame:
@@ -86,9 +91,8 @@ def missing_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def demographics(df: DataFrame, group: str) -> DataFrame:
     """Per group: n, share of all, women, age mean, sd, min, max."""
-    total = df.count()
     g = df.groupBy(group).agg(F.count("*").alias("n"), F.count_if(F.upper(F.col("gender")) == "F").alias("n_women"), F.avg("age").alias("age_mean"), F.stddev_samp("age").alias("age_sd"), F.min("age").alias("age_min"), F.max("age").alias("age_max"))
-    return g.withColumn("share", F.col("n") / F.lit(float(total or 1)))
+    return _with_share(g)
 
 
 def best_by(df: DataFrame, by: Sequence[str], score: str, choice: str) -> DataFrame:

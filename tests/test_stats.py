@@ -173,3 +173,10 @@ def test_previous_values_over_buckets_equal_lag(spark):
         part = part.sort_values("k", na_position="first", kind="stable")
         assert part["prev_v"].tolist()[1:] == part["v"].tolist()[:-1] and part["has_prev"].tolist() == [False] + [True] * (len(part) - 1)
     assert previous_values(rows.limit(0), ["g"], F.col("k"), ["v"]).count() == 0
+
+
+def test_exact_percentiles(spark):
+    v = np.round(np.random.default_rng(4).normal(size=501), 2)
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+    assert np.allclose(stats.exact_percentiles(df, "v", (0, 0.1, 0.25, 0.5, 0.9, 1)), np.percentile(v, [0, 10, 25, 50, 90, 100]))
+    assert stats.exact_percentiles(df.filter("v is null"), "v", (0.5,)) == [] and stats.exact_percentiles(df.limit(1), "v", (0.3,)) == [df.first()[0]]
