@@ -7,10 +7,11 @@ of all rows is never ordered in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +36,7 @@ def allocate(share: np.ndarray, floor: np.ndarray, available: np.ndarray, size:
     a, b = 0.0, 1.0
     while level(b).sum() < total and b < 1e18:
         b *= 2
-    for _ in range(200):
+    for _ in range(80):
         m = (a + b) / 2
         a, b = (m, b) if level(m).sum() < total else (a, m)
     ideal = level(b)
@@ -84,13 +85,29 @@ def quota_report(members: DataFrame, targets: DataFrame, dims: Sequence[str] = D
         F.greatest(F.coalesce("min_pairs", F.lit(0)), F.coalesce(F.floor(F.col("target_share") * F.col("sample_size") + 0.5), F.lit(0))).cast("bigint").alias("needed"), F.coalesce("available", F.lit(0)).cast("bigint").alias("available"),
     )
 
-    def quotas(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("target_id")
-        size = g["sample_size"].max()
-        g["quota"] = allocate(g["target_share"].to_numpy(), g["min_pairs"].to_numpy(), g["available"].to_numpy(), int(size) if pd.notna(size) else 0)
-        return g
-
-    out = t.groupBy("draw_id").applyInPandas(quotas, T.StructType([*t.schema.fields, T.StructField("quota", T.LongType())]))
+    def quotas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by draw: the draws of a batch are allocated one after the other, the last one waits for the next batch."""
+        held: pa.Table | None = None
+        for b in chain(batches, (None,)):
+            if b is not None and not b.num_rows:
+                continue
+            t = held if b is None else pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if t is None:
+                return
+            draw = t["draw_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(draw)) + 1, [len(draw)]])
+            last = len(starts) - 1 if b is None else len(starts) - 2
+            share, floor, have, size = (t[c].to_numpy() for c in ("target_share", "min_pairs", "available", "sample_size"))
+            quota = np.zeros(len(draw), dtype=np.int64)
+            for lo, hi in zip(starts[:last], starts[1:]):
+                n = size[lo:hi].astype("float64")
+                quota[lo:hi] = allocate(share[lo:hi], floor[lo:hi], have[lo:hi], 0 if np.isnan(n).all() else int(np.nanmax(n)))
+            done = int(starts[last])
+            if done:
+                yield from t.slice(0, done).append_column("quota", pa.array(quota[:done])).combine_chunks().to_batches()
+            held = t.slice(done)
+
+    out = t.repartition("draw_id").sortWithinPartitions("draw_id", "target_id").mapInArrow(quotas, T.StructType([*t.schema.fields, T.StructField("quota", T.LongType())]))
     return out.withColumn("shortfall", F.greatest(F.col("needed") - F.col("available"), F.lit(0)))
 
 
