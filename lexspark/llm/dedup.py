@@ -240,7 +240,7 @@ def collapse(df: DataFrame, id: str, payload: str, fields: Sequence[str] = RECOR
     """(kept_id, copy_id): for each set of equal records the smallest id with each other one.
 
     Records are equal if their fields hold the same words in the same order, the fields in any order. Null payloads
-    and payloads without any word equal nothing. Rows with the same id are one record. An empty table gives no pairs.
+    and payloads without any word equal nothing. Rows repeated with their id are one record. An empty table gives no pairs.
     Groups are never collected: the kept record is found by a map-side combined minimum and joined back (a hot group is
     split by the adaptive skew join), and each copy is compared with it where it lies.
     """
@@ -253,16 +253,18 @@ def collapse(df: DataFrame, id: str, payload: str, fields: Sequence[str] = RECOR
             for b in batches:
                 if b.num_rows:
                     h1, h2, ok = record_hashes(b.column(1), fields, seed, bits)
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(h1, mask=~ok), pa.array(h2, mask=~ok)], names=["id", "payload", "h1", "h2"])
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h1, mask=~ok), pa.array(h2, mask=~ok)], names=["id", "h1", "h2"])
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(same_records(b.column(1), b.column(3), fields))], names=["kept_id", "copy_id", "same"])
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same_records(b.column(2), b.column(3), fields))], names=["kept_id", "copy_id", "same"])
 
-        hashed = rows.filter("payload IS NOT NULL").mapInArrow(hashes, f"id {kind}, payload string, h1 bigint, h2 bigint").filter("h1 IS NOT NULL")
-        firsts = hashed.groupBy("h1", "h2").agg(F.min(F.struct("id", "payload")).alias("k"), F.count("*").alias("n")).filter("n > 1")
-        pairs = hashed.join(firsts, ["h1", "h2"]).filter(F.col("id") != F.col("k.id")).select("id", "payload", F.col("k.id").alias("kept_id"), F.col("k.payload").alias("kept_payload"))
+        hashed = cut(rows.filter("payload IS NOT NULL").mapInArrow(hashes, f"id {kind}, h1 bigint, h2 bigint").filter("h1 IS NOT NULL"), "hashes")
+        firsts = hashed.groupBy("h1", "h2").agg(F.min("id").alias("kept_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        members = hashed.join(firsts, ["h1", "h2"]).filter("id <> kept_id").select("kept_id", F.col("id").alias("copy_id"))
+        one, two = rows.select(F.col("id").alias("copy_id"), F.col("payload").alias("p1")), rows.select(F.col("id").alias("kept_id"), F.col("payload").alias("p2"))
+        pairs = members.join(one, "copy_id").join(two, "kept_id").select("kept_id", "copy_id", "p1", "p2")
         verified = cut(pairs.mapInArrow(compare, f"kept_id {kind}, copy_id {kind}, same boolean"), "pairs")
         done.append(verified.filter("same").select("kept_id", "copy_id"))
         wrong = verified.filter("NOT same").select(F.col("copy_id").alias("id")).distinct()
