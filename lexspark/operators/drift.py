@@ -39,8 +39,16 @@ SHEET_FIELDS = (
     Field("EducationYears", ("education_years", "utbildningsår", "education"), "number"),
     Field("FirstLanguage", ("firstlanguage", "first_language", "modersmål"), "union"),
     Field("HearingAid", ("hearingaid", "hearing_aid", "hörapparat"), "boolean"),
+    Field("AgeAtOnset", ("ageatonset",), "number"),
+    Field("MoCA", ("moca",), "number"),
+    Field("SessionMinutes", ("sessionminutes",), "number"),
+    Field("Site", ("site",), "union"),
 )
 
+#: A text that states a number and nothing but a unit.
+_NUMERIC = r"^[-+]?\d+(?:[.,]\d+)?\s*\p{L}*\.?$"
+
+
 def promote(a: str, b: str) -> str:
     """The type-promotion lattice: void lies below every JSON type, string above; two other types meet in string."""
     if a == b or b == "void":
@@ -68,7 +76,7 @@ def _field_of(label: Column, fields: Sequence[Field]) -> Column:
 
 def headers(records: DataFrame, fields: Sequence[Field] = SHEET_FIELDS, payload: str = "payload") -> DataFrame:
     """Header schemas: a row per (series_id, file_seq, file_id, field, label, kind) with the number `n` of its values
-    and how many of them are placeholders (`n_blank`).
+    how many of them are placeholders (`n_blank`) and how many others state a number (`n_numeric`).
 
     Rows delivered twice count once. Payloads that are null or no JSON object bring no labels; files without any label
     have no row here (see `file_order`). A label given twice in one object makes that object unreadable.
@@ -79,9 +87,9 @@ def headers(records: DataFrame, fields: Sequence[Field] = SHEET_FIELDS, payload:
     label = label_key(F.col("raw"))
     text = F.lower(F.col("v").try_cast("string"))
     return (
-        cells.select("series_id", "file_seq", "file_id", label.alias("label"), json_kind(F.col("v")).alias("kind"), F.coalesce(strip(text).isin(*PLACEHOLDERS), F.lit(False)).alias("blank"))
+        cells.select("series_id", "file_seq", "file_id", label.alias("label"), json_kind(F.col("v")).alias("kind"), F.coalesce(strip(text).isin(*PLACEHOLDERS), F.lit(False)).alias("blank"), F.coalesce(strip(text).rlike(_NUMERIC), F.lit(False)).alias("numeric"))
         .groupBy("series_id", "file_seq", "file_id", "label", "kind")
-        .agg(F.count("*").alias("n"), F.count_if("blank").alias("n_blank"))
+        .agg(F.count("*").alias("n"), F.count_if("blank").alias("n_blank"), F.count_if(~F.col("blank") & F.col("numeric")).alias("n_numeric"))
         .withColumn("field", _field_of(F.col("label"), fields))
     )
 
@@ -130,10 +138,10 @@ def schema_changes(records: DataFrame, fields: Sequence[Field] = SHEET_FIELDS) -
 
 def union_schema(records: DataFrame, fields: Sequence[Field] = SHEET_FIELDS, max_fields: int = 5000) -> dict[str, str]:
     """field -> type over all files: the join of all types that occur in the promotion lattice, placeholders and nulls
-    being void. Declared kinds hold. The number of fields is checked: beyond `max_fields` columns no table makes sense,
+    being void, and a file's texts numbers if all of them state one ("16", "8 år"). Declared kinds hold. The number of fields is checked: beyond `max_fields` columns no table makes sense,
     and an error says so rather than dropping any."""
     h = headers(records, fields)
-    kinds = h.groupBy("field", F.when(F.col("n") == F.col("n_blank"), "void").otherwise(F.col("kind")).alias("kind")).agg(F.sum("n").alias("n"))
+    kinds = h.groupBy("field", F.when(F.col("n") == F.col("n_blank"), "void").when((F.col("kind") == "string") & (F.col("n") == F.col("n_blank") + F.col("n_numeric")), "number").otherwise(F.col("kind")).alias("kind")).agg(F.sum("n").alias("n"))
     per = kinds.groupBy("field").agg(F.sort_array(F.collect_set("kind")).alias("kinds")).limit(max_fields + 1).collect()  # at most six kinds each
     if len(per) > max_fields:
         raise ValueError(f"more than {max_fields} fields; raise max_fields or name their common quantities in `fields`")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspark.functions.values import PLACEHOLDERS
 from lexspark.operators import drift, eav
 from lexspark.session import table
 
@@ -31,6 +32,7 @@ QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p6_found": p6_found,
 
 _P2_FIELDS = "CASE" + "".join(f" WHEN lab IN ({', '.join(repr(x) for x in f.labels)}) THEN '{f.name}'" for f in drift.SHEET_FIELDS) + " ELSE lab END"
 
+_BLANK = ", ".join(f"'{x}'" for x in PLACEHOLDERS)
 SQL = {
     "p2_found": rf"""
 WITH recs AS (SELECT DISTINCT series_id, file_seq, file_id, record_no, payload::JSON AS p FROM sheet_records),
@@ -62,5 +64,28 @@ said AS (SELECT w.*, CASE w.attr_name
   ELSE len(regexp_extract_all(regexp_replace(v, '(/|av)\s*30\b', ''), '\d+([.,]\d+)?')) = 1 END AS good
   FROM wanted w LEFT JOIN last l ON w.test_code = l.test_code AND w.participant_id = l.participant_id AND w.attr_name = l.attr_name)
 SELECT test_code, participant_id, attr_name FROM said WHERE good IS NOT TRUE
+""",
+    "p2_records": rf"""
+WITH last AS (SELECT file_id, record_no, arg_max({{'s': series_id, 'q': file_seq, 't': test_code, 'u': participant_id, 'p': payload}}, (arrived_at, payload)) AS r FROM sheet_records GROUP BY ALL),
+raw AS (SELECT file_id, record_no, r.p::JSON AS p, unnest(json_keys(r.p::JSON)) AS k FROM last),
+cells AS (SELECT file_id, record_no, {_P2_FIELDS} AS field, v FROM (SELECT file_id, record_no, trim(regexp_replace(lower(trim(k)), ':$', '')) AS lab, json_extract_string(p, '$."' || k || '"') AS v FROM raw) WHERE v IS NOT NULL),
+scalars AS (SELECT file_id, record_no, field, v, CASE WHEN v[1] = '{{' THEN coalesce(json_extract_string(v, '$.score'), json_extract_string(v, '$.code')) WHEN v[1] = '[' THEN json_extract_string(v, '$[0]') ELSE v END AS x FROM cells),
+typed AS (SELECT *, CASE WHEN lower(trim(v)) NOT IN ({_BLANK}) THEN v END AS txt, CASE WHEN lower(trim(x)) IN ('m', 'man', 'male', '1') THEN 'M' WHEN lower(trim(x)) IN ('f', 'k', 'kvinna', 'female', 'woman', '2') THEN 'F' END AS sex,
+  regexp_extract_all(CASE WHEN field = 'MMSE' THEN regexp_replace(x, '(/|av)\s*30\b', '') ELSE x END, '\d+([.,]\d+)?') AS nums,
+  CASE regexp_replace(lower(regexp_replace(x, '\.0+$', '')), '[^\p{{L}}\p{{N}}]', '', 'g') WHEN '1' THEN 'HC' WHEN '2' THEN 'MCI' WHEN '3' THEN 'AD' WHEN '4' THEN 'non-AD' WHEN 'hc' THEN 'HC' WHEN 'mci' THEN 'MCI' WHEN 'ad' THEN 'AD' WHEN 'nonad' THEN 'non-AD' END AS code,
+  CASE WHEN lower(trim(x)) IN ('true', 'ja', 'yes', '1') THEN true WHEN lower(trim(x)) IN ('false', 'nej', 'no', '0') THEN false END AS flag FROM scalars),
+wide AS (SELECT file_id, record_no, max(sex) FILTER (field = 'Gender') AS "Gender", max(code) FILTER (field = 'Category') AS "Category", max(txt) FILTER (field = 'FirstLanguage') AS "FirstLanguage", bool_or(flag) FILTER (field = 'HearingAid') AS "HearingAid", max(txt) FILTER (field = 'Site') AS "Site",
+  {', '.join(f"""max(replace(nums[1], ',', '.')::DOUBLE) FILTER (field = '{f}' AND len(nums) = 1) AS "{f}" """ for f in ("Age", "MMSE", "EducationYears", "AgeAtOnset", "MoCA", "SessionMinutes"))} FROM typed GROUP BY ALL)
+SELECT r.s AS series_id, r.q AS file_seq, file_id, record_no, r.t AS test_code, r.u AS participant_id, "Gender", "Age", "Category", "MMSE", "EducationYears", "FirstLanguage", "HearingAid", "AgeAtOnset", "MoCA", "SessionMinutes", "Site" FROM last LEFT JOIN wide USING (file_id, record_no)
+""",
+    "p6_wide": rf"""
+WITH named AS (SELECT *, CASE WHEN k IN ('gender', 'kön', 'sex') THEN 'Gender' WHEN k IN ('age', 'ålder') THEN 'Age' WHEN k IN ('mmse', 'mmse-poäng', 'mmse (0-30)') THEN 'MMSE' WHEN k IN ('category', 'kategori', 'diagnos', 'diagnosis') THEN 'Category' ELSE k END AS attr
+  FROM (SELECT *, trim(regexp_replace(lower(trim(attr_name)), ':$', '')) AS k FROM meta_entries)),
+last AS (SELECT test_code, participant_id, attr, arg_max(coalesce(attr_value, ''), (entered_at, row_id)) AS v FROM named GROUP BY ALL),
+typed AS (SELECT *, CASE WHEN lower(trim(v)) NOT IN ({_BLANK}) THEN v END AS txt, CASE WHEN lower(trim(v)) IN ('m', 'man', 'male', '1') THEN 'M' WHEN lower(trim(v)) IN ('f', 'k', 'kvinna', 'female', 'woman', '2') THEN 'F' END AS sex,
+  regexp_extract_all(CASE WHEN attr = 'MMSE' THEN regexp_replace(v, '(/|av)\s*30\b', '') ELSE v END, '\d+([.,]\d+)?') AS nums FROM last)
+SELECT test_code, participant_id, max(sex) FILTER (attr = 'Gender') AS "Gender", {', '.join(f"""max(replace(nums[1], ',', '.')::DOUBLE) FILTER (attr = '{a}' AND len(nums) = 1) AS "{a}" """ for a in ("Age", "MMSE"))},
+  {', '.join(f"""max(try_cast(trim(v) AS DOUBLE)) FILTER (attr = '{a}') AS "{a}" """ for a in ("ageatonset", "education", "mmse version"))}, {', '.join(f"""max(txt) FILTER (attr = '{a}') AS "{a}" """ for a in ("Category", "age group", "comment", "firstlanguage", "genderofrater", "handedness", "hearingaid", "interpreter", "mmse_date", "site"))}
+FROM typed GROUP BY test_code, participant_id
 """,
 }

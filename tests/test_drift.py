@@ -65,3 +65,9 @@ def test_last_arrival_holds(spark):
 def test_too_many_fields_is_an_error(spark):
     with pytest.raises(ValueError):
         drift.union_schema(records(spark, [[{f"f{i}": 1 for i in range(20)}]]), max_fields=10)
+
+
+def test_numeric_texts_are_numbers_in_the_union(spark):
+    df = records(spark, [[{"Speed": 20, "Odd": 1}], [{"Speed": "21 p", "Odd": "x"}, {"Speed": "nan", "Odd": "2"}]])
+    assert drift.union_schema(df)["speed"] == "number" and drift.union_schema(df)["odd"] == "string"
+    assert sorted((r.speed or 0) for r in drift.consistent_table(df).collect()) == [0, 20.0, 21.0]
