@@ -26,3 +26,11 @@ def test_entry_names_and_llm_is_optional(spark):
 
     assert set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_the_package_is_shipped_once(spark):
+    from lexspark.session import ship
+
+    ship(spark)
+    ship(spark)
+    assert spark.sparkContext._python_includes.count("lexspark.zip") == 1
