@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
 import zipfile
@@ -59,16 +60,23 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once per context, so that they need no path of their own
-    to it."""
+    to it. The archive is made in memory and lies in the shared folder."""
     sc = spark.sparkContext
     if getattr(sc, "_lexspark_shipped", False):
         return
-    package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="lexspark-")) / "lexspark.zip"
+    package, archive = Path(__file__).resolve().parent, io.BytesIO()
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f"{package.name}/{f.relative_to(package)}")
-    sc.addPyFile(str(archive))
+    path = f"{shared_dir(spark)}/lexspark-{uuid.uuid4().hex}.zip"
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
+    try:
+        out.write(bytearray(archive.getvalue()))
+    finally:
+        out.close()
+    _WRITTEN.append((spark, path))
+    sc.addPyFile(path)
     sc._lexspark_shipped = True
 
 
