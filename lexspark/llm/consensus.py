@@ -161,18 +161,28 @@ def clean_labels(ratings: DataFrame, task: Task) -> DataFrame:
     return rows.filter("item IS NOT NULL AND rater IS NOT NULL AND l IS NOT NULL").distinct().select("item", "rater", F.col("l").cast("tinyint").alias("l"))
 
 
-def community_consensus(ratings: DataFrame, task: Task = RATING, rounds: int = 3, inner: int = 5, strength: float = 20.0, pseudo: float = 8.0) -> tuple[DataFrame, DataFrame]:
+def clean_judgements(ratings: DataFrame, tasks: Sequence[Task]) -> DataFrame:
+    """(item, rater, one label column per task, named after it): one row per judgement, read once for several tasks.
+    Should deliveries of a judgement differ, the greatest class index holds; judgements without an id are told apart by
+    their labels."""
+    labels = {t.name: task_label(t).cast("tinyint") for t in tasks}
+    rows = ratings.select(F.col("pair_id").alias("item"), F.col("rater_id").alias("rater"), F.col("rating_id").alias("_id"), *[c.alias(n) for n, c in labels.items()]).filter("item IS NOT NULL AND rater IS NOT NULL")
+    apart = F.when(F.col("_id").isNull(), F.xxhash64(*labels))
+    return rows.groupBy("item", "rater", "_id", apart.alias("_h")).agg(*[F.max(n).alias(n) for n in labels]).drop("_id", "_h")
+
+
+def community_consensus(ratings: DataFrame, task: Task = RATING, rounds: int = 3, inner: int = 5, strength: float = 20.0, pseudo: float = 8.0, judgements: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(items, raters) of one task.
 
     items: item, n_labels, consensus (the most probable class), confidence, expected (mean class index), agreement
     (share of pairs of judgements that agree, null for one judgement). raters: rater, n_labels, community, reliability
     (correlation of the rater's labels with the consensus, for nominal tasks chance-corrected agreement).
 
-    `rounds` passes over the labels; `inner` updates of the communities in each; `strength` judgements' worth of prior
+    `judgements`: a stored result of `clean_judgements`, used in place of `ratings`. `rounds` passes over the labels; `inner` updates of the communities in each; `strength` judgements' worth of prior
     on each community's matrix; `pseudo` judgements by which a rater's own matrix is drawn to its communities'.
     """
     c = len(task.classes)
-    labels = cut(clean_labels(ratings, task), "labels")
+    labels = cut(clean_labels(ratings, task), "labels") if judgements is None else judgements.select("item", "rater", F.col(task.name).alias("l")).filter("l IS NOT NULL")
     prior, names = communities(task)
     model = _Model(prior, strength, strength * prior, np.ones(len(prior)), pseudo)
     votes = labels.groupBy("item").agg(*[F.count_if(F.col("l") == k).cast("double").alias(f"v{k}") for k in range(c)])

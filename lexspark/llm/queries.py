@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.llm import consensus, dedup, mixing, packing, quota, splitting, terms
-from lexspark.session import table
+from lexspark.session import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,9 +30,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _each_task(spark: SparkSession, d: str, which: int) -> DataFrame:
-    out = None
-    for task in (consensus.RATING, consensus.CATEGORY, consensus.COMPOUND):
-        part = consensus.community_consensus(table(spark, d, "sq3_ratings"), task)[which].withColumn("task", F.lit(task.name))
+    ratings, tasks, out = table(spark, d, "sq3_ratings"), (consensus.RATING, consensus.CATEGORY, consensus.COMPOUND), None
+    judgements = cut(consensus.clean_judgements(ratings, tasks), "judgements")
+    for task in tasks:
+        part = consensus.community_consensus(ratings, task, judgements=judgements)[which].withColumn("task", F.lit(task.name))
         out = part if out is None else out.unionByName(part)
     return out
 

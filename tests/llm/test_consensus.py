@@ -64,3 +64,13 @@ def test_nulls_impossible_labels_and_empty_tables(spark, judged):
     assert (one.item, one.n_labels, one.agreement) == ("p9", 1, None) and raters.count() == 1
     items, raters = C.community_consensus(df.limit(0), C.RATING)
     assert items.count() == 0 and raters.count() == 0
+
+
+def test_shared_judgements_give_the_same(judged):
+    df, _, _ = judged
+    shared = C.clean_judgements(df, (C.RATING, C.CATEGORY, C.COMPOUND)).cache()
+    for task in (C.RATING, C.COMPOUND):
+        a, b = (sorted(map(tuple, x.select("item", "rater", "l").collect())) for x in (C.clean_labels(df, task), shared.select("item", "rater", F.col(task.name).alias("l")).filter("l IS NOT NULL")))
+        assert a == b
+    one, two = C.community_consensus(df, C.RATING)[1], C.community_consensus(df, C.RATING, judgements=shared)[1]
+    assert {r.rater: round(r.reliability, 6) for r in one.collect()} == {r.rater: round(r.reliability, 6) for r in two.collect()}
