@@ -1,7 +1,7 @@
 """Sense-graph queries on tables: sense, edge(src, dst, label, ord), form_sense(form, sense, ord).
 
 Depths and ancestor paths come from one walk down from the root, level by level; shortest paths from frontier joins for
-all pairs at once, solved pairs leaving the frontier. Every level is cut, so plans stay short on deep graphs.
+all pairs at once and from both ends, solved pairs leaving the frontier. Every level is cut, so plans stay short on deep graphs.
 """
 
 from __future__ import annotations
@@ -86,25 +86,31 @@ def path_lengths(pairs: DataFrame, graph: SenseGraph, s1: str = "s1", s2: str =
     """Distinct (s1, s2) with path_length over all edges in either direction: 0 for a known sense with itself, null if
     unreachable (within max_hops, if given) or unknown.
 
-    Frontiers of all open sources advance together; a source whose targets are all reached leaves."""
+    Frontiers of all open pairs advance together from both ends, the side with fewer nodes next: a shortest path of
+    a + b hops has a node a hops from the one end and b from the other. A pair leaves when its frontiers meet or one of
+    them has no node left. Edges go both ways, so new nodes are those that the last two frontiers do not hold."""
     e = graph.edges()
     both = cut(e.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(e.select("dst", "src")).distinct(), "edges")
     want = cut(pairs.select(F.col(s1).alias("s1"), F.col(s2).alias("s2")).filter("s1 IS NOT NULL AND s2 IS NOT NULL").distinct(), "want")
     known = graph.senses()
-    frontier = cut(want.select(F.col("s1").alias("source")).distinct().join(known.select(F.col("sense").alias("source")), "source", "left_semi").select("source", F.col("source").alias("node")), "frontier")
-    seen, found, open_, hops = frontier, [], want, 0
+    start = [cut(want.select(F.col(s).alias("source")).distinct().join(known.select(F.col("sense").alias("source")), "source", "left_semi").select("source", F.col("source").alias("node")), "frontier") for s in ("s1", "s2")]
+    last, size, found, open_, hops = [[start[0]], [start[1]]], [f.count() for f in start], [], want, 0
     while True:
-        hit = cut(open_.join(frontier, (F.col("s1") == F.col("source")) & (F.col("s2") == F.col("node"))).select("s1", "s2", F.lit(hops).alias("path_length")), "hit")
+        near, far = last[0][-1].withColumnRenamed("source", "s1"), last[1][-1].withColumnRenamed("source", "s2")
+        hit = cut(open_.join(near, "s1").join(far, ["s2", "node"]).select("s1", "s2").distinct().withColumn("path_length", F.lit(hops)), "hit")
         found.append(hit)
-        open_ = cut(open_.join(hit, ["s1", "s2"], "left_anti"), "open")
+        open_ = open_.join(hit, ["s1", "s2"], "left_anti")
+        open_ = cut(open_.join(near.select("s1").distinct(), "s1", "left_semi").join(far.select("s2").distinct(), "s2", "left_semi").select("s1", "s2"), "open")
         if (max_hops is not None and hops >= max_hops) or open_.isEmpty():
             break
-        live = frontier.join(open_.select(F.col("s1").alias("source")).distinct(), "source", "left_semi")
+        i = 0 if size[0] <= size[1] else 1
+        live = last[i][-1].join(open_.select(F.col(("s1", "s2")[i]).alias("source")).distinct(), "source", "left_semi")
         step = live.join(both, F.col("node") == F.col("a")).select("source", F.col("b").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["source", "node"], "left_anti"), "frontier")
-        if frontier.isEmpty():
-            break
-        seen, hops = seen.unionByName(frontier), hops + 1
+        for f in last[i][-2:]:
+            step = step.join(f, ["source", "node"], "left_anti")
+        last[i] = [last[i][-1], cut(step, "frontier")]
+        size[i] = last[i][-1].count()
+        hops += 1
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)

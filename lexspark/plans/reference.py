@@ -450,7 +450,7 @@ def wu_palmer(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def graph_path(spark: SparkSession, d: str) -> DataFrame:
-    return graph.path_lengths(_graph_pairs(spark, d), _graph(spark, d), max_hops=4)
+    return graph.path_lengths(_graph_pairs(spark, d), _graph(spark, d))
 
 
 @query
