@@ -470,12 +470,13 @@ def graph_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def graph_agreement(spark: SparkSession, d: str) -> DataFrame:
-    """Ratings against graph similarity; a word's sense is the part its md5 points to."""
+    """Ratings against graph similarity; a word's sense is the part its md5 points to, of all parts."""
     g, p = _graph(spark, d), base.pool(spark, d)
     w = p.select(F.col("target").alias("form")).union(p.select("response")).filter("form IS NOT NULL").distinct()
-    forms = w.filter("char_length(form) <= 12").select("form", F.concat(F.lit("s"), F.conv(F.substring(F.md5("form"), 1, 4), 16, 10).cast("bigint") % 200).alias("sense"), F.lit(0).alias("ord"))
+    n = table(spark, d, "part").count()
+    forms = w.select("form", F.concat(F.lit("s"), F.conv(F.substring(F.md5("form"), 1, 8), 16, 10).cast("bigint") % n).alias("sense"), F.lit(0).alias("ord"))
     one = graph.SenseGraph(g.edge, forms)
-    return rounded(agreement.graph_agreement(base.rated(spark, d), p, graph.pair_similarity(p, one, max_hops=4)))
+    return rounded(agreement.graph_agreement(base.rated(spark, d), p, graph.pair_similarity(p, one)))
 
 
 # --- samples and regression

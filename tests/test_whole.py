@@ -1,17 +1,22 @@
 """Registered queries do the whole job: no bound on words, paths, lists or rows decides what they give."""
 
-from collections import defaultdict, deque
+import hashlib
+import os
+from collections import Counter, defaultdict, deque
 
 import pandas as pd
 import pytest
 
-from lexspark.plans import reference
+from lexspark.plans import base, reference
+
+FOLDER = "/root/testdata/sf0.001"
+tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
 def neighbours(n):
     """The sense graph over n parts, as sets of neighbours."""
     out = defaultdict(set)
-    for k in range(1, n + 1):
+    for k in range(n):
         for to in [("PRIM..1" if k <= 1 else f"s{(k + 4) // 6}"), *([f"s{k // 3}"] if k > 5 and k % 5 == 0 else [])]:
             out[f"s{k}"].add(to)
             out[to].add(f"s{k}")
@@ -30,14 +35,28 @@ def distances(graph, source):
 
 @pytest.fixture(scope="module")
 def parts(tmp_path_factory):
-    """A folder with 700 parts."""
+    """A folder with 700 parts, keys from 0."""
     d = tmp_path_factory.mktemp("parts")
-    pd.DataFrame({"p_partkey": range(1, 701), "p_name": [f"a w{k}" for k in range(1, 701)]}).to_parquet(d / "part.parquet")
+    pd.DataFrame({"p_partkey": range(700), "p_name": [f"a w{k}" for k in range(700)]}).to_parquet(d / "part.parquet")
     return str(d)
 
 
 def test_paths_of_any_length(spark, parts):
     graph = neighbours(700)
-    want = {(f"s{k}", f"s{k // 3 + 1}"): distances(graph, f"s{k}").get(f"s{k // 3 + 1}") for k in range(2, 701)}
+    want = {(f"s{k}", f"s{k // 3 + 1}"): distances(graph, f"s{k}").get(f"s{k // 3 + 1}") for k in range(2, 700)}
     got = {(r.s1, r.s2): r.path_length for r in reference.graph_path(spark, parts).collect()}
     assert got == want and max(want.values()) > 4
+
+
+@tables
+def test_all_words_meet_the_whole_graph(spark):
+    n = len(pd.read_parquet(f"{FOLDER}/part.parquet"))
+    graph = neighbours(n)
+    sense = lambda w: None if w is None else f"s{int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % n}"
+    j = base.rated(spark, FOLDER).join(base.pool(spark, FOLDER), "pair_id").select("rating", "target", "response").collect()
+    rows = pd.DataFrame([(float(r.rating), distances(graph, sense(r.target)).get(sense(r.response))) for r in j], columns=["rating", "path"])
+    ok = rows.dropna()
+    want = ok["rating"].rank().corr((1.0 / (1 + ok["path"])).rank())
+    got = {r.measure: r for r in reference.graph_agreement(spark, FOLDER).collect()}["path_similarity"]
+    assert (got.n, got.n_oov) == (len(ok), len(rows) - len(ok)) and got.spearman_rho == pytest.approx(want, abs=1e-6)
+    assert rows["path"].max() > 4 and any(len(r.response or "") > 12 for r in j)
