@@ -79,9 +79,13 @@ def item_variation(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def fas_triplets(spark: SparkSession, d: str) -> DataFrame:
-    cells = base.participants(spark, d).filter(F.size("responses") > 0).select("participant_id", F.concat_ws(",", F.slice("responses", 1, 4)).alias("cell"))
+    """The words of the whole list in cells of three by position, one row per participant and cell; a missing element
+    keeps its place."""
+    lists = base.participants(spark, d).filter(F.size("responses") > 0).select("participant_id", F.split(F.array_join("responses", ",", ""), ",").alias("words"))
+    rows = lists.withColumn("cell_no", F.explode(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / 3).cast("int"))))
+    cells = rows.select("participant_id", "cell_no", F.array_join(F.slice("words", F.col("cell_no") * 3 + 1, F.lit(3)), ",").alias("cell"))
     t = text.triplet(F.col("cell"))
-    return cells.select("participant_id", *[text.unflagged(F.get(t, F.lit(i))).alias(f"word_{x}") for i, x in enumerate("fas")], F.size(text.triplet_compact(F.col("cell"))).cast("bigint").alias("n_compact"))
+    return cells.select("participant_id", "cell_no", *[text.unflagged(F.get(t, F.lit(i))).alias(f"word_{x}") for i, x in enumerate("fas")], F.size(text.triplet_compact(F.col("cell"))).cast("bigint").alias("n_compact"))
 
 
 @query

@@ -60,3 +60,20 @@ def test_all_words_meet_the_whole_graph(spark):
     got = {r.measure: r for r in reference.graph_agreement(spark, FOLDER).collect()}["path_similarity"]
     assert (got.n, got.n_oov) == (len(ok), len(rows) - len(ok)) and got.spearman_rho == pytest.approx(want, abs=1e-6)
     assert rows["path"].max() > 4 and any(len(r.response or "") > 12 for r in j)
+
+
+@tables
+def test_every_word_of_a_list_is_in_a_cell(spark):
+    lists = {r.participant_id: r.responses for r in base.participants(spark, FOLDER).collect()}
+    want = {p: [x.strip(" ") for x in ",".join(x or "" for x in r).split(",")] for p, r in lists.items() if r}
+    cells = reference.fas_triplets(spark, FOLDER).collect()
+    counts = Counter()
+    for r in cells:
+        counts[r.participant_id] += r.n_compact
+    assert dict(counts) == {p: sum(x != "" for x in r) for p, r in want.items()}
+    for r in cells:
+        assert (r.word_f, r.word_a, r.word_s) == tuple(reference_word(x) for x in (want[r.participant_id] + ["", ""])[3 * r.cell_no : 3 * r.cell_no + 3])
+
+
+def reference_word(x):
+    return (x[1:-1].strip(" ") if x[:1] == "<" and x[-1:] == ">" else x).lower()
