@@ -394,7 +394,7 @@ def kruskal_p(spark: SparkSession, d: str) -> DataFrame:
 @query
 def threshold_kruskal(spark: SparkSession, d: str) -> DataFrame:
     sims = cut(_word_sims(spark, d), "sims")
-    m = sequence.threshold_sweep(sims, ["participant_id"], [i / 1000 for i in range(0, 301, 50)])
+    m = sequence.threshold_sweep(sims, ["participant_id"], [i / 1000 for i in range(0, 301, 25)])
     long = m.join(base.participants(spark, d).select("participant_id", "diagnosis"), "participant_id").unpivot(["threshold", "diagnosis"], [F.col("mean_cluster_size").cast("double").alias("mean_cluster_size"), F.col("switch_count").cast("double").alias("switch_count"), F.col("cluster_count").cast("double").alias("cluster_count")], "metric", "value")
     return rounded(summaries.best_by(stats.kruskal(long, "value", "diagnosis", ["metric", "threshold"], 2), ["metric"], "h", "threshold"))
 

@@ -77,3 +77,12 @@ def test_every_word_of_a_list_is_in_a_cell(spark):
 
 def reference_word(x):
     return (x[1:-1].strip(" ") if x[:1] == "<" and x[-1:] == ">" else x).lower()
+
+
+@tables
+def test_thresholds_in_steps_of_a_fortieth(spark, monkeypatch):
+    tried = []
+    sweep = reference.sequence.threshold_sweep
+    monkeypatch.setattr(reference.sequence, "threshold_sweep", lambda s, k, grid: tried.extend(grid) or sweep(s, k, grid))
+    assert reference.threshold_kruskal(spark, FOLDER).count() == 3
+    assert tried == [i / 1000 for i in range(0, 301, 25)]
