@@ -239,50 +239,92 @@ def assign_quartile(df: DataFrame, value: str, name: str = "cosine_quartile") ->
 def bootstrap_spearman(df: DataFrame, x: str, y: str, by: Sequence[str], order: str, n_boot: int = 1000, seed: int = 20260507, exact_rows: int = 100_000) -> DataFrame:
     """by, n, spearman_rho, ci_low, ci_high. Resamples whose values do not vary are dropped; below three rows null.
 
-    Groups of at most `exact_rows` rows (human ratings) are resampled in numpy in the order of `order`, re-ranked each
-    time. Larger groups never enter one task: every row draws Poisson(1) weights by a seeded hash of its partition, and
-    the weighted correlation of the fixed average ranks is summed on the map side. The check is on the counted size of
-    every group.
+    One estimator at every size: in a resample a row weighs Poisson(1), so c rows with the same two values weigh
+    Poisson(c), drawn by a seeded hash of their values; every resample is ranked anew through its counts of distinct
+    values. `exact_rows` only says where: a group of at most so many rows is computed in one task, a larger one by
+    bucketed running sums over its resampled values, with the same weights. `order` is not read, as no row's place
+    matters.
     """
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(order).alias("o"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    sized = both.join(both.groupBy(*by).agg(F.count("*").alias("n")), list(by))
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    cells = cut(both.groupBy(*by, "x", "y").agg(F.count("*").alias("c")).withColumn("h", F.xxhash64(F.lit(seed), *by, "x", "y")), "cells")
     base = [f for f in both.schema.fields if f.name in by]
     schema = T.StructType([*base, T.StructField("n", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("spearman_rho", "ci_low", "ci_high"))])
-
-    def exact(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("o", kind="stable")
-        a, b = g["x"].to_numpy(), g["y"].to_numpy()
-        rng, n = np.random.default_rng(seed), len(g)
-        out = np.array([r for _ in range(n_boot if n >= 3 else 0) if not np.isnan(r := rank_correlation(a[i := rng.integers(0, n, size=n)], b[i]))])
-        rho = rank_correlation(a, b)
-        lo, hi = np.percentile(out, [2.5, 97.5]) if len(out) else (np.nan, np.nan)
-        row = {c: g[c].iloc[0] for c in by} | {"n": n, "spearman_rho": rho, "ci_low": lo, "ci_high": hi}
+    sizes = cells.groupBy(*by).agg(F.sum("c").alias("n"))
+
+    def whole(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["x", "y"])
+        c, n = g["c"].to_numpy(), int(g["c"].sum())
+        places = [np.unique(g[v].to_numpy(), return_inverse=True)[1] for v in ("x", "y")]
+        rho = weighted_rank_correlation(*places, c[:, None].astype(float))[0] if n >= 3 else np.nan
+        out = [weighted_rank_correlation(*places, w.astype(float)) for w in resample_weights(g["h"].to_numpy(), c, n_boot if n >= 3 else 0)]
+        kept = np.concatenate([np.empty(0), *out])
+        kept = kept[~np.isnan(kept)]
+        lo, hi = np.percentile(kept, [2.5, 97.5]) if len(kept) else (np.nan, np.nan)
+        row = {k: g[k].iloc[0] for k in by} | {"n": n, "spearman_rho": rho, "ci_low": lo, "ci_high": hi}
         return pd.DataFrame([{k: None if isinstance(v, float) and math.isnan(v) else v for k, v in row.items()}], columns=[f.name for f in schema])
 
-    small = sized.filter(F.col("n") <= exact_rows).groupBy(*by).applyInPandas(exact, schema)
-    if sized.filter(F.col("n") > exact_rows).isEmpty():
-        return small
-    ranked = with_average_rank(with_average_rank(sized.filter(F.col("n") > exact_rows), "x", by, "rx"), "y", by, "ry").select(*by, "n", "rx", "ry")
-    names = [f"s{i}" for i in range(6)]
-    part_schema = T.StructType([*base, T.StructField("n", T.LongType()), T.StructField("b", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in names)])
-
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    if sizes.filter(F.col("n") > exact_rows).isEmpty():
+        return cells.groupBy(*by).applyInPandas(whole, schema)
+    size = sizes.select(*[F.col(k).alias(f"_{k}") for k in by], "n")
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    sized = cells.join(size, same).drop(*[f"_{k}" for k in by])
+    small = sized.filter(F.col("n") <= exact_rows).drop("n").groupBy(*by).applyInPandas(whole, schema)
+    drawn_schema = T.StructType([*base, *(T.StructField(c, T.DoubleType()) for c in ("x", "y")), T.StructField("b", T.IntegerType()), T.StructField("w", T.LongType())])
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row per cell and resample in which it occurs; resample -1 is the data."""
         for f in frames:
-            for key, g in f.groupby([*by, "n"], dropna=False):
-                a, b = g["rx"].to_numpy(), g["ry"].to_numpy()
-                rng = np.random.default_rng([seed, len(g), int(abs(a.sum()) * 2) % 2**31])
-                w = np.vstack([np.ones(len(g)), rng.poisson(1.0, size=(n_boot, len(g)))])
-                sums = np.stack([w.sum(1), w @ a, w @ b, w @ (a * b), w @ (a * a), w @ (b * b)], axis=1)
-                yield pd.DataFrame({**dict(zip([*by, "n"], key if isinstance(key, tuple) else (key,))), "b": np.arange(n_boot + 1), **{c: sums[:, i] for i, c in enumerate(names)}})
-
-    s = ranked.mapInPandas(partial, part_schema).groupBy(*by, "n", "b").agg(*[F.sum(c).alias(c) for c in names])
-    n0 = F.col("s0")
-    var = (F.col("s4") - F.col("s1") * F.col("s1") / n0) * (F.col("s5") - F.col("s2") * F.col("s2") / n0)
-    rho = (F.col("s3") - F.col("s1") * F.col("s2") / n0) / F.sqrt(F.when(var > 0, var))
-    big = s.withColumn("rho", rho).groupBy(*by, "n").agg(F.max(F.when(F.col("b") == 0, F.col("rho"))).alias("spearman_rho"), F.percentile(F.when(F.col("b") > 0, F.col("rho")), F.lit(0.025)).alias("ci_low"), F.percentile(F.when(F.col("b") > 0, F.col("rho")), F.lit(0.975)).alias("ci_high"))
+            for start in range(0, len(f), 1000):
+                g = f.iloc[start : start + 1000]
+                c = g["c"].to_numpy()
+                b = -1
+                for w in [c[:, None], *resample_weights(g["h"].to_numpy(), c, n_boot)]:
+                    i, j = np.nonzero(w)
+                    yield pd.DataFrame({**{k: g[k].to_numpy()[i] for k in by}, "x": g["x"].to_numpy()[i], "y": g["y"].to_numpy()[i], "b": (b + j).astype("int32"), "w": w[i, j].astype("int64")})
+                    b += w.shape[1]
+
+    key = [*by, "b"]
+    ranked = cut(sized.filter(F.col("n") > exact_rows).drop("n").mapInPandas(draw, drawn_schema), "drawn")
+    for v in ("x", "y"):
+        counts = cut(ranked.groupBy(*key, v).agg(F.sum("w").alias("m")), "counts")
+        placed = running_offset(counts, key, spread_key(counts, v), F.col("m"), ties=[v], name="_o")
+        rank = placed.select(*[F.col(k).alias(f"_{k}") for k in key], F.col(v).alias("_v"), (F.col("_o") + (F.col("m") + 1) / 2).alias(f"r{v}"))
+        on = F.col(v) == F.col("_v")
+        for k in key:
+            on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        ranked = ranked.join(rank, on).drop("_v", *[f"_{k}" for k in key])
+    a, c, w = F.col("rx"), F.col("ry"), F.col("w").cast("double")
+    middle = (F.col("s0") + 1) / 2
+    s = ranked.groupBy(*key).agg(F.sum(w).alias("s0"), F.sum(w * a * c).alias("s1"), F.sum(w * a * a).alias("s2"), F.sum(w * c * c).alias("s3"))
+    va, vc = (F.col(v) - F.col("s0") * middle * middle for v in ("s2", "s3"))
+    rho = F.when((va > 1e-6) & (vc > 1e-6), (F.col("s1") - F.col("s0") * middle * middle) / F.sqrt(va * vc))
+    drawn = F.when(F.col("b") >= 0, F.col("rho"))
+    big = s.withColumn("rho", rho).groupBy(*by).agg(F.max(F.when(F.col("b") < 0, F.col("s0"))).cast("bigint").alias("n"), F.max(F.when(F.col("b") < 0, F.col("rho"))).alias("spearman_rho"), F.percentile(drawn, F.lit(0.025)).alias("ci_low"), F.percentile(drawn, F.lit(0.975)).alias("ci_high"))
     return small.unionByName(big.select(*[f.name for f in schema]))
 
 
+def resample_weights(h: np.ndarray, c: np.ndarray, n_boot: int, at_once: int = 100) -> Iterator[np.ndarray]:
+    """Weights (cell x resample) of cells of c rows, in blocks of resamples: Poisson(c) by the cell's hash and block."""
+    for start in range(0, n_boot, at_once):
+        k = min(at_once, n_boot - start)
+        yield np.stack([np.random.default_rng([int(x) & 0x7FFFFFFFFFFFFFFF, start]).poisson(n, k) for x, n in zip(h, c)])
+
+
+def weighted_rank_correlation(px: np.ndarray, py: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Spearman's rho with average ranks of every column of weights (cell x resample), px and py being the places of
+    the cells' values among the distinct ones; NaN where one side does not vary."""
+    total, ranks = w.sum(0), []
+    for p in (px, py):
+        order = np.argsort(p, kind="stable")
+        counts = np.add.reduceat(w[order], np.searchsorted(p[order], np.arange(p.max() + 1)), axis=0)
+        ranks.append((np.cumsum(counts, axis=0) - (counts - 1) / 2)[p] - (total + 1) / 2)
+    a, b = ranks
+    va, vb = (w * a * a).sum(0), (w * b * b).sum(0)
+    return np.where((va > 1e-6) & (vb > 1e-6), (w * a * b).sum(0) / np.sqrt(np.where((va > 1e-6) & (vb > 1e-6), va * vb, 1.0)), np.nan)
+
+
 def rank_correlation(a: np.ndarray, b: np.ndarray) -> float:
     """Spearman's rho with average ranks; NaN where one side does not vary."""
     ra, rb = (pd.Series(v).rank().to_numpy() for v in (a, b))

@@ -377,7 +377,7 @@ def spearman_p(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def spearman_ci(spark: SparkSession, d: str) -> DataFrame:
-    return stats.bootstrap_spearman(base.rated(spark, d).join(base.pool(spark, d), "pair_id"), "rating", "cosine_sim", ["model_name"], "pair_id", 200)
+    return stats.bootstrap_spearman(base.rated(spark, d).join(base.pool(spark, d), "pair_id"), "rating", "cosine_sim", ["model_name"], "pair_id")
 
 
 @query
@@ -524,7 +524,7 @@ def svr_cv(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def regression_mae(spark: SparkSession, d: str) -> DataFrame:
-    return regression.evaluation(ridge_cv(spark, d), n_boot=200)[0]
+    return regression.evaluation(ridge_cv(spark, d))[0]
 
 
 _NORMALIZED = r"""low AS (SELECT *, regexp_replace(lower(response), '^[\pZ\s]+|[\pZ\s]+$', '', 'g') AS t FROM src),

@@ -4,9 +4,11 @@ import hashlib
 import os
 from collections import Counter, defaultdict, deque
 
+import numpy as np
 import pandas as pd
 import pytest
 
+from lexspark.operators import stats
 from lexspark.plans import base, reference
 
 FOLDER = "/root/testdata/sf0.001"
@@ -86,3 +88,31 @@ def test_thresholds_in_steps_of_a_fortieth(spark, monkeypatch):
     monkeypatch.setattr(reference.sequence, "threshold_sweep", lambda s, k, grid: tried.extend(grid) or sweep(s, k, grid))
     assert reference.threshold_kruskal(spark, FOLDER).count() == 3
     assert tried == [i / 1000 for i in range(0, 301, 25)]
+
+
+def test_one_interval_wherever_it_is_computed(spark):
+    rng = np.random.default_rng(3)
+    p = pd.DataFrame({"id": np.arange(120), "g": ["a"] * 80 + ["b"] * 40, "x": rng.integers(0, 4, 120).astype(float), "y": rng.integers(0, 12, 120) / 4})
+    df = spark.createDataFrame(p)
+    one, two = ({r.g: r for r in stats.bootstrap_spearman(df, "x", "y", ["g"], "id", 60, exact_rows=k).collect()} for k in (100, 50))
+    assert set(one) == {"a", "b"}
+    for g in one:
+        assert tuple(one[g])[1:] == pytest.approx(tuple(two[g])[1:], abs=1e-9)
+    assert one["a"].spearman_rho == pytest.approx(p[p.g == "a"].x.rank().corr(p[p.g == "a"].y.rank()))
+
+
+def test_a_resample_is_ranked_by_its_own_counts():
+    x, y, w = np.array([0, 0, 1, 2, 2]), np.array([1, 0, 1, 2, 0]), np.array([[2.0], [0.0], [1.0], [3.0], [1.0]])
+    rows = np.repeat(np.arange(5), w[:, 0].astype(int))
+    assert stats.weighted_rank_correlation(x, y, w)[0] == pytest.approx(stats.rank_correlation(x[rows], y[rows]))
+
+
+@tables
+def test_intervals_come_from_a_thousand_resamples(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(reference.stats, "bootstrap_spearman", lambda *a, n_boot=1000, **k: seen.append(a[5] if len(a) > 5 else n_boot))
+    monkeypatch.setattr(reference.regression, "evaluation", lambda p, n_boot=1000: [seen.append(n_boot)])
+    monkeypatch.setattr(reference, "ridge_cv", lambda s, d: None)
+    reference.spearman_ci(spark, FOLDER)
+    reference.regression_mae(spark, FOLDER)
+    assert seen == [1000, 1000]
