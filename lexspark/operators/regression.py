@@ -2,7 +2,7 @@
 
 Ridge sees the data only through sums per fold cell (counts, first and second moments), so any number of rows fits in
 one aggregation, however many folds and penalties are tried. The kernel machine is quadratic in its rows; it is fitted
-on a bounded sample of labelled rows (`max_rows`), its grid spread over the executors.
+on a bounded sample of labelled rows (`fit_rows`), its grid spread over the executors, and predicts every row.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lexspark.operators import stats
 from lexspark.operators.agreement import check_missing_share
 from lexspark.operators.ranking import running_offset
+from lexspark.session import cut
 
 #: The grids that are searched, and the score from which a participant counts as unimpaired.
 RIDGE_ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
@@ -143,13 +144,19 @@ def svr_predict(x: np.ndarray, beta: np.ndarray, new: np.ndarray, gamma: float)
     return (np.exp(-gamma * ((new[:, None, :] - x[None, :, :]) ** 2).sum(-1)) + 1.0) @ beta
 
 
-def svr_cv(df: DataFrame, features: Sequence[str], target: str = "mmse", stratum: str = "diagnosis", key: str = "participant_id", seed: int = 0, outer: int = 5, inner: int = 3, max_rows: int = 400) -> DataFrame:
-    """fold, key, truth, prediction, c, gamma of the rows in the sample: the `max_rows` labelled rows with the smallest
-    hashes of their key (all, if there are fewer). Every fold's grid search is a task of its own."""
+def svr_cv(df: DataFrame, features: Sequence[str], target: str = "mmse", stratum: str = "diagnosis", key: str = "participant_id", seed: int = 0, outer: int = 5, inner: int = 3, max_rows: int | None = None, fit_rows: int = 400) -> DataFrame:
+    """fold, key, truth, prediction, c, gamma of every labelled row, held out. The machine of a fold is fitted on the
+    `fit_rows` rows with the smallest hashes of their key among those of the other folds (all, if there are fewer), its
+    grid search one task per setting; the held-out rows are predicted where they lie. `max_rows` asks for a sample of
+    so many rows in all."""
     rows = check_missing_share(df, [*features, target]).withColumn("_h", F.xxhash64(F.lit(seed), key))
-    sample = stratified_folds(rows.orderBy("_h", key).limit(max_rows), stratum, key, outer, seed).select(key, "fold", *features, target).orderBy(key).toPandas()
+    rows = rows if max_rows is None else rows.orderBy("_h", key).limit(max_rows)
+    dealt = cut(stratified_folds(rows, stratum, key, outer, seed).select(key, "fold", *features, target, "_h"), "folds")
+    train = {}
+    for f in range(outer):
+        t = dealt.filter(F.col("fold") != f).orderBy("_h", key).limit(fit_rows).toPandas().sort_values(key)
+        train[f] = t[list(features)].to_numpy(dtype=float), t[target].to_numpy(dtype=float)
     grid = [(c, g) for c in SVR_C for g in SVR_GAMMA]
-    x_all, y_all, o = sample[list(features)].to_numpy(dtype=float), sample[target].to_numpy(dtype=float), sample["fold"].to_numpy()
     tasks = df.sparkSession.createDataFrame([(f, i) for f in range(outer) for i in range(len(grid))], "fold int, i int").repartition(outer * len(grid), "fold", "i")
 
     def scaled(train: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
@@ -161,7 +168,7 @@ def svr_cv(df: DataFrame, features: Sequence[str], target: str = "mmse", stratum
         for t in frames:
             out = []
             for f, i in zip(t["fold"], t["i"]):
-                x, y = x_all[o != f], y_all[o != f]
+                x, y = train[f]
                 k = max(2, min(inner, len(y) // 2))
                 part, e = np.arange(len(y)) % k, []
                 for g in range(k):
@@ -173,15 +180,25 @@ def svr_cv(df: DataFrame, features: Sequence[str], target: str = "mmse", stratum
 
     scores = tasks.mapInPandas(inner_mae, "fold int, i int, mae double").groupBy("fold").agg(F.min(F.struct("mae", "i")).alias("b")).select("fold", F.col("b.i").alias("i"))
 
-    def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in frames:
             for f, i in zip(t["fold"], t["i"]):
-                a, b = scaled(x_all[o != f], x_all[o == f])
-                gm = _gamma(grid[i][1], a)
-                p = svr_predict(a, svr_fit(a, y_all[o != f], grid[i][0], gm), b, gm)
-                yield pd.DataFrame({"fold": f, key: sample[key].to_numpy()[o == f], "truth": y_all[o == f], "prediction": p, "c": grid[i][0], "gamma": str(grid[i][1])})
+                x = scaled(train[f][0])[0]
+                yield pd.DataFrame({"fold": [f], "i": [i], "beta": [svr_fit(x, train[f][1], grid[i][0], _gamma(grid[i][1], x))]})
+
+    fitted = {r["fold"]: (r["i"], np.array(r["beta"])) for r in scores.mapInPandas(fit, "fold int, i int, beta array<double>").collect()}
 
-    return scores.mapInPandas(predict, f"fold int, {key} {df.schema[key].dataType.simpleString()}, truth double, prediction double, c double, gamma string")
+    def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in frames:
+            for f, held in t.groupby("fold"):
+                i, beta = fitted[f]
+                for start in range(0, len(held), 1000):
+                    h = held.iloc[start : start + 1000]
+                    a, b = scaled(train[f][0], h[list(features)].to_numpy(dtype=float))
+                    p = svr_predict(a, beta, b, _gamma(grid[i][1], a))
+                    yield pd.DataFrame({"fold": f, key: h[key].to_numpy(), "truth": h[target].to_numpy(dtype=float), "prediction": p, "c": grid[i][0], "gamma": str(grid[i][1])})
+
+    return dealt.mapInPandas(predict, f"fold int, {key} {df.schema[key].dataType.simpleString()}, truth double, prediction double, c double, gamma string")
 
 
 def most_common_setting(folds: DataFrame, *setting: str) -> DataFrame:

@@ -127,7 +127,7 @@ def mmse_regression(scored: DataFrame, features: Sequence[str], seed: int = 0, l
         raise ValueError("fewer than 5 rows")
     out = {"correlations": table}
     ridge = cut(regression.ridge_cv(rows, chosen, seed=seed), "ridge")
-    svr = cut(regression.svr_cv(rows, chosen, seed=seed, max_rows=svr_rows), "svr").withColumnRenamed("truth", "mmse")
+    svr = cut(regression.svr_cv(rows, chosen, seed=seed, fit_rows=svr_rows), "svr").withColumnRenamed("truth", "mmse")
     for name, predicted in (("ridge", ridge), ("svr", svr)):
         out[f"{name}_predictions"] = predicted
         out[f"{name}_mae"], out[f"{name}_confusion"], out[f"{name}_kappa"] = regression.evaluation(predicted)

@@ -519,7 +519,7 @@ def ridge_cv(spark: SparkSession, d: str) -> DataFrame:
 @query
 def svr_cv(spark: SparkSession, d: str) -> DataFrame:
     rows = _scored(spark, d).filter("mmse IS NOT NULL AND age IS NOT NULL AND diagnosis IS NOT NULL")
-    return regression.svr_cv(rows, ["age", "total_words", "unique_words"], max_rows=200)
+    return regression.svr_cv(rows, ["age", "total_words", "unique_words"])
 
 
 @query

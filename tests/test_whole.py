@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lexspark.operators import stats
+from lexspark.operators import regression, stats
 from lexspark.plans import base, reference
 
 FOLDER = "/root/testdata/sf0.001"
@@ -116,3 +116,14 @@ def test_intervals_come_from_a_thousand_resamples(spark, monkeypatch):
     reference.spearman_ci(spark, FOLDER)
     reference.regression_mae(spark, FOLDER)
     assert seen == [1000, 1000]
+
+
+def test_every_labelled_row_is_predicted(spark, monkeypatch):
+    monkeypatch.setattr(regression, "SVR_C", (1.0,))
+    monkeypatch.setattr(regression, "SVR_GAMMA", (0.1,))
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 2))
+    df = spark.createDataFrame(pd.DataFrame({"participant_id": [f"u{i}" for i in range(150)], "diagnosis": "HC", "a": x[:, 0], "b": x[:, 1], "mmse": 25 + x[:, 0] - x[:, 1]}))
+    got = regression.svr_cv(df, ["a", "b"], fit_rows=40).toPandas()
+    assert sorted(got.participant_id) == sorted(f"u{i}" for i in range(150)) and got.groupby("fold").size().tolist() == [30] * 5
+    assert (got.truth - got.prediction).abs().mean() < 1.0
