@@ -95,6 +95,9 @@ class _Model:
     def expected(self) -> tuple[np.ndarray, np.ndarray]:
         return _digamma(self.matrix) - _digamma(self.matrix.sum(axis=2))[:, :, None], _digamma(self.weight) - _digamma(np.array([self.weight.sum()]))[0]
 
+    def shares(self) -> np.ndarray:
+        return self.matrix / self.matrix.sum(axis=2, keepdims=True)
+
     def membership(self, counts: np.ndarray) -> np.ndarray:
         log_m, log_w = self.expected()
         s = counts.reshape(len(counts), -1) @ log_m.reshape(len(log_m), -1).T + log_w
@@ -171,14 +174,16 @@ def clean_judgements(ratings: DataFrame, tasks: Sequence[Task]) -> DataFrame:
     return rows.groupBy("item", "rater", "_id", apart.alias("_h")).agg(*[F.max(n).alias(n) for n in labels]).drop("_id", "_h")
 
 
-def community_consensus(ratings: DataFrame, task: Task = RATING, rounds: int = 3, inner: int = 5, strength: float = 20.0, pseudo: float = 8.0, judgements: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def community_consensus(ratings: DataFrame, task: Task = RATING, rounds: int = 3, inner: int = 5, strength: float = 20.0, pseudo: float = 8.0, judgements: DataFrame | None = None, tolerance: float | None = None, most_rounds: int = 500) -> tuple[DataFrame, DataFrame]:
     """(items, raters) of one task.
 
     items: item, n_labels, consensus (the most probable class), confidence, expected (mean class index), agreement
     (share of pairs of judgements that agree, null for one judgement). raters: rater, n_labels, community, reliability
     (correlation of the rater's labels with the consensus, for nominal tasks chance-corrected agreement).
 
-    `judgements`: a stored result of `clean_judgements`, used in place of `ratings`. `rounds` passes over the labels; `inner` updates of the communities in each; `strength` judgements' worth of prior
+    `judgements`: a stored result of `clean_judgements`, used in place of `ratings`. `rounds` passes over the labels, or
+    with a `tolerance` as many as it takes until no share of a community's matrix moves by more in a pass, an error if
+    `most_rounds` do not get there; `inner` updates of the communities in each; `strength` judgements' worth of prior
     on each community's matrix; `pseudo` judgements by which a rater's own matrix is drawn to its communities'.
     """
     c = len(task.classes)
@@ -189,12 +194,19 @@ def community_consensus(ratings: DataFrame, task: Task = RATING, rounds: int = 3
     n = sum((F.col(f"v{k}") for k in range(c)), F.lit(0.0))
     items = votes.select("item", *[((F.col(f"v{k}") + 0.1) / (n + 0.1 * c)).alias(f"q{k}") for k in range(c)])
     stats = None
-    for r in range(rounds):
+    for r in range(rounds if tolerance is None else most_rounds):
+        before = model.shares()
         sums = [F.sum(F.when(F.col("l") == lab, F.col(f"q{k}")).otherwise(0.0)).alias(f"n{k}_{lab}") for k in range(c) for lab in range(c)]
         stats = cut(labels.join(items, "item").groupBy("rater").agg(*sums), "raters")
         _fit(stats, model, c, inner)
         items = _posterior(labels, stats, model, c)
         release_shuffles(labels.sparkSession)
+        shift = float(np.abs(model.shares() - before).max())
+        if tolerance is not None and shift < tolerance:
+            break
+    else:
+        if tolerance is not None:
+            raise RuntimeError(f"{task.name}: the matrices still move by {shift:.2g} after {most_rounds} passes")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

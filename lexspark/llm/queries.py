@@ -33,7 +33,7 @@ def _each_task(spark: SparkSession, d: str, which: int) -> DataFrame:
     ratings, tasks, out = table(spark, d, "sq3_ratings"), (consensus.RATING, consensus.CATEGORY, consensus.COMPOUND), None
     judgements = cut(consensus.clean_judgements(ratings, tasks), "judgements")
     for task in tasks:
-        part = consensus.community_consensus(ratings, task, judgements=judgements)[which].withColumn("task", F.lit(task.name))
+        part = consensus.community_consensus(ratings, task, judgements=judgements, tolerance=1e-4)[which].withColumn("task", F.lit(task.name))
         out = part if out is None else out.unionByName(part)
     return out
 
