@@ -107,7 +107,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "drift":
         records: DataFrame = spark.read.parquet(a.input)
         drift.consistent_table(records).write.mode("overwrite").parquet(f"{a.output_dir}/records")
-        drift.schema_changes(records).orderBy("series_id", "file_pos", "field", F.col("change_kind")).write.mode("overwrite").parquet(f"{a.output_dir}/changes")
+        drift.schema_changes(records).orderBy("series_id", "file_seq", "field", F.col("change_kind")).write.mode("overwrite").parquet(f"{a.output_dir}/changes")
     elif a.command == "wide":
         eav.pivot_wide(spark.read.parquet(a.input)).write.mode("overwrite").parquet(a.output)
     spark.stop()

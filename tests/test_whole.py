@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from lexspark.__main__ import main
 from lexspark.operators import regression, stats
 from lexspark.plans import base, reference
 
@@ -127,3 +128,10 @@ def test_every_labelled_row_is_predicted(spark, monkeypatch):
     got = regression.svr_cv(df, ["a", "b"], fit_rows=40).toPandas()
     assert sorted(got.participant_id) == sorted(f"u{i}" for i in range(150)) and got.groupby("fold").size().tolist() == [30] * 5
     assert (got.truth - got.prediction).abs().mean() < 1.0
+
+
+@tables
+def test_drift_command_writes_the_changes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(type(spark), "stop", lambda self: None)
+    assert main(["drift", "--input", f"{FOLDER}/sheet_records.parquet", "--output-dir", str(tmp_path)]) == 0
+    assert spark.read.parquet(f"{tmp_path}/changes").count() > 0
