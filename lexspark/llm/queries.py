@@ -10,9 +10,8 @@ from lexspark.session import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    targets = table(spark, d, "sq3_targets")
-    report = quota.quota_report(quota.categorized(table(spark, d, "sq3_pairs"), targets), targets)
-    return report.filter("shortfall > 0").select("target_id")
+    _, report = quota.quota_sample(table(spark, d, "sq3_pairs"), table(spark, d, "sq3_targets"))
+    return report.filter("shortfall > 0").select("target_id").distinct()
 
 
 def p1_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -20,8 +19,8 @@ def p1_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    targets = table(spark, d, "sq3_targets")
-    return quota.quota_report(quota.categorized(table(spark, d, "sq3_pairs"), targets), targets).select("target_id", "draw_id", "needed", "available", "quota", "shortfall")
+    _, report = quota.quota_sample(table(spark, d, "sq3_pairs"), table(spark, d, "sq3_targets"))
+    return report.select("target_id", "draw_id", "needed", "available", "quota", "drawn", "shortfall", "floor_excess")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -99,12 +98,23 @@ QUERIES = {
 }
 
 _P1 = r"""
-WITH coded AS (SELECT DISTINCT draw_id, pair_id, cosine_quartile AS q, regexp_replace(lower(diagnosis), '[^\p{L}\p{N}]', '', 'g') AS dx, regexp_replace(lower(model), '[^\p{L}\p{N}]', '', 'g') AS m FROM sq3_pairs),
+WITH RECURSIVE coded AS (SELECT DISTINCT draw_id, pair_id, cosine_quartile AS q, regexp_replace(lower(diagnosis), '[^\p{L}\p{N}]', '', 'g') AS dx, regexp_replace(lower(model), '[^\p{L}\p{N}]', '', 'g') AS m FROM sq3_pairs),
 wanted AS (SELECT *, regexp_replace(lower(diagnosis), '[^\p{L}\p{N}]', '', 'g') AS dx, regexp_replace(lower(model), '[^\p{L}\p{N}]', '', 'g') AS m,
   greatest(min_pairs, floor(target_share * sample_size + 0.5))::BIGINT AS needed FROM sq3_targets),
-report AS (SELECT t.target_id, any_value(t.draw_id) AS draw_id, any_value(t.needed) AS needed, count(DISTINCT p.pair_id) AS available FROM wanted t LEFT JOIN coded p
+report AS (SELECT t.target_id, any_value(t.draw_id) AS draw_id, any_value(t.needed) AS needed, any_value(target_share) AS share, any_value(min_pairs) AS floor_, any_value(sample_size) AS size, count(DISTINCT p.pair_id) AS available FROM wanted t LEFT JOIN coded p
   ON p.draw_id = t.draw_id AND (t.cosine_quartile IS NULL OR p.q = t.cosine_quartile) AND (t.dx IS NULL OR p.dx = t.dx) AND (t.m IS NULL OR p.m = t.m) GROUP BY t.target_id)
 """
+# the level at which shares clipped to floors and availability add up to the size is found by halving an interval
+_P1_QUOTAS = _P1 + r""", t AS (SELECT *, least(floor_, available) AS low FROM report),
+g AS (SELECT draw_id, least(greatest(max(size), sum(low)), sum(available)) AS total, sum(low) AS lows, max(CASE WHEN share > 0 THEN available / share END) + 1 AS top, greatest(sum(low) - max(size), 0) AS floor_excess FROM t GROUP BY draw_id),
+halves AS (SELECT draw_id, 0 AS i, 0.0::DOUBLE AS a, top::DOUBLE AS b FROM g
+  UNION ALL SELECT h.draw_id, any_value(h.i) + 1, CASE WHEN sum(least(greatest((h.a + h.b) / 2 * share, low), available)) < any_value(total) THEN any_value((h.a + h.b) / 2) ELSE any_value(h.a) END,
+    CASE WHEN sum(least(greatest((h.a + h.b) / 2 * share, low), available)) < any_value(total) THEN any_value(h.b) ELSE any_value((h.a + h.b) / 2) END
+  FROM halves h JOIN t USING (draw_id) JOIN g USING (draw_id) WHERE h.i < 90 GROUP BY h.draw_id),
+ideal AS (SELECT t.*, total, lows, floor_excess, CASE WHEN total > lows THEN least(greatest(h.b * share, low), available) ELSE low END AS x FROM t JOIN g USING (draw_id) JOIN halves h ON h.draw_id = t.draw_id AND h.i = 90),
+whole AS (SELECT *, greatest(least(floor(x + 1e-9), available), low)::BIGINT AS q0 FROM ideal),
+ranked AS (SELECT *, total - sum(q0) OVER (PARTITION BY draw_id) AS open, row_number() OVER (PARTITION BY draw_id, q0 < available AND share > 0 ORDER BY -round(x - q0, 9), target_id) AS place FROM whole)
+"""
 _P4 = r"""
 WITH raw AS (SELECT participant_id, unnest(responses) AS x FROM svf_participant),
 clean AS (SELECT participant_id, regexp_replace(regexp_replace(nfc_normalize(lower(nfc_normalize(x))), '[\pZ\s]+', ' ', 'g'), '^[\pZ\s\pP\pS]+|[\pZ\s\pP\pS]+$', '', 'g') AS term FROM raw),
@@ -119,6 +129,7 @@ sets AS (SELECT record_id, min(record_id) OVER (PARTITION BY k) AS kept_id, coun
 """
 SQL = {
     "p1_found": _P1 + "SELECT target_id FROM report WHERE available < needed",
+    "p1_report": _P1_QUOTAS + "SELECT target_id, draw_id, needed, available, q0 + (q0 < available AND share > 0 AND place <= open)::BIGINT AS quota, q0 + (q0 < available AND share > 0 AND place <= open)::BIGINT AS drawn, greatest(needed - available, 0) AS shortfall, floor_excess FROM ranked",
     "p4_found": _P4 + "SELECT term, term_mark FROM marked WHERE term_mark IS NOT NULL",
     "p4_terms": _P4 + "SELECT term, occurrences, records, term_mark FROM marked",
     "p5_found": _P5 + "SELECT kept_id, record_id AS copy_id FROM sets WHERE record_id > kept_id",

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from lexspark.functions.values import code_key
 from lexspark.operators.ranking import running_offset
+from lexspark.session import cut
 
 DIMENSIONS = ("cosine_quartile", "diagnosis", "model")
 
@@ -25,7 +26,8 @@ DIMENSIONS = ("cosine_quartile", "diagnosis", "model")
 def allocate(share: np.ndarray, floor: np.ndarray, available: np.ndarray, size: int) -> np.ndarray:
     """Integer quotas: floor <= quota <= available where both can hold (available wins), in all `size` or as near to it
     as floors and availability allow; proportional to `share` between the bounds, rounded by largest remainder (the
-    first of equal remainders)."""
+    first of remainders equal to nine places). Floors that add up to more than `size` are kept; `floor_excess` in the
+    report says by how much."""
     high = available.astype("int64")
     low = np.minimum(floor.astype("int64"), high)
     total = int(min(max(size, low.sum()), high.sum()))
@@ -41,7 +43,7 @@ def allocate(share: np.ndarray, floor: np.ndarray, available: np.ndarray, size:
         a, b = (m, b) if level(m).sum() < total else (a, m)
     ideal = level(b)
     quota = np.clip(np.floor(ideal + 1e-9), low, high).astype("int64")
-    order = np.argsort(-(ideal - quota), kind="stable")
+    order = np.argsort(-np.round(ideal - quota, 9), kind="stable")
     while (left := total - int(quota.sum())) > 0:
         free = [i for i in order if quota[i] < high[i] and share[i] > 0][:left]
         if not free:
@@ -75,9 +77,10 @@ def categorized(pool: DataFrame, targets: DataFrame, dims: Sequence[str] = DIMEN
     return rows.filter("category IS NOT NULL AND pair_id IS NOT NULL").select("draw_id", "category", "pair_id").distinct()
 
 
-def quota_report(members: DataFrame, targets: DataFrame, dims: Sequence[str] = DIMENSIONS) -> DataFrame:
+def quota_plan(members: DataFrame, targets: DataFrame, dims: Sequence[str] = DIMENSIONS) -> DataFrame:
     """A row per target: target_id, draw_id, category, sample_size, target_share, min_pairs, needed, available, quota,
-    shortfall. Needed is the greater of min_pairs and the share of sample_size to the nearest whole number."""
+    floor_excess. Needed is the greater of min_pairs and the share of sample_size to the nearest whole number;
+    floor_excess is by how much the floors of the draw, as far as there are pairs, exceed its sample_size."""
     t = _codes(targets, dims).withColumn("category", _category(dims, [F.col(d).isNotNull() for d in dims]))
     counts = members.groupBy("draw_id", "category").agg(F.count("*").alias("available"))
     t = t.join(counts, ["draw_id", "category"], "left").select(
@@ -98,25 +101,34 @@ def quota_report(members: DataFrame, targets: DataFrame, dims: Sequence[str] = D
             starts = np.concatenate([[0], np.flatnonzero(np.diff(draw)) + 1, [len(draw)]])
             last = len(starts) - 1 if b is None else len(starts) - 2
             share, floor, have, size = (t[c].to_numpy() for c in ("target_share", "min_pairs", "available", "sample_size"))
-            quota = np.zeros(len(draw), dtype=np.int64)
+            quota, excess = np.zeros(len(draw), dtype=np.int64), np.zeros(len(draw), dtype=np.int64)
             for lo, hi in zip(starts[:last], starts[1:]):
                 n = size[lo:hi].astype("float64")
-                quota[lo:hi] = allocate(share[lo:hi], floor[lo:hi], have[lo:hi], 0 if np.isnan(n).all() else int(np.nanmax(n)))
+                whole = 0 if np.isnan(n).all() else int(np.nanmax(n))
+                quota[lo:hi] = allocate(share[lo:hi], floor[lo:hi], have[lo:hi], whole)
+                excess[lo:hi] = max(int(np.minimum(floor[lo:hi], have[lo:hi]).sum()) - whole, 0)
             done = int(starts[last])
             if done:
-                yield from t.slice(0, done).append_column("quota", pa.array(quota[:done])).combine_chunks().to_batches()
+                yield from t.slice(0, done).append_column("quota", pa.array(quota[:done])).append_column("floor_excess", pa.array(excess[:done])).combine_chunks().to_batches()
             held = t.slice(done)
 
-    out = t.repartition("draw_id").sortWithinPartitions("draw_id", "target_id").mapInArrow(quotas, T.StructType([*t.schema.fields, T.StructField("quota", T.LongType())]))
-    return out.withColumn("shortfall", F.greatest(F.col("needed") - F.col("available"), F.lit(0)))
+    return t.repartition("draw_id").sortWithinPartitions("draw_id", "target_id").mapInArrow(quotas, T.StructType([*t.schema.fields, T.StructField("quota", T.LongType()), T.StructField("floor_excess", T.LongType())]))
 
 
 def quota_sample(pool: DataFrame, targets: DataFrame, dims: Sequence[str] = DIMENSIONS, seed: int = 20260507) -> tuple[DataFrame, DataFrame]:
     """(sample, report). sample: draw_id, target_id, pair_id of the `quota` pairs of each category with the smallest
-    random keys (a hash of seed and pair_id; pair_id decides ties). Repeated exports of a pair are one pair. Draws
-    without targets are not sampled; an empty pool gives an empty sample and a report of shortfalls."""
-    members = categorized(pool, targets, dims)
-    report = quota_report(members, targets, dims)
+    random keys (a hash of seed and pair_id; pair_id decides ties). report: `quota_plan` with `drawn`, the pairs of the
+    sample, and `shortfall`, how many of the pairs needed the selection could not find.
+
+    A category is drawn as far as the greater of quota and need, and the sample holds the first `quota` of these; the
+    others only show that a quota below the need is owed to other categories' floors and not to missing pairs. Repeated
+    exports of a pair are one pair. Draws without targets are not sampled; an empty pool gives an empty sample and a
+    report of shortfalls."""
+    members = cut(categorized(pool, targets, dims), "members")
+    plan = cut(quota_plan(members, targets, dims), "plan")
     ranked = running_offset(members, ["draw_id", "category"], F.xxhash64(F.lit(seed), F.col("pair_id")), ties=["pair_id"], name="rank")
-    chosen = ranked.join(report.select("draw_id", "category", "target_id", "quota"), ["draw_id", "category"]).filter("rank < quota")
-    return chosen.select("draw_id", "target_id", "pair_id"), report
+    drawn = ranked.join(plan.select("draw_id", "category", "target_id", "quota", "needed"), ["draw_id", "category"]).filter(F.col("rank") < F.greatest("quota", "needed"))
+    counts = drawn.groupBy(F.col("target_id").alias("_t"), F.col("draw_id").alias("_d")).agg(F.count_if(F.col("rank") < F.col("quota")).alias("drawn"), F.count_if(F.col("rank") < F.col("needed")).alias("_within"))
+    report = plan.join(counts, (F.col("target_id").eqNullSafe(F.col("_t"))) & (F.col("draw_id") == F.col("_d")), "left")
+    report = report.select(*plan.columns, F.coalesce("drawn", F.lit(0)).alias("drawn"), (F.col("needed") - F.coalesce("_within", F.lit(0))).alias("shortfall"))
+    return drawn.filter("rank < quota").select("draw_id", "target_id", "pair_id"), report

@@ -44,7 +44,8 @@ def test_sample_and_report(tables):
     assert (r[3].needed, r[3].available, r[3].shortfall) == (2, 1, 1)  # 1.5 rounds up
     assert (r[4].shortfall, r[5].available, r[5].shortfall) == (0, 0, 5)
     got = {x.target_id: x["count"] for x in sample.groupBy("target_id").count().collect()}
-    assert got == {k: v.quota for k, v in r.items() if v.quota} and sample.select("pair_id").distinct().count() == sample.count()
+    assert all(v.drawn == v.quota and v.shortfall == max(v.needed - v.available, 0) for v in r.values())
+    assert r[2].floor_excess == 0 and got == {k: v.quota for k, v in r.items() if v.quota} and sample.select("pair_id").distinct().count() == sample.count()
     assert sorted(sample.collect()) == sorted(quota.quota_sample(pairs.repartition(9), targets)[0].collect())
 
 
@@ -53,3 +54,10 @@ def test_empty_tables(tables):
     sample, report = quota.quota_sample(pairs.limit(0), targets)
     assert sample.count() == 0 and report.count() == 5 and report.filter("shortfall = needed").count() == 5
     assert quota.quota_sample(pairs, targets.limit(0))[0].count() == 0
+
+
+def test_floors_beyond_the_size_are_reported(tables):
+    pairs, targets = tables
+    over = targets.filter("draw_id = 1").withColumns({"min_pairs": F.lit(15), "sample_size": F.lit(20)})
+    sample, report = quota.quota_sample(pairs, over)
+    assert {(x.quota, x.drawn, x.floor_excess, x.shortfall) for x in report.collect()} == {(15, 15, 10, 0)} and sample.count() == 30
