@@ -1,10 +1,11 @@
 """Duplicates hidden by formatting: records that are equal but for blanks, case, punctuation and field order.
 
-The bytes of a whole Arrow batch are decoded to code points and run through a skip-and-fold table (separator, ignored,
-or the folded, decomposed letters) into rolling polynomial hashes of words, of the words of a field, and of the fields
-in any order. No canonical string is built and only (id, hash) decides the grouping. Rows whose hashes agree are then
-verified against the kept record by a lockstep comparison that skips separators on either side; should two different
-records share a hash, the rest of the group is hashed again with another seed.
+The bytes of an Arrow batch stream, about a megabyte at a time, through a skip-and-fold table (separator, ignored, or
+the folded, decomposed letters) into rolling polynomial hashes of words, of the words of a field, and of the fields in
+any order. No canonical string is built and only (id, hash) decides the grouping. Rows whose hashes agree are then
+verified against the kept record: two pointers walk over the two texts from word to word, skipping what separates them,
+without the table or anything else the hashes come from. Should two different records share a hash, the rest of the
+group is hashed again with another seed.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,30 +28,54 @@ from lexspark.session import cut
 RECORD_FIELDS = ("test", "participant", "session", "responses")
 
 _U = np.uint64
-_SEP, _SKIP = 0, -1
+_SEP, _MOST = 0, 4  # the unit of a separator; the most units of a character
+#: How many bytes of text are folded at a time.
+_WINDOW = 1 << 20
 
 
 def _fold(ch: str) -> tuple[int, ...]:
-    """The folded units of one character: () if it is ignored, (0,) if it separates words."""
+    """The folded units of one character: its decomposed letters, digits and marks without case, 0 for what separates
+    words, nothing for invisible formatting."""
     out = unicodedata.normalize("NFD", unicodedata.normalize("NFD", ch).casefold())
-    kept = tuple(ord(c) for c in out if unicodedata.category(c)[0] in "LNM")
-    if kept:
-        return kept
-    return () if unicodedata.category(ch) == "Cf" and ch not in "\u200b\ufeff" else (_SEP,)
+    return tuple(ord(c) if unicodedata.category(c)[0] in "LNM" else _SEP for c in out if unicodedata.category(c) != "Cf" or c in "\u200b\ufeff")
+
+
+def _classes(ch: str) -> tuple[int, int]:
+    """Combining classes of the first and the last character of the decomposed form."""
+    out = unicodedata.normalize("NFD", ch)
+    return unicodedata.combining(out[0]), unicodedata.combining(out[-1])
 
 
 @lru_cache(maxsize=1)
-def _table() -> tuple[np.ndarray, np.ndarray]:
-    """Units of every code point below 0x10000: number of units, and the units themselves (at most 4)."""
-    n, units = np.zeros(0x10000, dtype=np.int8), np.zeros((0x10000, 4), dtype=np.int32)
+def _table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every code point below 0x10000: the number of its units, the units, and its combining classes."""
+    n, units, marks = np.zeros(0x10000, dtype=np.int8), np.zeros((0x10000, _MOST), dtype=np.int32), np.zeros((0x10000, 2), dtype=np.int16)
     for cp in range(0x10000):
         if 0xD800 <= cp < 0xE000:
             n[cp] = 1
-            continue
-        f = _fold(chr(cp))[:4]
-        n[cp] = len(f)
-        units[cp, : len(f)] = f
-    return n, units
+        else:
+            n[cp], units[cp], marks[cp] = _entry(cp)
+    return n, units, marks
+
+
+def _entry(cp: int) -> tuple[int, list[int], tuple[int, int]]:
+    f = _fold(chr(cp))
+    if len(f) > _MOST:
+        raise ValueError(f"U+{cp:04X} folds to {len(f)} units, room is for {_MOST}")
+    return len(f), [*f, *[0] * (_MOST - len(f))], _classes(chr(cp))
+
+
+def _looked_up(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of each code point in the table, and the table), with rows for the code points beyond 0xFFFF that occur."""
+    n, units, marks = _table()
+    high = cp > 0xFFFF
+    if not high.any():
+        return cp, n, units, marks
+    found, place = np.unique(cp[high], return_inverse=True)
+    more = [_entry(int(c)) for c in found]
+    at = cp.copy()
+    at[high] = 0x10000 + place
+    return at, np.append(n, [m[0] for m in more]), np.vstack([units, [m[1] for m in more]]), np.vstack([marks, [m[2] for m in more]])
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -115,24 +141,19 @@ class Parsed:
 
 def _words(texts: pa.Array, ordered: bool = False):
     cp, begin = _code_points(texts)
-    n_of, unit_of = _table()
-    small = np.minimum(cp, 0xFFFF)
-    n = n_of[small].astype(np.int64)
-    first = unit_of[small, 0].copy()
-    for c in np.unique(cp[cp > 0xFFFF]):
-        f = _fold(chr(int(c)))[:1]
-        n[cp == c], first[cp == c] = len(f), f[0] if f else 0
-    src = np.repeat(np.arange(len(cp)), n)
-    k = np.arange(len(src)) - np.repeat(np.cumsum(n) - n, n)
-    unit = np.where(k == 0, first[src], unit_of[small[src], np.minimum(k, 3)])
-    row = np.repeat(np.arange(len(begin) - 1), np.diff(begin))[src]
-    if not ordered and len(unit) > 1:
-        marks = (unit >= 0x300) & (unit < 0x370)
-        twice = np.unique(row[1:][marks[1:] & marks[:-1]])
-        if len(twice):  # several marks on a letter may stand in any order; rare, so by row
-            hit = set(twice.tolist())
+    at, n_of, unit_of, marks = _looked_up(cp)
+    rows = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    if not ordered and len(cp) > 1:  # marks on a letter may stand in any order; rare, so those rows are put in order one by one
+        swapped = (marks[at[:-1], 1] > marks[at[1:], 0]) & (marks[at[1:], 0] > 0)
+        if swapped.any():
+            hit = set(rows[1:][swapped].tolist())
             fixed = [unicodedata.normalize("NFD", t) if i in hit and t is not None else t for i, t in enumerate(texts.to_pylist())]
             return _words(pa.array(fixed, pa.large_string()), ordered=True)
+    n = n_of[at].astype(np.int64)
+    src = np.repeat(np.arange(len(cp)), n)
+    k = np.arange(len(src)) - np.repeat(np.cumsum(n) - n, n)
+    unit = unit_of[at[src], k]
+    row = rows[src]
     inside = unit != _SEP
     new = inside.copy()
     new[1:] &= ~inside[:-1] | (row[1:] != row[:-1])
@@ -175,8 +196,6 @@ def _parse(texts: pa.Array, fields: Sequence[str]) -> Parsed:
 
 def _unescaped(texts: pa.Array) -> pa.Array:
     """JSON escapes in texts that look like JSON objects are read as the characters they stand for."""
-    import pyarrow.compute as pc
-
     hit = pc.fill_null(pc.match_substring(texts, "\\"), False)
     if not pc.any(hit).as_py():
         return texts
@@ -190,8 +209,24 @@ def _unescaped(texts: pa.Array) -> pa.Array:
     return pa.array([read(t) if h and t.lstrip().startswith("{") else t for t, h in zip(texts.to_pylist(), hit.to_pylist())], pa.large_string())
 
 
+def _windows(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of about _WINDOW bytes; a longer text is a slice of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        base = size[lo - 1] if lo else 0
+        hi = max(int(np.searchsorted(size, base + _WINDOW, side="right")), lo + 1)
+        yield texts.slice(lo, hi - lo)
+        lo = hi
+
+
 def record_hashes(texts: pa.Array, fields: Sequence[str] = RECORD_FIELDS, seed: int = 0, bits: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(h1, h2, has_words) of each text; equal records have equal hashes. A missing field equals an empty one."""
+    parts = [_hashes(w, fields, seed, bits) for w in _windows(texts)]
+    return tuple(np.concatenate([p[i] for p in parts] or [np.zeros(0, dtype=t)]) for i, t in enumerate((np.int64, np.int64, bool)))
+
+
+def _hashes(texts: pa.Array, fields: Sequence[str], seed: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     p = _parse(texts, fields)
     keep = p.word_field >= 0
     word = np.flatnonzero(keep)
@@ -213,36 +248,76 @@ def record_hashes(texts: pa.Array, fields: Sequence[str] = RECORD_FIELDS, seed:
     return h1.view(np.int64), h2.view(np.int64), np.bincount(row, minlength=p.rows)[: p.rows] > 0
 
 
+@lru_cache(maxsize=1)
+def _word_pattern():
+    import regex
+
+    return regex.compile(r"(?V1)[\p{L}\p{N}\p{M}][\p{L}\p{N}\p{M}[\p{Cf}--[\u200b\ufeff]]]*")
+
+
+def _plain(word: str) -> str:
+    """A word without case, decomposed, and without invisible formatting."""
+    if word.isascii():
+        return word.lower()
+    return "".join(c for c in unicodedata.normalize("NFD", word.casefold()) if unicodedata.category(c) != "Cf")
+
+
+def _runs(text: str, labels: dict[str, int], initials: set[str]) -> dict[int, tuple[int, int]]:
+    """Where the words of each field stand in a text, from behind its label up to the next label; what stands before
+    the first label is a field of its own."""
+    seen: dict[int, list[tuple[int, int]]] = {}
+    for m in _word_pattern().finditer(text):
+        if m.group()[0].casefold()[:1] in initials and (i := labels.get(_plain(m.group()))) is not None:
+            seen.setdefault(i, []).append(m.span())
+    marks = []
+    for i, spans in seen.items():  # a response may read like a label: the one that looks like a label is it, else the first
+        named = spans if len(spans) == 1 else [s for s in spans if re.match(r"[\"'”]?\s*[:=]", text[s[1] : s[1] + 9])]
+        marks.append(((named or spans)[0], i))
+    marks.sort()
+    edges = [*(s[0] for s, _ in marks), len(text)]
+    return {len(labels): (0, edges[0])} | {i: (s[1], end) for (s, i), end in zip(marks, edges[1:])}
+
+
+def _same_words(a: str, a_run: tuple[int, int], b: str, b_run: tuple[int, int]) -> bool:
+    """Two pointers, from word to word on either side."""
+    word, (i, a_end), (j, b_end) = _word_pattern(), a_run, b_run
+    while True:
+        m, n = word.search(a, i, a_end), word.search(b, j, b_end)
+        if m is None or n is None:
+            return m is n
+        if m.group() != n.group() and _plain(m.group()) != _plain(n.group()):
+            return False
+        i, j = m.end(), n.end()
+
+
 def same_records(left: pa.Array, right: pa.Array, fields: Sequence[str] = RECORD_FIELDS) -> np.ndarray:
-    """Exact comparison, row by row: two pointers run over the folded units of a field on either side, separators
-    skipped; a block of a field's words is compared at a time."""
-    sides = []
-    for texts in (left, right):
-        p = _parse(texts, fields)
-        keep = np.flatnonzero(p.word_field >= 0)
-        key = p.word_row[keep] * (len(fields) + 1) + p.word_field[keep]
-        # runs of words of the same field are contiguous: their units are one slice
-        cuts = np.flatnonzero(np.diff(key, prepend=-1)) if len(key) else np.zeros(0, dtype=np.int64)
-        runs = {int(key[c]): (int(keep[c]), int(keep[e - 1]) + 1) for c, e in zip(cuts, [*cuts[1:], len(key)])}
-        sides.append((p, np.diff(p.word_start), runs))
-    (p, pl, pr), (q, ql, qr) = sides
-    same = np.ones(p.rows, dtype=bool)
-    for cell in pr.keys() | qr.keys():
-        a, b = pr.get(cell), qr.get(cell)
-        r = cell // (len(fields) + 1)
-        if not same[r]:
+    """Exact comparison, row by row, that shares nothing with the hashes but the reading of JSON escapes."""
+    labels = {_plain(unicodedata.normalize("NFD", f)): i for i, f in enumerate(fields)}
+    initials = {f[0] for f in labels}
+    out = np.zeros(len(left), dtype=bool)
+    kept: tuple[str | None, str, dict[int, tuple[int, int]]] = (None, "", {})
+    decomposed = lambda t: t if t.isascii() else unicodedata.normalize("NFD", t)
+    for r, (raw, x, y) in enumerate(zip(right.to_pylist(), _unescaped(left).to_pylist(), _unescaped(right).to_pylist())):
+        if x is None or y is None:
             continue
-        same[r] = bool(a and b and a[1] - a[0] == b[1] - b[0] and np.array_equal(pl[a[0] : a[1]], ql[b[0] : b[1]]) and np.array_equal(p.units[p.word_start[a[0]] : p.word_start[a[1]]], q.units[q.word_start[b[0]] : q.word_start[b[1]]]))
-    return same
+        if raw != kept[0]:
+            t = decomposed(y)
+            kept = raw, t, _runs(t, labels, initials)
+        _, b, q = kept
+        a = decomposed(x)
+        p = _runs(a, labels, initials)
+        out[r] = a == b or all(_same_words(a, p.get(i, (0, 0)), b, q.get(i, (0, 0))) for i in p.keys() | q.keys())
+    return out
 
 
-def collapse(df: DataFrame, id: str, payload: str, fields: Sequence[str] = RECORD_FIELDS, bits: int = 128, max_rounds: int = 20) -> DataFrame:
+def collapse(df: DataFrame, id: str, payload: str, fields: Sequence[str] = RECORD_FIELDS, bits: int = 128, max_rounds: int = 20, part_rows: int = 50_000) -> DataFrame:
     """(kept_id, copy_id): for each set of equal records the smallest id with each other one.
 
     Records are equal if their fields hold the same words in the same order, the fields in any order. Null payloads
     and payloads without any word equal nothing. Rows repeated with their id are one record. An empty table gives no pairs.
-    Groups are never collected: the kept record is found by a map-side combined minimum and joined back (a hot group is
-    split by the adaptive skew join), and each copy is compared with it where it lies.
+    Groups are never collected: the kept record is found by a map-side combined minimum, and each copy meets it in a
+    join; the kept record of a group of more than `part_rows` is repeated so that its copies are spread over that many
+    more keys.
     """
     rows = df.select(F.col(id).alias("id"), F.col(payload).cast("string").alias("payload"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -261,10 +336,12 @@ def collapse(df: DataFrame, id: str, payload: str, fields: Sequence[str] = RECOR
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same_records(b.column(2), b.column(3), fields))], names=["kept_id", "copy_id", "same"])
 
         hashed = cut(rows.filter("payload IS NOT NULL").mapInArrow(hashes, f"id {kind}, h1 bigint, h2 bigint").filter("h1 IS NOT NULL"), "hashes")
-        firsts = hashed.groupBy("h1", "h2").agg(F.min("id").alias("kept_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        members = hashed.join(firsts, ["h1", "h2"]).filter("id <> kept_id").select("kept_id", F.col("id").alias("copy_id"))
+        firsts = hashed.groupBy("h1", "h2").agg(F.min("id").alias("kept_id"), F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / part_rows)).drop("n")
+        salt = F.pmod(F.xxhash64("id"), F.col("parts")).alias("salt")
+        members = hashed.join(firsts, ["h1", "h2"]).filter("id <> kept_id").select("kept_id", F.col("id").alias("copy_id"), salt)
         one, two = rows.select(F.col("id").alias("copy_id"), F.col("payload").alias("p1")), rows.select(F.col("id").alias("kept_id"), F.col("payload").alias("p2"))
-        pairs = members.join(one, "copy_id").join(two, "kept_id").select("kept_id", "copy_id", "p1", "p2")
+        kept = two.join(firsts.select("kept_id", "parts"), "kept_id").select("kept_id", "p2", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("salt"))
+        pairs = members.join(one, "copy_id").join(kept, ["kept_id", "salt"]).select("kept_id", "copy_id", "p1", "p2")
         verified = cut(pairs.mapInArrow(compare, f"kept_id {kind}, copy_id {kind}, same boolean"), "pairs")
         done.append(verified.filter("same").select("kept_id", "copy_id"))
         wrong = verified.filter("NOT same").select(F.col("copy_id").alias("id")).distinct()

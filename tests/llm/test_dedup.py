@@ -87,3 +87,36 @@ def test_nulls_empties_repeats_long_texts(spark):
 def test_permuted_polynomials_differ():
     h = D._poly(np.array([1, 2, 2, 1, 1, 2], dtype=np.uint64), np.array([0, 2, 4]), np.array([2, 2, 2]), 1)
     assert h[0] != h[1] and h[0] == h[2]
+
+
+def test_letters_beyond_the_first_plane():
+    a, b = "responses ab\U0001109a", "responses ab\U0001109c"  # letters of two code points when decomposed
+    assert unicodedata.normalize("NFD", a)[-1] == unicodedata.normalize("NFD", b)[-1]
+    texts = pa.array([a, b, unicodedata.normalize("NFD", a), "responses \U0001134b", unicodedata.normalize("NFD", "responses \U0001134b")])
+    h = D.record_hashes(texts)[0]
+    assert h[0] == h[2] != h[1] and h[3] == h[4]
+    assert D.same_records(texts.take([0, 0, 3]), texts.take([1, 2, 4])).tolist() == [False, True, True]
+
+
+def test_hash_and_comparison_agree_on_every_letter():
+    chars = [chr(c) for c in range(0x20, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c))[0] in "LNMSC" and unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs")]
+    rng = random.Random(1)
+    chars = rng.sample(chars, 6000) + [c for c in chars if unicodedata.normalize("NFD", c) != c and ord(c) > 0xFFFF]
+    one = pa.array([f"responses a{c}b x" for c in chars])
+    for change in (lambda t: unicodedata.normalize("NFD", t), lambda t: unicodedata.normalize("NFC", t), lambda t: t.upper(), lambda t: t.replace("a", "a\u00ad")):
+        two = pa.array([change(t) for t in one.to_pylist()])
+        hashes = (D.record_hashes(one)[0] == D.record_hashes(two)[0]).tolist()
+        assert hashes == D.same_records(one, two).tolist()
+    assert hashes == [True] * len(hashes)
+
+
+def test_windows_do_not_change_hashes(monkeypatch):
+    texts = pa.array([f"test svf session {i} responses gås {'ö' * i}" for i in range(50)] + [None, ""])
+    whole = D.record_hashes(texts)
+    monkeypatch.setattr(D, "_WINDOW", 64)
+    assert all((x == y).all() for x, y in zip(whole, D.record_hashes(texts))) and len(list(D._windows(texts))) > 20
+
+
+def test_hot_group_is_spread(spark):
+    df = spark.createDataFrame([(i, f"test svf responses ko{' ' * (i % 7)} get") for i in range(300)], "record_id bigint, payload string")
+    assert {tuple(r) for r in D.collapse(df, "record_id", "payload", part_rows=20).collect()} == {(0, i) for i in range(1, 300)}
