@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexspark.llm.tokens import TOKENIZER, encoding
+from lexspark.llm.tokens import TOKENIZER, encoding, token_lengths
 
 _LINE = re.compile(rb"(?:\r\n|[\n\r\x0b\x0c]|\xc2\x85|\xe2\x80[\xa8\xa9])+")
 _BLANK_LINE = re.compile(rb"(?:\r\n|\n|\r(?!\n)|\xe2\x80\xa9)[ \t]*(?:\r\n|\n|\r)")
@@ -35,6 +35,7 @@ class Piece:
     byte_start: int
     byte_own: int
     byte_stop: int
+    n_tokens: int  # of the piece by itself, overlap included
     cut: str  # how it ends: natural, forced, or end
 
 
@@ -51,9 +52,9 @@ def boundaries(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pos, np.array([strength[int(p)] for p in pos], dtype=np.int64)
 
 
-def _cuts(n: int, most: int, pos: np.ndarray, strength: np.ndarray, legal: np.ndarray) -> list[tuple[int, str]]:
-    """(position, kind) of all cuts of [0, n) such that no span is longer than `most`, in order."""
-    out, todo = [], [(0, n)]
+def _cuts(start: int, stop: int, most: int, pos: np.ndarray, strength: np.ndarray, legal: np.ndarray) -> list[tuple[int, str]]:
+    """(position, kind) of all cuts of [start, stop) such that no span is longer than `most`, in order."""
+    out, todo = [], [(start, stop)]
     while todo:
         lo, hi = todo.pop()
         if hi - lo <= most:
@@ -84,37 +85,46 @@ def _cuts(n: int, most: int, pos: np.ndarray, strength: np.ndarray, legal: np.nd
 
 def split_text(text: str, limit: int = 2048, overlap: int = 64, path: str = TOKENIZER) -> list[Piece]:
     """The pieces of a text, in order; one piece if it has at most `limit` tokens. Without their overlaps they make up
-    the text. No piece has more than `limit` tokens, counted on the piece by itself."""
-    if not 0 <= overlap < limit:
-        raise ValueError("overlap must be less than limit")
-    enc, data = encoding(path), text.encode("utf-8")
+    the text. No piece has more than `limit` tokens, counted on the piece by itself: where tokens at its seams come out
+    otherwise than in the text and it has more, it is cut once more. An error if that is impossible, a character with
+    its overlap having more tokens than the limit; `limit` must exceed `overlap` by 8 at least."""
+    if overlap < 0 or limit < overlap + 8:
+        raise ValueError("limit must be 8 more than overlap at least")
+    enc = encoding(path)
     ids = enc.encode_ordinary(text)
-    ends = np.cumsum([len(t) for t in enc.decode_tokens_bytes(ids)], dtype=np.int64)
-    n = len(ids)
+    n, data = len(ids), text.encode("utf-8")
     if n <= limit:
-        return [Piece(0, n, 0, 0, 0, len(data), "end")]
+        return [Piece(0, n, 0, 0, 0, len(data), n, "end")]
+    ends = np.cumsum(token_lengths(path)[ids], dtype=np.int64)
     raw = np.frombuffer(data + b" ", dtype=np.uint8)
     legal = np.flatnonzero((raw[ends] & 0xC0) != 0x80) + 1  # token ends that are ends of characters
     pos, strength = boundaries(data, ends)
     ok = np.isin(pos, legal)
     pos, strength = pos[ok], strength[ok]
     byte = np.concatenate([[0], ends])
-    most = limit - overlap
-    while True:
-        cuts = _cuts(n, most, pos, strength, legal)
-        edges, pieces = [0, *(c for c, _ in cuts), n], []
-        for i, (a, b) in enumerate(zip(edges, edges[1:])):
-            o = a
-            if i and overlap:
-                o = max(a - overlap, 0)
-                k = int(np.searchsorted(legal, o))
-                o = int(legal[k]) if o and k < len(legal) and legal[k] <= a else o
-            pieces.append(Piece(a, b, o, int(byte[o]), int(byte[a]), int(byte[b]), cuts[i][1] if i < len(cuts) else "end"))
-        # tokens at the seams may come out differently in a piece by itself
-        longest = max(len(enc.encode_ordinary(data[p.byte_start : p.byte_stop].decode("utf-8", "ignore"))) for p in pieces)
-        if longest <= limit or most <= 8:
-            return pieces
-        most = max(8, most - (longest - limit))
+
+    def piece(a: int, b: int, kind: str) -> Piece:
+        o = max(a - overlap, 0)
+        k = int(np.searchsorted(legal, o))
+        o = int(legal[k]) if o and k < len(legal) and legal[k] <= a else o
+        return Piece(a, b, o, int(byte[o]), int(byte[a]), int(byte[b]), len(enc.encode_ordinary(data[byte[o] : byte[b]].decode("utf-8"))), kind)
+
+    def spans(a: int, b: int, kind: str, most: int) -> list[tuple[int, int, str]]:
+        cuts = [*_cuts(a, b, most, pos, strength, legal), (b, kind)]
+        return [(lo, hi, k) for lo, (hi, k) in zip([a, *(c for c, _ in cuts)], cuts)]
+
+    done, todo = [], spans(0, n, "end", limit - overlap)[::-1]
+    while todo:
+        a, b, kind = todo.pop()
+        p = piece(a, b, kind)
+        if p.n_tokens <= limit:
+            done.append(p)
+            continue
+        finer = spans(a, b, kind, b - a - 1)
+        if len(finer) == 1:
+            raise ValueError(f"a character has more than {limit - overlap} tokens")
+        todo += finer[::-1]
+    return done
 
 
 def split_oversized(df: DataFrame, id: str, text: str, limit: int = 2048, overlap: int = 64, path: str = TOKENIZER) -> DataFrame:
@@ -132,12 +142,12 @@ def split_oversized(df: DataFrame, id: str, text: str, limit: int = 2048, overla
                 pieces = split_text(t, limit, overlap, path)
                 if len(pieces) == 1:
                     continue
-                data, enc = t.encode("utf-8"), encoding(path)
+                data = t.encode("utf-8")
                 texts = [data[p.byte_start : p.byte_stop].decode("utf-8") for p in pieces]
                 k = len(pieces)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0).slice(i, 1).take(pa.array([0] * k)), pa.array(range(k), pa.int32()), pa.array([k] * k, pa.int32()), pa.array(texts), pa.array([len(enc.encode_ordinary(x)) for x in texts], pa.int32()),
+                        b.column(0).slice(i, 1).take(pa.array([0] * k)), pa.array(range(k), pa.int32()), pa.array([k] * k, pa.int32()), pa.array(texts), pa.array([p.n_tokens for p in pieces], pa.int32()),
                         pa.array([len(data[p.byte_start : p.byte_own].decode("utf-8")) for p in pieces], pa.int32()), pa.array([p.cut for p in pieces]),
                     ], names=["id", "piece_no", "n_pieces", "piece", "n_tokens", "overlap_chars", "cut_kind"],
                 )

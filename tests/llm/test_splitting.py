@@ -14,7 +14,7 @@ def check(text, limit, overlap):
     for a, b in zip(pieces, pieces[1:]):
         assert b.byte_own == a.byte_stop and a.byte_start <= b.byte_start <= b.byte_own
     for p in pieces:
-        assert len(enc.encode_ordinary(data[p.byte_start : p.byte_stop].decode())) <= limit
+        assert len(enc.encode_ordinary(data[p.byte_start : p.byte_stop].decode())) == p.n_tokens <= limit
     return pieces
 
 
@@ -24,6 +24,12 @@ def test_round_trip_and_limit(text, limit, overlap):
     check(text, limit, overlap)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="a \n\t.漢😀é'", min_size=30, max_size=400), st.integers(8, 16))
+def test_small_limits_hold_too(text, limit):
+    check(text, limit, 0)
+
+
 def test_natural_and_forced():
     natural = check("Det här är en mening. " * 300, 128, 16)
     assert {p.cut for p in natural} == {"natural", "end"} and all(p.start - p.overlap_start == 16 for p in natural[1:])
