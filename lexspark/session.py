@@ -11,7 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def build_session(app: str = "lexspark", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -37,12 +37,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset a session on one machine gets a
+    temporary one; on a cluster an error, as executors would not see each other's files."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = sc._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="lexspark-")
+        if current.isDefined():
+            named = current.get()
+        elif sc.master.startswith("local"):
+            named = tempfile.mkdtemp(prefix="lexspark-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named)
     return named
@@ -50,12 +56,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes df as a parquet table in the shared folder and reads it back: the lineage ends there, and a lost
-    executor costs nothing but the rereading. Smaller on disk than checkpoint(), which keeps rows as objects."""
+    executor costs nothing but the rereading. Smaller on disk than checkpoint(), which keeps rows as objects. The table
+    lies there until the session ends or `release` is called."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexspark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lexspark_cut = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes what `cut` wrote for these tables, once nothing reads them any more; others are left alone."""
+    for t in tables:
+        path = getattr(t, "_lexspark_cut", None)
+        if path in _WRITTEN:
+            _delete(_WRITTEN.pop(path), path)
 
 
 def ship(spark: SparkSession) -> None:
@@ -75,7 +92,7 @@ def ship(spark: SparkSession) -> None:
         out.write(bytearray(archive.getvalue()))
     finally:
         out.close()
-    _WRITTEN.append((spark, path))
+    _WRITTEN[path] = spark
     sc.addPyFile(path)
     sc._lexspark_shipped = True
 
@@ -86,12 +103,15 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _drop_written() -> None:
-    for spark, path in _WRITTEN:
+    for path, spark in _WRITTEN.items():
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:
             pass
