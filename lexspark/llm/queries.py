@@ -23,16 +23,18 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return report.select("target_id", "draw_id", "needed", "available", "quota", "drawn", "shortfall", "floor_excess")
 
 
+_TASKS = (consensus.RATING, consensus.CATEGORY, consensus.COMPOUND)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    _, raters = consensus.community_consensus(table(spark, d, "sq3_ratings"), consensus.RATING)
-    return consensus.unrelated_raters(raters).select(F.col("rater").alias("rater_id"))
+    _, raters = consensus.community_consensus(table(spark, d, "sq3_ratings"), consensus.RATING, watch=0.45)
+    return consensus.unrelated_raters(raters, 0.45).select(F.col("rater").alias("rater_id"))
 
 
 def _each_task(spark: SparkSession, d: str, which: int) -> DataFrame:
-    ratings, tasks, out = table(spark, d, "sq3_ratings"), (consensus.RATING, consensus.CATEGORY, consensus.COMPOUND), None
-    judgements = cut(consensus.clean_judgements(ratings, tasks), "judgements")
-    for task in tasks:
-        part = consensus.community_consensus(ratings, task, judgements=judgements, tolerance=1e-4)[which].withColumn("task", F.lit(task.name))
+    judgements, out = cut(consensus.clean_judgements(table(spark, d, "sq3_ratings"), _TASKS), "judgements"), None
+    for task, parts in zip(_TASKS, consensus.community_models(judgements, _TASKS)):
+        part = parts[which].withColumn("task", F.lit(task.name))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -45,6 +47,11 @@ def p3_raters(spark: SparkSession, d: str) -> DataFrame:
     return _each_task(spark, d, 1).withColumnRenamed("rater", "rater_id")
 
 
+def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
+    out = consensus.overall_agreement(consensus.clean_judgements(table(spark, d, "sq3_ratings"), _TASKS), _TASKS)
+    return out.select("task", "n_items", "n_labels", *[F.round(c, 6).alias(c) for c in ("observed", "expected", "coefficient")])
+
+
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_frequency(table(spark, d, "svf_participant"), "participant_id", "responses")
 
@@ -92,7 +99,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_sample": p1_sample, "p1_report": p1_report, "p3_found": p3_found, "p3_consensus": p3_consensus, "p3_raters": p3_raters,
+    "p1_found": p1_found, "p1_sample": p1_sample, "p1_report": p1_report, "p3_found": p3_found, "p3_consensus": p3_consensus, "p3_raters": p3_raters, "p3_agreement": p3_agreement,
     "p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_records": p5_records,
     "p7_containers": p7_containers, "p8_found": p8_found, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_pieces": p9_pieces,
 }
@@ -115,6 +122,14 @@ ideal AS (SELECT t.*, total, lows, floor_excess, CASE WHEN total > lows THEN lea
 whole AS (SELECT *, greatest(least(floor(x + 1e-9), available), low)::BIGINT AS q0 FROM ideal),
 ranked AS (SELECT *, total - sum(q0) OVER (PARTITION BY draw_id) AS open, row_number() OVER (PARTITION BY draw_id, q0 < available AND share > 0 ORDER BY -round(x - q0, 9), target_id) AS place FROM whole)
 """
+_P3_LABELS = r"""
+WITH said AS (SELECT pair_id, rater_id, rating_id, loaded_at, CASE WHEN rating BETWEEN 0 AND 3 THEN rating END AS r,
+  list_position(['coordinate', 'hypernym', 'hyponym', 'circumlocution', 'phonological', 'unrelated', 'other'], regexp_replace(lower(category), '[\pZ\s]', '', 'g')) AS c,
+  CASE WHEN regexp_replace(lower(is_compound), '[\pZ\s]', '', 'g') IN ('true', '1', 'yes', 'y', 't') THEN 1 WHEN regexp_replace(lower(is_compound), '[\pZ\s]', '', 'g') IN ('false', '0', 'no', 'n', 'f') THEN 0 END AS f
+  FROM sq3_ratings WHERE pair_id IS NOT NULL AND rater_id IS NOT NULL),
+last AS (SELECT pair_id, rater_id, arg_max({'r': r, 'c': c, 'f': f}, (loaded_at, coalesce(r, -1), coalesce(c, 0), coalesce(f, -1))) AS s FROM said GROUP BY pair_id, rater_id, rating_id),
+labels AS (SELECT 'rating' AS task, pair_id, s.r AS l FROM last UNION ALL SELECT 'category', pair_id, s.c FROM last UNION ALL SELECT 'is_compound', pair_id, s.f FROM last)
+"""
 _P4 = r"""
 WITH raw AS (SELECT participant_id, unnest(responses) AS x FROM svf_participant),
 clean AS (SELECT participant_id, regexp_replace(regexp_replace(nfc_normalize(lower(nfc_normalize(x))), '[\pZ\s]+', ' ', 'g'), '^[\pZ\s\pP\pS]+|[\pZ\s\pP\pS]+$', '', 'g') AS term FROM raw),
@@ -130,6 +145,10 @@ sets AS (SELECT record_id, min(record_id) OVER (PARTITION BY k) AS kept_id, coun
 SQL = {
     "p1_found": _P1 + "SELECT target_id FROM report WHERE available < needed",
     "p1_report": _P1_QUOTAS + "SELECT target_id, draw_id, needed, available, q0 + (q0 < available AND share > 0 AND place <= open)::BIGINT AS quota, q0 + (q0 < available AND share > 0 AND place <= open)::BIGINT AS drawn, greatest(needed - available, 0) AS shortfall, floor_excess FROM ranked",
+    "p3_agreement": _P3_LABELS + """, votes AS (SELECT task, pair_id, l, count(*)::DOUBLE AS v FROM labels WHERE l IS NOT NULL GROUP BY ALL), items AS (SELECT task, pair_id, sum(v) AS n, sum(v * (v - 1)) AS same FROM votes GROUP BY ALL),
+o AS (SELECT task, count(*) AS n_items, sum(n)::BIGINT AS n_labels, sum(n * same / (n * (n - 1))) FILTER (n > 1) / sum(n) FILTER (n > 1) AS observed FROM items GROUP BY task),
+e AS (SELECT task, sum((t / a) * (t / a)) AS expected FROM (SELECT task, sum(v) AS t, sum(sum(v)) OVER (PARTITION BY task) AS a FROM votes GROUP BY task, l) GROUP BY task)
+SELECT task, n_items, n_labels, round(observed, 6) AS observed, round(expected, 6) AS expected, round((observed - expected) / (1 - expected), 6) AS coefficient FROM o JOIN e USING (task)""",
     "p4_found": _P4 + "SELECT term, term_mark FROM marked WHERE term_mark IS NOT NULL",
     "p4_terms": _P4 + "SELECT term, occurrences, records, term_mark FROM marked",
     "p5_found": _P5 + "SELECT kept_id, record_id AS copy_id FROM sets WHERE record_id > kept_id",

@@ -43,7 +43,7 @@ def test_nominal_tasks(judged):
     assert np.mean([got[f"p{i}"] == C.CATEGORIES[t] for i, t in enumerate(truth) if f"p{i}" in got]) > 0.97
     flags, raters = C.community_consensus(df, C.COMPOUND)
     assert all(r.reliability > 0.9 for r in raters.collect())
-    a = C.overall_agreement(flags, C.clean_labels(df, C.COMPOUND), 2).first()
+    a = C.overall_agreement(C.clean_judgements(df, [C.COMPOUND]), [C.COMPOUND]).first()
     assert a.observed == 1.0 and a.coefficient == pytest.approx(1.0)
 
 
@@ -66,11 +66,24 @@ def test_nulls_impossible_labels_and_empty_tables(spark, judged):
     assert items.count() == 0 and raters.count() == 0
 
 
-def test_shared_judgements_give_the_same(judged):
+def test_tasks_together_give_what_they_give_alone(judged):
     df, _, _ = judged
-    shared = C.clean_judgements(df, (C.RATING, C.CATEGORY, C.COMPOUND)).cache()
-    for task in (C.RATING, C.COMPOUND):
-        a, b = (sorted(map(tuple, x.select("item", "rater", "l").collect())) for x in (C.clean_labels(df, task), shared.select("item", "rater", F.col(task.name).alias("l")).filter("l IS NOT NULL")))
-        assert a == b
-    one, two = C.community_consensus(df, C.RATING)[1], C.community_consensus(df, C.RATING, judgements=shared)[1]
-    assert {r.rater: round(r.reliability, 6) for r in one.collect()} == {r.rater: round(r.reliability, 6) for r in two.collect()}
+    tasks = (C.RATING, C.CATEGORY, C.COMPOUND)
+    together = C.community_models(C.clean_judgements(df, tasks).cache(), tasks)
+    for task, (items, raters) in zip(tasks, together):
+        alone = C.community_consensus(df, task)
+        assert {r.rater: round(r.reliability, 4) for r in raters.collect()} == {r.rater: round(r.reliability, 4) for r in alone[1].collect()}
+        assert {r.item: (r.consensus, r.n_labels) for r in items.collect()} == {r.item: (r.consensus, r.n_labels) for r in alone[0].collect()}
+
+
+def test_hot_items_and_raters_are_salted(judged):
+    df, _, _ = judged
+    one, two = ({r.rater: round(r.reliability, 6) for r in C.community_consensus(df, C.RATING, part_labels=k)[1].collect()} for k in (10**9, 25))
+    assert one == two
+
+
+def test_the_last_delivery_holds(spark):
+    rows = [(1, "p", "a", 0, "other", None, 5), (1, "p", "a", 3, "Other ", "yes", 9), (1, "p", "a", 2, None, "no", 7), (None, "p", "b", 1, None, None, 1), (None, "p", "b", 1, None, None, 2), (None, "p", "b", 2, None, None, 1)]
+    df = spark.createDataFrame(rows, SCHEMA + ", s long").withColumn("loaded_at", F.timestamp_seconds("s"))
+    got = sorted(map(tuple, C.clean_judgements(df, (C.RATING, C.CATEGORY, C.COMPOUND)).collect()))
+    assert got == [("p", "a", 3, 6, 1), ("p", "b", 1, None, None), ("p", "b", 2, None, None)]
