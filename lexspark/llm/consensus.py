@@ -231,11 +231,12 @@ def _salted(labels: DataFrame, votes: DataFrame, part_labels: int) -> tuple[Data
             continue
         labels = labels.join(parts, k, "left").withColumn(f"_s_{k}", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
         keys[k], found[k] = [k, f"_s_{k}"], parts
-    return labels, keys["item"], keys["rater"], found
+    return cut(labels, "salted") if found else labels, keys["item"], keys["rater"], found
 
 
 def _spread(df: DataFrame, key: str, found: dict[str, DataFrame]) -> DataFrame:
-    """df (a row per key) once for every salted key its labels have."""
+    """df (a row per key) once for every salted key its labels have. No key of it is large, so the join with the labels
+    builds a hash table per partition and sorts neither side."""
     if key not in found:
         return df
     return df.join(found[key], key, "left").withColumn(f"_s_{key}", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
@@ -268,7 +269,7 @@ def community_models(judgements: DataFrame, tasks: Sequence[Task], inner: int =
     sums = [F.coalesce(F.sum(F.when(F.col(t.name) == lab, F.col(f"q{i}_{k}"))), F.lit(0.0)).alias(f"n{i}_{k}_{lab}") for i, t in enumerate(tasks) for k in range(c[i]) for lab in range(c[i])]
     for r in range(most_rounds):
         old, before = stats, [m.shares() for m in models]
-        stats = cut(labels.join(_spread(items, "item", found), item_key).groupBy("rater").agg(*sums), "raters")
+        stats = cut(labels.join(_spread(items, "item", found).hint("shuffle_hash"), item_key).groupBy("rater").agg(*sums), "raters")
         release(old)
         _fit(stats, tasks, models, inner, live)
         for i, m in enumerate(models):
@@ -329,7 +330,7 @@ def _posterior(labels: DataFrame, stats: DataFrame, tasks: Sequence[Task], model
             yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["rater", *(f"e{i}" for i in range(len(tasks)))])
 
     state = stats.mapInArrow(messages, "rater string, " + ", ".join(f"e{i} array<float>" for i in range(len(tasks))))
-    said = labels.join(_spread(state, "rater", found), rater_key)
+    said = labels.join(_spread(state, "rater", found).hint("shuffle_hash"), rater_key)
     sums, exps, shares = [], [], []
     for i, (t, m) in enumerate(zip(tasks, models)):
         w = m.matrix.sum(axis=(0, 2))
