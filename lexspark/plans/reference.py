@@ -598,9 +598,10 @@ edge AS (SELECT 's' || k AS src, CASE WHEN k <= 1 THEN '{graph.ROOT}' ELSE 's' |
 edges AS (SELECT src, dst, arg_max(label, ord) AS label FROM edge GROUP BY ALL),
 walk AS (SELECT '{graph.ROOT}' AS sense, 0 AS depth, ['{graph.ROOT}'] AS path UNION ALL SELECT e.src, w.depth + 1, list_append(w.path, e.src) FROM edges e JOIN walk w ON e.dst = w.sense WHERE e.label = 'primary')"""
 _PAIRS = "pairs AS (SELECT DISTINCT 's' || p_partkey AS s1, 's' || (p_partkey // 3 + 1) AS s2 FROM part WHERE p_partkey > 1)"
+# breadth first from every s1 of `pairs`; the table is keyed, so each node keeps the first distance it is reached at
 _BFS = """twoway AS (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges)),
-hop AS (SELECT s1, s2, s1 AS node, 0 AS h FROM pairs UNION SELECT s1, s2, b, h + 1 FROM hop JOIN twoway ON a = node WHERE h < {h} AND node <> s2),
-len AS (SELECT s1, s2, min(h) FILTER (node = s2) AS path_length FROM hop GROUP BY ALL)"""
+hop(source, node, h) USING KEY (source, node) AS (SELECT DISTINCT s1, s1, 0 FROM pairs WHERE s1 IN (SELECT a FROM twoway) UNION SELECT x.source, t.b, min(x.h + 1) FROM hop x JOIN twoway t ON t.a = x.node LEFT JOIN recurring.hop seen ON seen.source = x.source AND seen.node = t.b WHERE seen.node IS NULL GROUP BY x.source, t.b),
+len AS (SELECT s1, s2, h AS path_length FROM pairs LEFT JOIN hop ON source = s1 AND node = s2)"""
 
 SQL = {
     "text_norm": r"""SELECT doc_id, length(n)::BIGINT AS n_chars_plain, md5(n) AS digest FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, 'nan')), '^[\pZ\s]+|[\pZ\s]+$', '', 'g'), '[^\p{L}\p{N}_\- ]+', ' ', 'g'), '[\pZ\s]+', ' ', 'g')) AS n FROM documents)""",
@@ -616,9 +617,9 @@ SELECT *, graded_mean - binary_mean AS gain, CASE WHEN graded_mean - binary_mean
     "eligibility_funnel": f"WITH {_ANSWERS} SELECT count(*) AS n_total, count(*) FILTER (is_non_response) AS n_non_response, count(*) FILTER (is_exact_match) AS n_exact, count(*) FILTER (is_non_response AND is_exact_match) AS n_both, count(*) FILTER (NOT is_non_response AND NOT is_exact_match) AS n_eligible FROM answers",
     "eligible_pairs": f"WITH {_ANSWERS} SELECT gold, normalized, arg_min({{'p': participant_id}}, coalesce(participant_id, '')).p AS participant_id FROM answers WHERE NOT is_non_response AND NOT is_exact_match GROUP BY ALL",
     "item_variation": rounded_sql(f"WITH {_ANSWERS}\nSELECT gold, count(*) AS n, avg(cosine_sim) AS value_mean, stddev_samp(cosine_sim) AS value_sd FROM answers GROUP BY gold ORDER BY value_sd DESC NULLS LAST, gold LIMIT 10", "value_mean value_sd", "gold n", 10),
-    "fas_triplets": rf"""WITH {base.PARTICIPANTS}, cells AS (SELECT participant_id, array_to_string(list_filter(responses[1:4], lambda x: x IS NOT NULL), ',') AS cell FROM participants WHERE len(responses) > 0),
-parts AS (SELECT participant_id, list_transform(string_split(cell, ','), lambda x: trim(x, ' ')) AS t FROM cells)
-SELECT participant_id, {', '.join(f"lower(trim(CASE WHEN regexp_matches(coalesce(t[{i}], ''), '^<.*>$') THEN substr(t[{i}], 2, length(t[{i}]) - 2) ELSE coalesce(t[{i}], '') END, ' ')) AS word_{x}" for i, x in enumerate('fas', 1))}, len(list_filter(t, lambda x: x <> '')) AS n_compact FROM parts""",
+    "fas_triplets": rf"""WITH {base.PARTICIPANTS}, flat AS (SELECT participant_id, string_split(array_to_string(list_transform(responses, lambda x: coalesce(x, '')), ','), ',') AS w FROM participants WHERE len(responses) > 0),
+cells AS (SELECT participant_id, c AS cell_no, list_transform(w[3 * c + 1 : 3 * c + 3], lambda x: trim(x, ' ')) AS t FROM flat, range(0, 100000) r(c) WHERE 3 * c < len(w))
+SELECT participant_id, cell_no::INT AS cell_no, {', '.join(f"lower(trim(CASE WHEN regexp_matches(coalesce(t[{i}], ''), '^<.*>$') THEN substr(t[{i}], 2, length(t[{i}]) - 2) ELSE coalesce(t[{i}], '') END, ' ')) AS word_{x}" for i, x in enumerate('fas', 1))}, len(list_filter(t, lambda x: x <> '')) AS n_compact FROM cells""",
     "meta_labels": r"""SELECT CASE WHEN k LIKE 'kategori%' OR k LIKE 'categor%' THEN 'Category' WHEN k LIKE 'gender%' THEN 'Gender' WHEN k LIKE 'age%' THEN 'Age' WHEN k LIKE 'mmse%' THEN 'MMSE' END AS field, count(*) AS n, count(*) FILTER (attr_value IS NULL OR lower(trim(attr_value, ' ')) IN ('nan', 'none', '')) AS n_null
 FROM (SELECT attr_value, lower(trim(regexp_replace(attr_name, ':+$', ''), ' ')) AS k FROM meta_entries) GROUP BY ALL""",
     "unpivot_long": rounded_sql(f"WITH {base.PARTICIPANTS}\nSELECT participant_id, field, value FROM (SELECT participant_id, 'age' AS field, age AS value FROM participants UNION ALL SELECT participant_id, 'mmse', mmse FROM participants) WHERE value IS NOT NULL", "value", "participant_id field"),
@@ -674,7 +675,7 @@ SELECT *, {_FLAG} FROM (SELECT count(*) AS n_pairs, {_KW} AS weighted_kappa, (SE
     "spearman_by_quartile": rounded_sql(_spearman_sql("model_name, cosine_quartile"), "spearman_rho", "model_name cosine_quartile n below_min_n"),
     "spearman_by_category": rounded_sql(_spearman_sql("model_name, category", 15), "spearman_rho", "model_name category n below_min_n"),
     "kruskal_words": rounded_sql(f"WITH {_SCORED}, long AS (UNPIVOT (SELECT participant_id, diagnosis, total_words, unique_words, repetitions FROM scored) ON total_words, unique_words, repetitions INTO NAME metric VALUE value), kw AS {_kruskal_sql('long', 'metric')}\nSELECT metric, k, n, h FROM kw", "h", "metric k n"),
-    "threshold_kruskal": rounded_sql(f"""WITH {_WORD_SIMS}, grid AS (SELECT *, t / 1000.0::DOUBLE AS threshold FROM wsims, range(0, 301, 50) r(t)), m AS (SELECT participant_id, threshold, {_METRICS} FROM {_clusters_sql('grid', 'participant_id, threshold', 'sim >= threshold')} GROUP BY ALL),
+    "threshold_kruskal": rounded_sql(f"""WITH {_WORD_SIMS}, grid AS (SELECT *, t / 1000.0::DOUBLE AS threshold FROM wsims, range(0, 301, 25) r(t)), m AS (SELECT participant_id, threshold, {_METRICS} FROM {_clusters_sql('grid', 'participant_id, threshold', 'sim >= threshold')} GROUP BY ALL),
 md AS (SELECT threshold, diagnosis, mean_cluster_size::DOUBLE AS mean_cluster_size, switch_count::DOUBLE AS switch_count, cluster_count::DOUBLE AS cluster_count FROM m JOIN participants USING (participant_id)), long AS (UNPIVOT md ON mean_cluster_size, switch_count, cluster_count INTO NAME metric VALUE value), kw AS {_kruskal_sql('long', 'metric, threshold', 2)}
 SELECT metric, best.t AS threshold, best.h AS h FROM (SELECT metric, arg_max({{'t': threshold, 'h': h}}, (h, -threshold)) AS best FROM kw WHERE h IS NOT NULL GROUP BY metric)""", "threshold h", "metric"),
     "cohens_d": rounded_sql(f"""WITH {_SCORED}, g AS (SELECT diagnosis, count(*) AS n, avg(total_words) AS m, var_samp(total_words) AS v FROM scored GROUP BY diagnosis), w AS (SELECT * FROM (VALUES ('HC', 'MCI'), ('HC', 'non-AD'), ('HC', 'AD'), ('MCI', 'AD')) x(group_a, group_b))
@@ -686,11 +687,11 @@ SELECT k, n, h FROM kw""", "h", "k n", 4),
     "graph_depth": f"WITH RECURSIVE {_GRAPH} SELECT sense, depth FROM walk",
     "graph_ancestors": f"WITH RECURSIVE {_GRAPH} SELECT sense, path[i] AS ancestor, depth - i + 1 AS hops, i - 1 AS ancestor_depth FROM walk, range(1, 100) r(i) WHERE i <= len(path)",
     "wu_palmer": rounded_sql(f"WITH RECURSIVE {_GRAPH}, {_PAIRS}\nSELECT s1, s2, CASE WHEN a.path IS NULL OR b.path IS NULL THEN NULL WHEN s1 = s2 THEN 1.0 ELSE 2.0 * (len(list_filter(range(1, least(len(a.path), len(b.path)) + 1), lambda i: a.path[i] = b.path[i])) - 1) / nullif(a.depth + b.depth, 0) END::DOUBLE AS wu_palmer FROM pairs LEFT JOIN walk a ON a.sense = s1 LEFT JOIN walk b ON b.sense = s2", "wu_palmer", "s1 s2"),
-    "graph_path": f"WITH RECURSIVE {_GRAPH}, {_PAIRS}, {_BFS.format(h=4)} SELECT s1, s2, path_length FROM len",
-    "graph_relations": f"WITH RECURSIVE {_GRAPH}, {_PAIRS}, {_BFS.format(h=3)} SELECT CASE WHEN path_length = 1 THEN 'mother(t→r)' WHEN path_length = 2 THEN 'm-sibling' WHEN path_length <= 3 THEN 'near' ELSE 'far' END AS relation, count(*) AS n FROM len GROUP BY 1",
+    "graph_path": f"WITH RECURSIVE {_GRAPH}, {_PAIRS}, {_BFS} SELECT s1, s2, path_length FROM len",
+    "graph_relations": f"WITH RECURSIVE {_GRAPH}, {_PAIRS}, {_BFS} SELECT CASE WHEN path_length = 1 THEN 'mother(t→r)' WHEN path_length = 2 THEN 'm-sibling' WHEN path_length <= 3 THEN 'near' ELSE 'far' END AS relation, count(*) AS n FROM len GROUP BY 1",
     "graph_stats": f"WITH RECURSIVE {_GRAPH} SELECT (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) AS n_senses, (SELECT count(*) FROM edges WHERE label = 'primary') AS n_primary, (SELECT count(*) FROM edges WHERE label = 'secondary') AS n_secondary, count(*) AS n_connected, max(depth) AS max_depth FROM walk",
-    "graph_agreement": rounded_sql(f"""WITH RECURSIVE {_GRAPH}, {base.RATED}, {base.POOL}, w AS (SELECT DISTINCT form, 's' || (('0x' || substr(md5(form), 1, 4))::BIGINT % 200) AS sense FROM (SELECT target AS form FROM pool UNION ALL SELECT response FROM pool) WHERE length(form) <= 12),
-tr AS (SELECT DISTINCT target, response, a.sense AS s1, b.sense AS s2 FROM pool LEFT JOIN w a ON a.form = target LEFT JOIN w b ON b.form = response), pairs AS (SELECT DISTINCT s1, s2 FROM tr WHERE s1 IS NOT NULL AND s2 IS NOT NULL), {_BFS.format(h=4)},
+    "graph_agreement": rounded_sql(f"""WITH RECURSIVE {_GRAPH}, {base.RATED}, {base.POOL}, w AS (SELECT DISTINCT form, 's' || (('0x' || substr(md5(form), 1, 8))::BIGINT % (SELECT count(*) FROM part)) AS sense FROM (SELECT target AS form FROM pool UNION ALL SELECT response FROM pool) WHERE form IS NOT NULL),
+tr AS (SELECT DISTINCT target, response, a.sense AS s1, b.sense AS s2 FROM pool LEFT JOIN w a ON a.form = target LEFT JOIN w b ON b.form = response), pairs AS (SELECT DISTINCT s1, s2 FROM tr WHERE s1 IS NOT NULL AND s2 IS NOT NULL), {_BFS},
 sim AS (SELECT target, response, 1.0 / (1 + path_length) AS path_similarity, CASE WHEN a.path IS NULL OR b.path IS NULL THEN NULL WHEN s1 = s2 THEN 1.0 ELSE 2.0 * (len(list_filter(range(1, least(len(a.path), len(b.path)) + 1), lambda i: a.path[i] = b.path[i])) - 1) / nullif(a.depth + b.depth, 0) END::DOUBLE AS wu_palmer
   FROM tr LEFT JOIN len USING (s1, s2) LEFT JOIN walk a ON a.sense = s1 LEFT JOIN walk b ON b.sense = s2),
 long AS (SELECT 'path_similarity' AS measure, rating, path_similarity::DOUBLE AS value FROM rated JOIN pool USING (pair_id) LEFT JOIN sim USING (target, response) UNION ALL SELECT 'wu_palmer', rating, wu_palmer FROM rated JOIN pool USING (pair_id) LEFT JOIN sim USING (target, response)),
