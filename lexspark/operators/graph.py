@@ -7,11 +7,12 @@ all pairs at once and from both ends, solved pairs leaving the frontier. Every l
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.session import cut
+from lexspark.session import cut, release
 
 #: Fixed value: the sense every other one descends from.
 ROOT = "PRIM..1"
@@ -48,21 +49,17 @@ class SenseGraph:
         return forms.join(self.form_sense.select(F.col("form").alias("_f"), "sense", "ord"), F.col(form) == F.col("_f")).drop("_f")
 
 
-def depths(graph: SenseGraph, root: str = ROOT, max_levels: int = 1000) -> DataFrame:
+def depths(graph: SenseGraph, root: str = ROOT) -> DataFrame:
     """(sense, depth, path): path from the root to the sense along first primary edges. Senses that do not lead to the
-    root, cycles among them, have no row."""
+    root, cycles among them, have no row. Levels are walked until one is empty; a sense has one parent, so none comes
+    twice and the walk ends."""
     parents = cut(graph.descriptor().filter(F.col("sense") != root), "parents")
-    level = cut(graph.senses().filter(F.col("sense") == root).select("sense", F.lit(0).alias("depth"), F.array("sense").alias("path")), "level")
-    levels = [level]
-    for d in range(1, max_levels):
+    out = level = cut(graph.senses().filter(F.col("sense") == root).select("sense", F.lit(0).alias("depth"), F.array("sense").alias("path")), "level")
+    for d in count(1):
         level = cut(parents.join(level.select(F.col("sense").alias("parent"), "path"), "parent").select("sense", F.lit(d).alias("depth"), F.concat("path", F.array("sense")).alias("path")), "level")
         if level.isEmpty():
-            break
-        levels.append(level)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out
+            return out
+        out = out.unionByName(level)
 
 
 def ancestors(paths: DataFrame) -> DataFrame:
@@ -97,20 +94,26 @@ def path_lengths(pairs: DataFrame, graph: SenseGraph, s1: str = "s1", s2: str =
     last, size, found, open_, hops = [[start[0]], [start[1]]], [f.count() for f in start], [], want, 0
     while True:
         near, far = last[0][-1].withColumnRenamed("source", "s1"), last[1][-1].withColumnRenamed("source", "s2")
-        hit = cut(open_.join(near, "s1").join(far, ["s2", "node"]).select("s1", "s2").distinct().withColumn("path_length", F.lit(hops)), "hit")
-        found.append(hit)
-        open_ = open_.join(hit, ["s1", "s2"], "left_anti")
-        open_ = cut(open_.join(near.select("s1").distinct(), "s1", "left_semi").join(far.select("s2").distinct(), "s2", "left_semi").select("s1", "s2"), "open")
+        met = open_.join(near, "s1").join(far, ["s2", "node"]).groupBy("s1", "s2").agg(F.lit(True).alias("met"))
+        going = near.select("s1").distinct().withColumn("_n", F.lit(True)), far.select("s2").distinct().withColumn("_f", F.lit(True))
+        state = open_.join(met, ["s1", "s2"], "left").join(going[0], "s1", "left").join(going[1], "s2", "left")
+        state = cut(state.filter(F.col("met") | (F.col("_n") & F.col("_f"))).select("s1", "s2", F.coalesce("met", F.lit(False)).alias("met")), "state")
+        found.append(state.filter("met").select("s1", "s2", F.lit(hops).alias("path_length")))
+        open_ = state.filter("NOT met").select("s1", "s2")
         if (max_hops is not None and hops >= max_hops) or open_.isEmpty():
             break
         i = 0 if size[0] <= size[1] else 1
         live = last[i][-1].join(open_.select(F.col(("s1", "s2")[i]).alias("source")).distinct(), "source", "left_semi")
-        step = live.join(both, F.col("node") == F.col("a")).select("source", F.col("b").alias("node")).distinct()
+        step = live.join(both, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), F.lit(False).alias("old"))
         for f in last[i][-2:]:
-            step = step.join(f, ["source", "node"], "left_anti")
-        last[i] = [last[i][-1], cut(step, "frontier")]
-        size[i] = last[i][-1].count()
+            step = step.unionByName(f.withColumn("old", F.lit(True)))
+        step = cut(step.groupBy("source", "node").agg(F.max("old").alias("old")).filter("NOT old").select("source", "node"), "frontier")
+        if len(last[i]) > 1:
+            release(last[i][0])
+        last[i] = [last[i][-1], step]
+        size[i] = step.count()
         hops += 1
+    release(*last[0], *last[1], both)
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -166,6 +169,11 @@ def graph_stats(graph: SenseGraph, paths: DataFrame) -> DataFrame:
     return one(s).join(one(e), "_k").join(one(p), "_k").drop("_k")
 
 
+def depth_histogram(paths: DataFrame) -> DataFrame:
+    """depth, n: how many senses lie how far below the root."""
+    return paths.groupBy("depth").agg(F.count("*").alias("n"))
+
+
 def best_sense(pairs: DataFrame, graph: SenseGraph, paths: DataFrame | None = None) -> DataFrame:
     """(target, response, s1, s2, wu_palmer): the pair of senses of each word pair with the greatest similarity, the
     least ids if equal; word pairs without a similarity are left out."""
