@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions.values import PLACEHOLDERS, is_blank, label_key, stated_gender, stated_number, strip, code_key
-from lexspark.operators.ranking import previous_values, spread_key
+from lexspark.operators.ranking import previous_values, running_offset, spread_key
 from lexspark.session import cut
 
 
@@ -74,66 +74,129 @@ def _field_of(label: Column, fields: Sequence[Field]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*known), label), label) if known else label
 
 
+_FILE = ("series_id", "file_seq", "file_id")
+
+
+def _once(records: DataFrame, payload: str) -> DataFrame:
+    """The records (_FILE, record_no, _p) without rows delivered twice. Which rows may be repeats is found from hashes of
+    the payloads; the payloads themselves move only for those."""
+    rows = records.select(*_FILE, "record_no", F.col(payload).alias("_p"))
+    hashed = rows.withColumn("_h", F.xxhash64("file_seq", "record_no", "_p"))
+    repeats = hashed.select("file_id", "_h").groupBy("file_id", "_h").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("file_id").alias("_f"), F.col("_h").alias("_r"))
+    same = F.col("file_id").eqNullSafe(F.col("_f")) & (F.col("_h") == F.col("_r"))
+    single, twice = hashed.join(repeats, same, "left_anti").drop("_h"), hashed.join(repeats, same, "left_semi").drop("_h")
+    return single.unionByName(twice.distinct())
+
+
+def _cells(records: DataFrame, payload: str) -> DataFrame:
+    """(_FILE, label, v): a row per label of a record, with its value as a variant."""
+    cells = records.sparkSession.sql("SELECT r.series_id, r.file_seq, r.file_id, x.key AS raw, x.value AS v FROM {r} r, LATERAL variant_explode(try_parse_json(r._p)) AS x WHERE x.key IS NOT NULL", r=_once(records, payload))
+    return cells.select(*_FILE, label_key(F.col("raw")).alias("label"), "v")
+
+
 def headers(records: DataFrame, fields: Sequence[Field] = SHEET_FIELDS, payload: str = "payload") -> DataFrame:
-    """Header schemas: a row per (series_id, file_seq, file_id, field, label, kind) with the number `n` of its values
+    """Header schemas: a row per (series_id, file_seq, file_id, field, label, kind) with the number `n` of its values,
     how many of them are placeholders (`n_blank`) and how many others state a number (`n_numeric`).
 
     Rows delivered twice count once. Payloads that are null or no JSON object bring no labels; files without any label
     have no row here (see `file_order`). A label given twice in one object makes that object unreadable.
     """
-    once = records.select("series_id", "file_seq", "file_id", "record_no", F.col(payload).alias("_p")).distinct()
-    spark = records.sparkSession
-    cells = spark.sql("SELECT r.series_id, r.file_seq, r.file_id, x.key AS raw, x.value AS v FROM {r} r, LATERAL variant_explode(try_parse_json(r._p)) AS x WHERE x.key IS NOT NULL", r=once)
-    label = label_key(F.col("raw"))
-    text = F.lower(F.col("v").try_cast("string"))
+    text = strip(F.lower(F.col("v").try_cast("string")))
     return (
-        cells.select("series_id", "file_seq", "file_id", label.alias("label"), json_kind(F.col("v")).alias("kind"), F.coalesce(strip(text).isin(*PLACEHOLDERS), F.lit(False)).alias("blank"), F.coalesce(strip(text).rlike(_NUMERIC), F.lit(False)).alias("numeric"))
-        .groupBy("series_id", "file_seq", "file_id", "label", "kind")
+        _cells(records, payload).select(*_FILE, "label", json_kind(F.col("v")).alias("kind"), F.coalesce(text.isin(*PLACEHOLDERS), F.lit(False)).alias("blank"), F.coalesce(text.rlike(_NUMERIC), F.lit(False)).alias("numeric"))
+        .groupBy(*_FILE, "label", "kind")
         .agg(F.count("*").alias("n"), F.count_if("blank").alias("n_blank"), F.count_if(~F.col("blank") & F.col("numeric")).alias("n_numeric"))
         .withColumn("field", _field_of(F.col("label"), fields))
     )
 
 
 def file_order(records: DataFrame) -> DataFrame:
-    """Every file with the one before it in its series: prev_id, has_prev (false for the first)."""
-    files = cut(records.groupBy("series_id", "file_seq", "file_id").agg(F.count("*").alias("_n")).drop("_n"), "files")
-    return previous_values(files.withColumn("id", F.col("file_id")), ["series_id"], spread_key(files, "file_seq"), ["id"], ["file_seq", "file_id"]).drop("id")
-
-
-def schema_changes(records: DataFrame, fields: Sequence[Field] = SHEET_FIELDS) -> DataFrame:
+    """Every file (series_id, file_seq, file_id) with its place `pos` in its series, from 0. Null file_seq sorts first."""
+    files = cut(records.groupBy(*_FILE).agg(F.count("*").alias("_n")).drop("_n"), "files")
+    key = F.coalesce(spread_key(files, "file_seq"), F.lit(-(2**63)))
+    return cut(running_offset(files, ["series_id"], key, ties=["file_seq", "file_id"], name="pos"), "order")
+
+
+def _present(h: DataFrame, order: DataFrame) -> DataFrame:
+    """(_FILE, pos, field, label, kind): the fields of every file under their most frequent label (the least by name if
+    equal) and with the type of most of their non-null values (string before the others if equal), null without one. The
+    labels and types of one field in one file are few and gathered."""
+    per = h.groupBy(*_FILE, "field").agg(F.collect_list(F.struct("label", "kind", "n")).alias("c"))
+    total = lambda by, best: best(F.transform(F.array_distinct(F.transform("c", lambda x: x[by])), lambda v: F.struct(F.aggregate("c", F.lit(0).cast("bigint"), lambda s, x: s + F.when(x[by] == v, x["n"]).otherwise(0)).alias("n"), v.alias("v"))))
+    kinds = F.array_max(F.filter(total("kind", lambda a: a), lambda x: x["v"] != "void"))["v"]
+    label = total("label", lambda a: F.array_min(F.transform(a, lambda x: F.struct((-x["n"]).alias("n"), x["v"].alias("v")))))["v"]
+    p = per.select(*[F.col(c).alias(f"_{c}") for c in _FILE], "field", label.alias("label"), kinds.alias("kind"))
+    on = F.lit(True)
+    for c in _FILE:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return p.join(order, on).select(*_FILE, "pos", "field", "label", "kind")
+
+
+def schema_changes(records: DataFrame, fields: Sequence[Field] = SHEET_FIELDS, evidence: float | None = 0.5) -> DataFrame:
     """The ordered differences between each file and the one before it in its series: series_id, file_seq, file_id,
     field, field_label, change_kind (added, removed, renamed, retyped), before, after.
 
-    A field with several labels in one file goes under the most frequent (the least by name if equal). A field's type
-    in a file is that of most of its non-null values (string before the others if equal). Null file_seq sorts first.
-    Records with a null file_id form one file of their series.
+    A field goes under the labels `fields` lists for it. Labels that are not listed are fields of their own, unless what
+    stands under them gives them away: where one of them goes and another comes with the same type, and they share at
+    least `evidence` of their values (see `proposed_renames`), it is a renamed field; None looks at no evidence. Records
+    with a null file_id form one file of their series.
     """
     h = cut(headers(records, fields), "headers")
     order = file_order(records)
-    per_label = h.groupBy("series_id", "file_id", "field", "label").agg(F.sum("n").alias("n"))
-    present = per_label.groupBy("series_id", "file_id", "field").agg(F.min(F.struct((-F.col("n")).alias("m"), F.col("label").alias("label"))).alias("s")).select("series_id", "file_id", "field", F.col("s.label").alias("label"))
-
-    def keyed(on: str, label: str) -> DataFrame:
-        o = order.select(F.col("series_id").alias("s"), "file_id", "file_seq", "prev_id", "has_prev").alias("o")
-        p = present.select(F.col("series_id").alias("ps"), F.col("file_id").alias("pf"), "field", F.col("label").alias(label)).alias("p")
-        return o.join(p, F.col("s").eqNullSafe(F.col("ps")) & F.col(f"o.{on}").eqNullSafe(F.col("pf"))).filter("has_prev").select(F.col("s").alias("series_id"), "file_seq", "file_id", "field", label)
-
-    both = keyed("file_id", "after").unionByName(keyed("prev_id", "before"), allowMissingColumns=True).groupBy("series_id", "file_seq", "file_id", "field").agg(F.max("before").alias("before"), F.max("after").alias("after"))
-    layout = both.select(
-        "series_id", "file_seq", "file_id", "field", F.coalesce("after", "before").alias("field_label"),
-        F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("before") != F.col("after"), "renamed").alias("change_kind"), "before", "after",
-    ).filter("change_kind IS NOT NULL")
-
-    kinds = h.filter("kind <> 'void'").groupBy("series_id", "file_id", "field", "kind").agg(F.sum("n").alias("n"))
-    kinds = kinds.groupBy("series_id", "file_id", "field").agg(F.max(F.struct("n", "kind")).alias("k")).select("series_id", "file_id", "field", F.col("k.kind").alias("kind"))
-    o = order.select(F.col("series_id").alias("s"), F.col("file_id").alias("f"), "file_seq")
-    placed = kinds.join(o, F.col("series_id").eqNullSafe(F.col("s")) & F.col("file_id").eqNullSafe(F.col("f"))).drop("s", "f")
-    typed = previous_values(placed, ["series_id", "field"], spread_key(order, "file_seq"), ["kind"], ["file_seq", "file_id"]).withColumnRenamed("prev_kind", "before").filter(F.col("before") != F.col("kind"))
-    p = present.select(F.col("series_id").alias("ps"), F.col("file_id").alias("pf"), F.col("field").alias("pl"), F.col("label").alias("field_label"))
-    retyped = typed.join(p, F.col("series_id").eqNullSafe(F.col("ps")) & F.col("file_id").eqNullSafe(F.col("pf")) & (F.col("field") == F.col("pl"))).select(
-        "series_id", "file_seq", "file_id", "field", "field_label", F.lit("retyped").alias("change_kind"), "before", F.col("kind").alias("after")
-    )
-    return layout.unionByName(retyped)
+    present = cut(_present(h, order), "present")
+    a = present.select(F.col("series_id").alias("s"), F.col("pos").alias("p"), F.col("field").alias("f"), F.col("label").alias("after"))
+    b = present.select(F.col("series_id").alias("bs"), (F.col("pos") + 1).alias("bp"), F.col("field").alias("bf"), F.col("label").alias("before"))
+    both = a.join(b, F.col("s").eqNullSafe(F.col("bs")) & (F.col("p") == F.col("bp")) & (F.col("f") == F.col("bf")), "full")
+    new, old = F.col("f").isNotNull(), F.col("bf").isNotNull()
+    both = both.select(F.when(new, F.col("s")).otherwise(F.col("bs")).alias("s"), F.coalesce("p", "bp").alias("p"), F.coalesce("f", "bf").alias("field"), "before", "after", F.when(~old, "added").when(~new, "removed").when(F.col("before") != F.col("after"), "renamed").alias("change_kind"))
+    both = both.filter("change_kind IS NOT NULL AND p > 0")
+    listed = [x for f in fields for x in f.labels]
+    if evidence is not None and not h.filter(~F.col("label").isin(*listed) if listed else F.lit(True)).isEmpty():
+        both = _with_evidence(both, proposed_renames(records, fields, evidence, present))
+    layout = both.join(order, F.col("s").eqNullSafe(F.col("series_id")) & (F.col("p") == F.col("pos"))).select(*_FILE, "pos", "field", F.coalesce("after", "before").alias("field_label"), "change_kind", "before", "after")
+    top = order.agg(F.max("pos")).first()[0] or 1
+    typed = previous_values(present.filter("kind IS NOT NULL"), ["series_id", "field"], (F.col("pos") / top * 2.0**62 - 2.0**61).cast("bigint"), ["kind"], ["pos"])
+    retyped = typed.filter(F.col("prev_kind") != F.col("kind")).select(*_FILE, "pos", "field", F.col("label").alias("field_label"), F.lit("retyped").alias("change_kind"), F.col("prev_kind").alias("before"), F.col("kind").alias("after"))
+    return layout.unionByName(retyped).drop("pos")
+
+
+def proposed_renames(records: DataFrame, fields: Sequence[Field] = SHEET_FIELDS, least: float = 0.5, present: DataFrame | None = None, sketch: int = 64) -> DataFrame:
+    """(series_id, pos, before, after, score): labels that `fields` does not list, of which one is in a file and not in
+    the next and the other in the next and not in that one, that carry values of the same type and share at least
+    `least` of them. Each label is in one pair only, the best of both (the least by name if equal).
+
+    The values of a label in a file are known by the least hash in each of `sketch` classes of hashes; labels meet in a
+    join on type and hash, so only labels that share one ever meet."""
+    present = present if present is not None else cut(_present(headers(records, fields), file_order(records)), "present")
+    listed = [x for f in fields for x in f.labels]
+    unknown = present.filter(~F.col("label").isin(*listed)) if listed else present
+    value = F.lower(F.trim(F.col("v").try_cast("string")))
+    seen = _cells(records, "payload").filter(~F.col("label").isin(*listed) if listed else F.lit(True)).select(*_FILE, "label", F.xxhash64(value).alias("h"), value.isNotNull().alias("_v")).filter("_v").drop("_v")
+    seen = seen.groupBy(*_FILE, "label", F.pmod("h", F.lit(sketch)).alias("_c")).agg(F.min("h").alias("h"))
+    marks = seen.groupBy(*[F.col(c).alias(f"_{c}") for c in _FILE], F.col("label").alias("_l")).agg(F.collect_list("h").alias("marks"))
+    on = F.col("label") == F.col("_l")
+    for c in _FILE:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    known = cut(unknown.join(marks, on).select("series_id", "pos", "label", "kind", "marks"), "marks")
+    there = lambda step: known.select(F.col("series_id").alias("_s"), (F.col("pos") + step).alias("_p"), F.col("label").alias("_l"))
+    same = F.col("series_id").eqNullSafe(F.col("_s")) & (F.col("pos") == F.col("_p")) & (F.col("label") == F.col("_l"))
+    gone, come = known.join(there(-1), same, "left_anti"), known.join(there(1), same, "left_anti")
+    g = gone.select(F.col("series_id").alias("s"), (F.col("pos") + 1).alias("pos"), F.col("kind").alias("k"), F.col("label").alias("before"), F.size("marks").alias("nb"), F.explode("marks").alias("m"))
+    c = come.select("series_id", F.col("pos").alias("p"), F.col("kind").alias("kc"), F.col("label").alias("after"), F.size("marks").alias("na"), F.explode("marks").alias("mc"))
+    met = g.join(c, F.col("s").eqNullSafe(F.col("series_id")) & (F.col("pos") == F.col("p")) & (F.col("k") == F.col("kc")) & (F.col("m") == F.col("mc"))).groupBy("series_id", "pos", "before", "after").agg((F.count("*") / F.least(F.first("na"), F.first("nb"))).alias("score")).filter(F.col("score") >= least)
+    met = cut(met, "met")
+    best = lambda k, other: met.groupBy("series_id", "pos", k).agg(F.min(F.struct((-F.col("score")).alias("x"), F.col(other).alias(other))).alias("b")).select(F.col("series_id").alias("_s"), F.col("pos").alias("_p"), F.col(k).alias("_k"), F.col(f"b.{other}").alias("_o"))
+    for k, other in (("before", "after"), ("after", "before")):
+        met = met.join(best(k, other), F.col("series_id").eqNullSafe(F.col("_s")) & (F.col("pos") == F.col("_p")) & (F.col(k) == F.col("_k")) & (F.col(other) == F.col("_o")), "left_semi")
+    return met
+
+
+def _with_evidence(changes: DataFrame, proposed: DataFrame) -> DataFrame:
+    """changes with the removed and the added label of a proposal as one renamed field."""
+    r = cut(proposed.select(F.col("series_id").alias("rs"), F.col("pos").alias("rp"), F.col("before").alias("rb"), F.col("after").alias("ra")), "renames")
+    here = F.col("s").eqNullSafe(F.col("rs")) & (F.col("p") == F.col("rp"))
+    rest = changes.join(r, here & (((F.col("change_kind") == "removed") & (F.col("before") == F.col("rb"))) | ((F.col("change_kind") == "added") & (F.col("after") == F.col("ra")))), "left_anti")
+    return rest.unionByName(r.select(F.col("rs").alias("s"), F.col("rp").alias("p"), F.col("ra").alias("field"), F.col("rb").alias("before"), F.col("ra").alias("after"), F.lit("renamed").alias("change_kind")))
 
 
 def union_schema(records: DataFrame, fields: Sequence[Field] = SHEET_FIELDS, max_fields: int = 5000) -> dict[str, str]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions.values import code_key, compose
-from lexspark.operators.agreement import CATEGORIES, current_judgements
+from lexspark.operators.agreement import current_judgements
 from lexspark.session import table
 
 DIAGNOSIS = {"hc": "HC", "mci": "MCI", "ad": "AD", "nonad": "non-AD"}
@@ -69,8 +69,8 @@ def document_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CODE = r"nullif(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]', '', 'g'), '')"
-_DX = "CASE " + _CODE + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DIAGNOSIS.items()) + " END"
-_CATS = ", ".join(f"'{c}'" for c in CATEGORIES)
+_DX = "CASE " + _CODE + " WHEN 'hc' THEN 'HC' WHEN 'mci' THEN 'MCI' WHEN 'ad' THEN 'AD' WHEN 'nonad' THEN 'non-AD' END"
+_CATS = "'coordinate', 'hypernym', 'hyponym', 'circumlocution', 'phonological', 'unrelated', 'other'"
 POOL = f"pool AS (SELECT pair_id, min(draw_id) AS draw_id, min(target) AS target, min(response) AS response, min(cosine_sim) AS cosine_sim, max(cosine_quartile) AS cosine_quartile, min(participant_id) AS participant_id, min({_DX.format('diagnosis')}) AS diagnosis, min({_CODE.format('model')}) AS model_name FROM sq3_pairs GROUP BY pair_id)"
 CURRENT = f"""judged AS (SELECT rater_id, pair_id, rating_round, rated_at, rating_id, rating, CASE WHEN lower(trim(category)) IN ({_CATS}) THEN lower(trim(category)) END AS category,
   CASE WHEN is_compound IS NOT NULL THEN lower(trim(is_compound)) IN ('true', '1', 'yes', 'y', 't') END AS is_compound FROM sq3_ratings WHERE rating BETWEEN 0 AND 3),

@@ -531,7 +531,7 @@ _NORMALIZED = r"""low AS (SELECT *, regexp_replace(lower(response), '^[\pZ\s]+|[
 s1 AS (SELECT *, regexp_replace(regexp_replace(t, '[\pZ\s]*(kanske|tror jag|eller nåt|är det|va)$', ''), '^[\pZ\s]+|[\pZ\s]+$', '', 'g') AS u FROM low),
 s2 AS (SELECT *, trim(regexp_replace(u, '^(det är |det ser ut som |jag tror det är |jag tror |en slags |nån slags |typ |liksom |bild på |säkert )', '')) AS v FROM s1),
 s3 AS (SELECT *, trim(regexp_replace(v, '^(en|ett|den|det|de)\s+', '')) AS w FROM s2),
-norm AS (SELECT * EXCLUDE (t, u, v, w), CASE WHEN t IS NULL OR t = '' OR t IN {none} OR w IN {none} OR length(w) < 2 THEN NULL ELSE w END AS normalized FROM s3)""".replace("{none}", str(text.NON_RESPONSES))
+norm AS (SELECT * EXCLUDE (t, u, v, w), CASE WHEN t IS NULL OR t = '' OR t IN {none} OR w IN {none} OR length(w) < 2 THEN NULL ELSE w END AS normalized FROM s3)""".replace("{none}", "('hhhm jag vet inte', 'jag vet inte', 'vet inte', 'pass', 'ingen aning', 'vet ej', 'hmm', 'hm', 'jag kan inte', 'något sånt', 'nåt sånt')")
 _ANSWERS = f"""{base.POOL}, src AS (SELECT * FROM pool), {_NORMALIZED},
 answers AS (SELECT pair_id, target AS gold, response, participant_id, diagnosis, model_name, cosine_quartile, normalized, e AS is_exact_match, normalized IS NULL AS is_non_response,
   CASE WHEN e THEN 1.0 WHEN normalized IS NULL THEN 0.0 ELSE greatest(coalesce(cosine_sim, 0.0), 0.0) END::DOUBLE AS cosine_sim, e::INT AS binary_score

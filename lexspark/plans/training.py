@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.functions.values import PLACEHOLDERS
 from lexspark.operators import drift, eav
 from lexspark.session import table
 
@@ -30,9 +29,23 @@ def p6_wide(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p6_found": p6_found, "p6_wide": p6_wide}
 
-_P2_FIELDS = "CASE" + "".join(f" WHEN lab IN ({', '.join(repr(x) for x in f.labels)}) THEN '{f.name}'" for f in drift.SHEET_FIELDS) + " ELSE lab END"
-
-_BLANK = ", ".join(f"'{x}'" for x in PLACEHOLDERS)
+# written out, so that the SQL does not depend on the lists of the code it checks
+_P2_FIELDS = (
+    "CASE"
+    " WHEN lab IN ('gender', 'kön', 'sex') THEN 'Gender'"
+    " WHEN lab IN ('age', 'ålder', 'age_years', 'age (years)', 'ålder (år)') THEN 'Age'"
+    " WHEN lab IN ('category', 'categories', 'kategori', 'diagnos', 'diagnosis', 'diagnosgrupp', 'dx_group') THEN 'Category'"
+    " WHEN lab IN ('mmse', 'mmse_score', 'mmse score', 'mmse_total', 'mmse total', 'mmse poäng', 'mmse-poäng', 'mmt', 'mmse (0-30)') THEN 'MMSE'"
+    " WHEN lab IN ('education_years', 'utbildningsår', 'education') THEN 'EducationYears'"
+    " WHEN lab IN ('firstlanguage', 'first_language', 'modersmål') THEN 'FirstLanguage'"
+    " WHEN lab IN ('hearingaid', 'hearing_aid', 'hörapparat') THEN 'HearingAid'"
+    " WHEN lab IN ('ageatonset') THEN 'AgeAtOnset'"
+    " WHEN lab IN ('moca') THEN 'MoCA'"
+    " WHEN lab IN ('sessionminutes') THEN 'SessionMinutes'"
+    " WHEN lab IN ('site') THEN 'Site'"
+    " ELSE lab END"
+)
+_BLANK = "'', 'nan', 'none', 'null', '?', '-', 'n/a', 'na', '#ref!', 'okänd', 'okänt', 'saknas', 'ej angivet', 'ej angiven'"
 SQL = {
     "p2_found": rf"""
 WITH recs AS (SELECT DISTINCT series_id, file_seq, file_id, record_no, payload::JSON AS p FROM sheet_records),
@@ -54,7 +67,7 @@ SELECT t.file_id, p.lab, 'retyped' FROM typed t JOIN present p ON p.file_id = t.
 """,
     "p6_found": r"""
 WITH named AS (SELECT test_code, participant_id, row_id, entered_at, attr_value,
-  CASE WHEN k IN ('gender', 'kön', 'sex') THEN 'Gender' WHEN k IN ('age', 'ålder') THEN 'Age' WHEN k IN ('mmse', 'mmse-poäng', 'mmse (0-30)') THEN 'MMSE' END AS attr_name
+  CASE WHEN k IN ('gender', 'kön', 'sex') THEN 'Gender' WHEN k IN ('age', 'ålder', 'age_years', 'age (years)', 'ålder (år)') THEN 'Age' WHEN k IN ('mmse', 'mmse-poäng', 'mmse poäng', 'mmse_score', 'mmse score', 'mmse_total', 'mmse total', 'mmt', 'mmse (0-30)') THEN 'MMSE' END AS attr_name
   FROM (SELECT *, trim(regexp_replace(lower(trim(attr_name)), ':$', '')) AS k FROM meta_entries)),
 last AS (SELECT test_code, participant_id, attr_name, arg_max(coalesce(attr_value, ''), (entered_at, row_id)) AS v FROM named WHERE attr_name IS NOT NULL GROUP BY ALL),
 wanted AS (SELECT DISTINCT test_code, participant_id, a.attr_name FROM meta_entries, (VALUES ('Gender'), ('Age'), ('MMSE')) a(attr_name)),
@@ -79,7 +92,7 @@ wide AS (SELECT file_id, record_no, max(sex) FILTER (field = 'Gender') AS "Gende
 SELECT r.s AS series_id, r.q AS file_seq, file_id, record_no, r.t AS test_code, r.u AS participant_id, "Gender", "Age", "Category", "MMSE", "EducationYears", "FirstLanguage", "HearingAid", "AgeAtOnset", "MoCA", "SessionMinutes", "Site" FROM last LEFT JOIN wide USING (file_id, record_no)
 """,
     "p6_wide": rf"""
-WITH named AS (SELECT *, CASE WHEN k IN ('gender', 'kön', 'sex') THEN 'Gender' WHEN k IN ('age', 'ålder') THEN 'Age' WHEN k IN ('mmse', 'mmse-poäng', 'mmse (0-30)') THEN 'MMSE' WHEN k IN ('category', 'kategori', 'diagnos', 'diagnosis') THEN 'Category' ELSE k END AS attr
+WITH named AS (SELECT *, CASE WHEN k IN ('gender', 'kön', 'sex') THEN 'Gender' WHEN k IN ('age', 'ålder', 'age_years', 'age (years)', 'ålder (år)') THEN 'Age' WHEN k IN ('mmse', 'mmse-poäng', 'mmse poäng', 'mmse_score', 'mmse score', 'mmse_total', 'mmse total', 'mmt', 'mmse (0-30)') THEN 'MMSE' WHEN k IN ('category', 'kategori', 'diagnos', 'diagnosis') THEN 'Category' ELSE k END AS attr
   FROM (SELECT *, trim(regexp_replace(lower(trim(attr_name)), ':$', '')) AS k FROM meta_entries)),
 last AS (SELECT test_code, participant_id, attr, arg_max(coalesce(attr_value, ''), (entered_at, row_id)) AS v FROM named GROUP BY ALL),
 typed AS (SELECT *, CASE WHEN lower(trim(v)) NOT IN ({_BLANK}) THEN v END AS txt, CASE WHEN lower(trim(v)) IN ('m', 'man', 'male', '1') THEN 'M' WHEN lower(trim(v)) IN ('f', 'k', 'kvinna', 'female', 'woman', '2') THEN 'F' END AS sex,

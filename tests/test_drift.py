@@ -71,3 +71,20 @@ def test_numeric_texts_are_numbers_in_the_union(spark):
     df = records(spark, [[{"Speed": 20, "Odd": 1}], [{"Speed": "21 p", "Odd": "x"}, {"Speed": "nan", "Odd": "2"}]])
     assert drift.union_schema(df)["speed"] == "number" and drift.union_schema(df)["odd"] == "string"
     assert sorted((r.speed or 0) for r in drift.consistent_table(df).collect()) == [0, 20.0, 21.0]
+
+
+def test_unlisted_labels_are_renamed_by_what_stands_under_them(spark):
+    ages = [61 + i for i in range(12)]
+    df = records(spark, [[{"Age": a, "note": f"n{a}", "extra": a * 7} for a in ages], [{"Alder": a, "note": f"n{a}", "other": f"x{a}"} for a in ages], [{"Alder": a, "remark": f"n{a}", "other": f"x{a}"} for a in ages]])
+    none = ()
+    got = {(r.file_id, r.before, r.after, r.change_kind) for r in drift.schema_changes(df, none).collect()}
+    assert got == {(20, "age", "alder", "renamed"), (20, "extra", None, "removed"), (20, None, "other", "added"), (30, "note", "remark", "renamed")}
+    assert {(r.file_id, r.change_kind) for r in drift.schema_changes(df, none, evidence=None).collect()} == {(20, "added"), (20, "removed"), (30, "added"), (30, "removed")}
+    assert {(r.before, r.after, r.score) for r in drift.proposed_renames(df, none).collect()} == {("age", "alder", 1.0), ("note", "remark", 1.0)}
+    known = {(r.file_id, r.field_label, r.change_kind) for r in drift.schema_changes(df).collect()}
+    assert (20, "age", "removed") in known and (20, "alder", "added") in known  # a listed label keeps to its list
+
+
+def test_order_of_files_without_a_number(spark):
+    df = spark.createDataFrame([(2, "s", "svf", 1, 1, "u", '{"Age": 1}', None), (1, "s", "svf", None, 1, "u", '{"Site": "x"}', None), (9, None, "svf", 1, 1, "u", '{"Age": 1}', None), (None, None, "svf", 2, 1, "u", '{"Age": "1"}', None)], SCHEMA)
+    assert changes(df) == {(2, "age", "added"), (2, "site", "removed"), (None, "age", "retyped")}
