@@ -8,13 +8,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def spread_key(df: DataFrame, value: str) -> Column:
+def spread_key(df: DataFrame, value: str, parts: int = 16) -> Column:
     """A bigint that rises with a numeric column and spreads over the whole key range, so that the buckets of the
-    functions here are used evenly; equal keys are told apart by their ties. Null for null."""
-    lo, hi = df.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
-    if lo is None or hi is None or hi <= lo:
-        return F.lit(0).cast("bigint")
-    return ((F.col(value).cast("double") - lo) / (hi - lo) * (2.0**63) - 2.0**62 - 2.0**61).cast("bigint")
+    functions here are used evenly: the range between two of `parts` approximate quantiles gets an equal share of the
+    keys, divided linearly, so values far off crowd no others. Equal keys are told apart by their ties. Null for null,
+    NaN above all numbers."""
+    x = F.col(value).cast("double")
+    edges = df.select(x.alias("x")).filter(~F.isnan("x")).agg(F.percentile_approx("x", [i / parts for i in range(parts + 1)], 10 * parts).alias("q"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    if edges["lo"] is None or edges["hi"] <= edges["lo"]:
+        return F.when(x.isNotNull(), F.when(F.isnan(x), F.lit(1)).otherwise(F.lit(0))).cast("bigint")
+    at = sorted({edges["lo"], *edges["q"], edges["hi"]})
+    n = len(at) - 1
+
+    def place(lo: int, hi: int) -> Column:
+        """Where x lies among the ranges lo..hi-1, as a number from 0 to n, by halving."""
+        if hi - lo == 1:
+            return F.lit(float(lo)) + F.least(F.greatest((x - F.lit(at[lo])) / F.lit(at[hi] - at[lo]), F.lit(0.0)), F.lit(1.0))
+        mid = (lo + hi) // 2
+        return F.when(x < F.lit(at[mid]), place(lo, mid)).otherwise(place(mid, hi))
+
+    return F.when(F.isnan(x), F.lit(2**63 - 1)).when(x.isNotNull(), (place(0, n) / n * (2.0**64 - 2.0**20) - 2.0**63).cast("bigint"))
+
+
+def _matched(by: Sequence[str]) -> Column:
+    cond = F.col("_slot") == F.col("_g_slot")
+    for i, c in enumerate(by):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_g_{i}"))
+    return cond
 
 
 def running_offset(df: DataFrame, by: Sequence[str], key: Column, weight: Column | None = None, ties: Sequence[str] = (), bits: int = 10, name: str = "offset") -> DataFrame:
@@ -26,17 +46,28 @@ def running_offset(df: DataFrame, by: Sequence[str], key: Column, weight: Column
     of their own, so a group holding a third of the table is spread over 2**bits tasks. Nulls in `by` form a group;
     null weights count 0; an empty table stays empty.
     """
-    w = F.coalesce(weight, F.lit(0)).cast("bigint") if weight is not None else F.lit(1).cast("bigint")
-    rows = df.withColumns({"_key": F.coalesce(key.cast("bigint"), F.lit(0)), "_w": w}).withColumn("_slot", F.shiftright("_key", 64 - bits).cast("int"))
+    return running_offsets(df, by, key, {name: weight if weight is not None else F.lit(1)}, ties, bits)
+
+
+def running_offsets(df: DataFrame, by: Sequence[str], key: Column, weights: dict[str, Column], ties: Sequence[str] = (), bits: int = 10, previous: Sequence[str] = (), prefix: str = "prev_") -> DataFrame:
+    """`running_offset` of several weights at once, each under its name, and prefix + name of each of `previous`: the
+    value in the row before (null for the first row of a group). The rows are ordered once."""
+    names = list(weights)
+    w = {f"_w{i}": F.coalesce(weights[n], F.lit(0)).cast("bigint") for i, n in enumerate(names)}
+    rows = df.withColumns({"_key": F.coalesce(key.cast("bigint"), F.lit(0)), **w}).withColumn("_slot", F.shiftright("_key", 64 - bits).cast("int"))
     g = [*(F.col(c) for c in by)]
-    sums = rows.groupBy(*g, "_slot").agg(F.sum("_w").alias("_sum"))
-    before = Window.partitionBy(*g).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(c).alias(f"_g_{i}") for i, c in enumerate(by)], F.col("_slot").alias("_g_slot"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    cond = F.col("_slot") == F.col("_g_slot")
-    for i, c in enumerate(by):
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_g_{i}"))
-    inner = Window.partitionBy(*g, "_slot").orderBy("_key", *ties).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(sums, cond).withColumn(name, F.col("_base") + F.sum("_w").over(inner) - F.col("_w")).select(*df.columns, name)
+    last = [F.max_by(F.struct(*previous), F.struct("_key", *ties)).alias("_last")] if previous else []
+    sums = rows.groupBy(*g, "_slot").agg(*[F.sum(c).alias(f"_sum{c}") for c in w], *last)
+    slots = Window.partitionBy(*g).orderBy("_slot")
+    before = slots.rowsBetween(Window.unboundedPreceding, -1)
+    ends = [F.lag("_last").over(slots).alias("_before")] if previous else []
+    sums = sums.select(*[F.col(c).alias(f"_g_{i}") for i, c in enumerate(by)], F.col("_slot").alias("_g_slot"), *[F.coalesce(F.sum(f"_sum{c}").over(before), F.lit(0)).alias(f"_base{c}") for c in w], *ends)
+    order = Window.partitionBy(*g, "_slot").orderBy("_key", *ties)
+    inner = order.rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(sums, _matched(by))
+    if previous:
+        out = out.withColumn("_p", F.coalesce(F.lag(F.struct(*previous)).over(order), F.col("_before")))
+    return out.select(*df.columns, *[(F.col(f"_base{c}") + F.sum(c).over(inner) - F.col(c)).alias(n) for c, n in zip(w, names)], *[F.col(f"_p.{v}").alias(f"{prefix}{v}") for v in previous])
 
 
 def previous_values(df: DataFrame, by: Sequence[str], key: Column, values: Sequence[str], ties: Sequence[str] = (), bits: int = 10, prefix: str = "prev_") -> DataFrame:
@@ -50,9 +81,6 @@ def previous_values(df: DataFrame, by: Sequence[str], key: Column, values: Seque
     g = [*(F.col(c) for c in by)]
     last = rows.groupBy(*g, "_slot").agg(F.max_by(F.struct(*values), F.struct("_key", *ties)).alias("_last"))
     ends = last.select(*[F.col(c).alias(f"_g_{i}") for i, c in enumerate(by)], F.col("_slot").alias("_g_slot"), F.lag("_last").over(Window.partitionBy(*g).orderBy("_slot")).alias("_before"))
-    cond = F.col("_slot") == F.col("_g_slot")
-    for i, c in enumerate(by):
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_g_{i}"))
     w = Window.partitionBy(*g, "_slot").orderBy("_key", *ties)
-    seen = rows.join(ends, cond).withColumn("_p", F.coalesce(F.lag(F.struct(*values)).over(w), F.col("_before")))
+    seen = rows.join(ends, _matched(by)).withColumn("_p", F.coalesce(F.lag(F.struct(*values)).over(w), F.col("_before")))
     return seen.select(*df.columns, *[F.col(f"_p.{v}").alias(f"{prefix}{v}") for v in values], F.col("_p").isNotNull().alias("has_prev"))

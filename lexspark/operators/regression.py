@@ -75,9 +75,9 @@ def ridge_cv(df: DataFrame, features: Sequence[str], target: str = "mmse", strat
     """df with `fold`, `alpha` (chosen for the fold by inner cross-validation on the mean absolute error, the first of
     equals) and `prediction` for the held-out rows. Rows without a feature or the target are left out, with an error
     if they are more than a tenth."""
-    rows = check_missing_share(df, [*features, target])
+    rows = check_missing_share(cut(df, "labelled"), [*features, target])
     rows = stratified_folds(rows, stratum, key, outer, seed)
-    rows = stratified_folds(rows, stratum, key, inner, seed + 1, "_inner")
+    rows = cut(stratified_folds(cut(rows, "fold"), stratum, key, inner, seed + 1, "_inner"), "folds")
     cells = _moments(rows, features, target, ["fold", "_inner"])
     total = sum(cells.values(), np.zeros((len(features) + 2,) * 2))
     folds = sorted({f for f, _ in cells})

@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.operators.ranking import running_offset, spread_key
+from lexspark.operators.ranking import running_offset, running_offsets, spread_key
 from lexspark.operators.strdist import linked, normalized_edit_distance
+from lexspark.session import cut
 
 
 def _first_half(sims: str = "m") -> Column:
@@ -37,6 +38,7 @@ def chain_clusters(rows: DataFrame, by: Sequence[str], order: str, joins: Column
     of the row before only through columns already there. `long` is for sequences of any length, numbered from 0 by
     `order`: the clusters opened so far are a bucketed running sum, no sequence is held in one task."""
     if long:
+        rows = cut(rows, "rows")
         opened = rows.withColumn("_new", F.when((F.col(order) == 0) | ~F.coalesce(joins, F.lit(False)), 1).otherwise(0))
         before = running_offset(opened, by, spread_key(rows, order), F.col("_new"), ties=[order], name="_before")
         return before.withColumn("cluster_id", F.col("_before") + F.col("_new")).drop("_new", "_before")
@@ -116,8 +118,23 @@ def first_of_each(words: DataFrame, by: Sequence[str], order: str = "pos", word:
 
 
 def threshold_sweep(sims: DataFrame, by: Sequence[str], thresholds: Sequence[float], long: bool = False) -> DataFrame:
-    """Cluster metrics at every threshold: the similarities are computed once, each row is repeated per threshold (a
-    fixed, short list), and clusters are chains within (by, threshold)."""
-    grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
-    rows = sims.select(*by, "pos", "sim", grid)
-    return cluster_metrics(chain_clusters(rows, [*by, "threshold"], "pos", F.col("sim") >= F.col("threshold"), long), [*by, "threshold"])
+    """Cluster metrics of (by, pos, sim) at every threshold, a short list: the rows are ordered once, with a running
+    count of opened clusters per threshold. A cluster is the rows with the same count, so what is repeated per threshold
+    are rows on their way into an aggregation that is combined on the map side."""
+    names = [f"_c{i}" for i in range(len(thresholds))]
+    rows = sims.select(*by, "pos", "sim")
+    if long:
+        rows = cut(rows, "rows")
+        opens = [F.when((F.col("pos") == 0) | ~F.coalesce(F.col("sim") >= t, F.lit(False)), 1).otherwise(0) for t in thresholds]
+        counted = running_offsets(rows, by, spread_key(rows, "pos"), dict(zip(names, opens)), ["pos"])
+        ids = [F.col(n) + o for n, o in zip(names, opens)]
+    else:
+        w = Window.partitionBy(*by).orderBy("pos")
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        first = rows.withColumn("_first", F.row_number().over(w) == 1)
+        opens = {f"_o{i}": F.when(F.col("_first") | ~F.coalesce(F.col("sim") >= t, F.lit(False)), 1).otherwise(0) for i, t in enumerate(thresholds)}
+        opened = first.withColumns(opens)
+        counted = opened.select(*by, *[F.sum(f"_o{i}").over(upto).alias(n) for i, n in enumerate(names)])
+        ids = [F.col(n) for n in names]
+    grid = counted.select(*by, F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), c.cast("bigint").alias("cluster_id")) for t, c in zip(thresholds, ids)])).alias("_t"))
+    return cluster_metrics(grid.select(*by, "_t.threshold", "_t.cluster_id"), [*by, "threshold"])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.operators.ranking import previous_values, running_offset, spread_key
+from lexspark.operators.ranking import running_offsets, spread_key
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -63,15 +63,60 @@ def pairwise_mean(df: DataFrame, group: str, id: str, vector: str, clamp: bool =
     return out.select(F.col("g").alias(group), "n", F.col("c").alias("n_pairs"), mean.alias("mean"), F.sqrt(F.greatest(F.col("ss") / F.when(F.col("c") > 0, F.col("c")) - mean * mean, F.lit(0.0))).alias("std"), F.col("lo").alias("min"), F.col("hi").alias("max"))
 
 
+def similarity_health(df: DataFrame, id: str, vector: str, label: str, block: int = 512) -> DataFrame:
+    """One row over all pairs of vectors: n, mean, std, min and max of their cosines, and separation, the mean within
+    labels less that between. Null vectors and vectors of length 0 are left out; null without pairs.
+
+    Without a clamp, sums over pairs follow from sums over vectors: the squared length of a sum of unit vectors holds
+    every product once per order, and the sum of squared products is the squared length of the sum of their outer
+    products. So mean, std and separation take one pass (a moment matrix per task, its size that of a vector squared);
+    only min and max look at pairs, in blocks of matrix products."""
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(id).alias("i"), F.col(label).cast("string").alias("l"), F.col(vector).alias("v"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(label, n, sum of unit vectors) and, with a null label and n = -1, the sum of outer products."""
+        outer = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat = b.column(1)
+            m = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+            length = np.sqrt((m * m).sum(axis=1))
+            keep = length > 0
+            m = m[keep] / length[keep, None]
+            outer = m.T @ m if outer is None else outer + m.T @ m
+            labels = b.column(0).filter(pa.array(keep)).dictionary_encode(null_encoding="encode")
+            codes = labels.indices.to_numpy(zero_copy_only=False)
+            total = np.zeros((len(labels.dictionary), m.shape[1]))
+            np.add.at(total, codes, m)
+            yield pa.RecordBatch.from_arrays([labels.dictionary.cast(pa.string()), pa.array(np.bincount(codes, minlength=len(total))), pa.array(list(total), pa.list_(pa.float64()))], names=["l", "n", "s"])
+        if outer is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([-1]), pa.array([outer.ravel()], pa.list_(pa.float64()))], names=["l", "n", "s"])
+
+    part = rows.select("l", "v").mapInArrow(sums, "l string, n bigint, s array<double>").select("l", "n", F.posexplode("s").alias("k", "x"))
+    per = part.groupBy("l", (F.col("n") < 0).alias("o"), "k").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    square = F.sum(F.col("x") * F.col("x"))
+    within = per.filter("NOT o AND l IS NOT NULL").groupBy("l").agg(square.alias("q"), F.max("n").alias("n")).agg(F.sum(F.col("q") - F.col("n")).alias("w"), F.sum(F.col("n") * (F.col("n") - 1)).alias("wn"))
+    all_ = per.filter("NOT o").groupBy("k").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).agg(square.alias("q"), F.max("n").alias("n"))
+    outer = per.filter("o").agg(square.alias("o2"))
+    ends = pairwise_mean(rows.withColumn("g", F.lit(0)), "g", "i", "v", clamp=False, block=block).select("min", "max")
+    one = lambda t: t.withColumn("_k", F.lit(1))
+    j = one(all_).join(one(outer), "_k").join(one(within), "_k").join(one(ends), "_k", "left")
+    n = F.col("n").cast("double")
+    pairs = F.when(n > 1, n * (n - 1))
+    mean = (F.col("q") - n) / pairs
+    std = F.sqrt(F.greatest((F.col("o2") - n) / pairs - mean * mean, F.lit(0.0)))
+    between = (F.col("q") - n - F.col("w")) / F.when(pairs > F.col("wn"), pairs - F.col("wn"))
+    return j.select("n", mean.alias("mean"), std.alias("std"), "min", "max", (F.col("w") / F.when(F.col("wn") > 0, F.col("wn")) - between).alias("separation"))
+
+
 def adjacent(df: DataFrame, group: str, order: str, vector: str, clamp: bool = True, long: bool = False) -> DataFrame:
     """df with `pos` (from 0 within the group) and `sim`, the cosine with the vector before (null for the first).
 
     Groups are sequences, a participant's answers, and a window holds one at a time. `long` is for sequences of any
     length (`order` a number): they are ordered in buckets, no group in one task, with the same result."""
     if long:
-        key = spread_key(df, order)
-        placed = running_offset(df, [group], key, ties=[order], name="pos")
-        seen = previous_values(placed, [group], key, [vector], ties=[order], prefix="_prev_").withColumnRenamed(f"_prev_{vector}", "_prev")
-        return seen.withColumn("sim", cosine(F.col("_prev"), F.col(vector), clamp)).drop("_prev", "has_prev")
+        seen = running_offsets(df, [group], spread_key(df, order), {"pos": F.lit(1)}, [order], previous=[vector], prefix="_prev_")
+        return seen.withColumn("sim", cosine(F.col(f"_prev_{vector}"), F.col(vector), clamp)).drop(f"_prev_{vector}")
     w = Window.partitionBy(group).orderBy(order)
     return df.withColumns({"pos": F.row_number().over(w) - 1, "_prev": F.lag(vector).over(w)}).withColumn("sim", cosine(F.col("_prev"), F.col(vector), clamp)).drop("_prev")

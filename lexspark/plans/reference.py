@@ -130,12 +130,8 @@ def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def model_health(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").withColumn("all", F.lit("all"))
-    whole = vectors.pairwise_mean(e, "all", "vec_id", "embedding", clamp=False)
-    within = vectors.pairwise_mean(e, "label", "vec_id", "embedding", clamp=False).agg(F.sum(F.col("mean") * F.col("n_pairs")).alias("s"), F.sum("n_pairs").alias("p")).withColumn("all", F.lit("all"))
-    j = whole.join(within, "all")
-    sep = F.col("s") / F.col("p") - (F.col("mean") * F.col("n_pairs") - F.col("s")) / (F.col("n_pairs") - F.col("p"))
-    return rounded(embedding.health(j.withColumn("separation", sep)).select("n", "mean", "std", "min", "max", "separation", "flag"))
+    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    return rounded(embedding.health(vectors.similarity_health(e, "vec_id", "embedding", "label")).select("n", "mean", "std", "min", "max", "separation", "flag"))
 
 
 # --- fluency
@@ -155,9 +151,9 @@ def fluency_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def svf_profile(spark: SparkSession, d: str) -> DataFrame:
-    sims = _word_sims(spark, d)
+    sims = cut(_word_sims(spark, d).select("participant_id", "pos", "sim"), "sims")
     c = sequence.cluster_metrics(sequence.detect_clusters(sims, ["participant_id"], 0.1), ["participant_id"])
-    p = base.participants(spark, d).select("participant_id", "diagnosis")
+    p = cut(base.participants(spark, d).select("participant_id", "diagnosis"), "participants")
     out = p.join(sequence.similarity_profile(sims, ["participant_id"]), "participant_id", "left").join(sequence.with_empty(c, p, ["participant_id"]), "participant_id", "left")
     return rounded(out)
 
