@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions.text import interpretability, truthy
 from lexspark.operators import stats
+from lexspark.operators.ranking import running_offset, spread_key
 from lexspark.session import cut
 
 #: The closed lists a rating file is checked against.
@@ -22,12 +23,17 @@ def require(df: DataFrame, columns: Sequence[str]) -> None:
         raise ValueError(f"missing columns {missing}")
 
 
+def rating_problems(df: DataFrame) -> DataFrame:
+    """One row: how many ratings are null or impossible and how many categories unknown."""
+    return df.agg(F.count_if(F.col("rating").isNull()).alias("n_null"), F.count_if(~F.col("rating").isin(*RATINGS)).alias("n_impossible"), F.count_if(~F.col("category").isin(*CATEGORIES)).alias("n_unknown"))
+
+
 def validate_ratings(df: DataFrame) -> None:
     """An error that names what is wrong: null ratings, ratings or categories outside the closed lists."""
     require(df, ("pair_id", "rating", "category", "is_compound"))
-    bad = df.agg(F.count_if(F.col("rating").isNull()).alias("nulls"), F.count_if(~F.col("rating").isin(*RATINGS)).alias("ratings"), F.count_if(~F.col("category").isin(*CATEGORIES)).alias("categories")).first()
+    bad = rating_problems(df).first()
     if any(bad):
-        raise ValueError(f"{bad['nulls']} null ratings, {bad['ratings']} impossible ratings, {bad['categories']} unknown categories")
+        raise ValueError(f"{bad[0]} null ratings, {bad[1]} impossible ratings, {bad[2]} unknown categories")
 
 
 def check_missing_share(df: DataFrame, columns: Sequence[str], most: float = 0.1) -> DataFrame:
@@ -65,6 +71,13 @@ def reliability(a: DataFrame, b: DataFrame, by: Sequence[str] = (), on: Sequence
     return out.withColumn("interpretability", interpretability(F.col("weighted_kappa"))).select(*by, "n_pairs", "weighted_kappa", "spearman_rho", "category_kappa", "compound_kappa", "interpretability")
 
 
+def reliability_summary(pairs: DataFrame) -> DataFrame:
+    """One row of a table of `reliability` results: n_sets of them with a weighted kappa, mean_weighted_kappa and the
+    one flag that says how far results may be read."""
+    g = pairs.agg(F.count("weighted_kappa").alias("n_sets"), F.avg("weighted_kappa").alias("mean_weighted_kappa"))
+    return g.withColumn("interpretability", interpretability(F.col("mean_weighted_kappa")))
+
+
 def consolidate(files: Sequence[DataFrame]) -> DataFrame:
     """One row per pair that every rater judged: the mean rating; category and flag of the first rater."""
     rated = [f.select("pair_id", "rating", "category", "is_compound", F.lit(i).alias("_i")) for i, f in enumerate(files)]
@@ -103,15 +116,25 @@ def divergence_catalog(rated: DataFrame, pairs: DataFrame, percentile: float = 0
     return out.join(relations, ["target", "response"], "left") if relations is not None else out
 
 
-def graph_agreement(rated: DataFrame, pairs: DataFrame, similarity: DataFrame) -> DataFrame:
-    """measure (path_similarity, wu_palmer), n, n_oov, oov_rate, spearman_rho of mean ratings and graph similarities.
-    Pairs without a similarity count as out of vocabulary, those in the vocabulary but without a path too. `similarity`:
-    target, response, path_similarity, wu_palmer."""
+def ranked_catalog(catalog: DataFrame) -> DataFrame:
+    """The catalog with `position`, from 1: the greatest disagreement first, pair_id deciding ties, null last. The place
+    is a bucketed rank, so the order survives however the table is stored and no task sorts all of it."""
+    known = cut(catalog.filter(F.col("disagreement").isNotNull()).withColumn("_d", -F.col("disagreement")), "catalog")
+    ranked = running_offset(known, [], spread_key(known, "_d"), ties=["_d", "pair_id"], name="position").withColumn("position", F.col("position") + 1).drop("_d")
+    return ranked.unionByName(catalog.filter(F.col("disagreement").isNull()).withColumn("position", F.lit(None).cast("bigint")))
+
+
+def graph_agreement(rated: DataFrame, pairs: DataFrame, similarity: DataFrame, n_boot: int = 0, seed: int = 20260507) -> DataFrame:
+    """measure (path_similarity, wu_palmer), n, n_oov, oov_rate, spearman_rho of mean ratings and graph similarities, and
+    with `n_boot` resamples ci_low, ci_high. Pairs without a similarity count as out of vocabulary, those in the
+    vocabulary but without a path too. `similarity`: target, response, path_similarity, wu_palmer."""
     j = rated.select("pair_id", "rating").join(pairs.select("pair_id", "target", "response"), "pair_id").join(similarity, ["target", "response"], "left")
     long = j.unpivot(["pair_id", "rating"], ["path_similarity", "wu_palmer"], "measure", "value")
+    long = cut(long, "measures") if n_boot else long
     counts = long.groupBy("measure").agg(F.count("*").alias("n_pairs"), F.count_if(F.col("value").isNull()).alias("n_oov"))
     rho = stats.spearman(long, "rating", "value", ["measure"])
-    return counts.join(rho, "measure", "left").select("measure", F.coalesce("n", F.lit(0)).alias("n"), "n_oov", (F.col("n_oov") / F.col("n_pairs")).alias("oov_rate"), "spearman_rho")
+    out = counts.join(rho, "measure", "left").select("measure", F.coalesce("n", F.lit(0)).alias("n"), "n_oov", (F.col("n_oov") / F.col("n_pairs")).alias("oov_rate"), "spearman_rho")
+    return out.join(stats.bootstrap_spearman(long, "rating", "value", ["measure"], "pair_id", n_boot, seed).select("measure", "ci_low", "ci_high"), "measure", "left") if n_boot else out
 
 
 def with_interval(rated: DataFrame, cosines: DataFrame, by: Sequence[str] = ("model_name",), min_n: int = 3, n_boot: int = 1000, seed: int = 20260507) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions.text import normalize_response, plain
@@ -39,6 +39,16 @@ def score_responses(rows: DataFrame, words: DataFrame) -> DataFrame:
     return j.withColumns({"cosine_sim": sim, "binary_score": F.col("is_exact_match").cast("int")}).drop("_w1", "_w2", "_e1", "_e2")
 
 
+def score_pairs(spark: SparkSession, responses: Sequence[str], golds: Sequence[str], vectors_of: Callable[[DataFrame], DataFrame]) -> list[float]:
+    """Similarities of a few answers with their gold words, in order (a convenience; tables go through
+    `score_responses`). An error if the lists differ in length."""
+    if len(responses) != len(golds):
+        raise ValueError(f"{len(responses)} answers, {len(golds)} gold words")
+    rows = spark.createDataFrame(list(enumerate(zip(responses, golds))), "n long, p struct<normalized:string,gold:string>").select("n", "p.*").withColumns({"is_exact_match": F.lit(False), "is_non_response": F.col("normalized").isNull()})
+    words = vectors_of(rows.select(F.col("normalized").alias("word")).union(rows.select("gold")).filter("word IS NOT NULL").distinct())
+    return [r["cosine_sim"] for r in score_responses(rows, words).orderBy("n").collect()]
+
+
 def match_rates(df: DataFrame, response: str, gold: str, by: tuple[str, ...] = (), norm: Callable[[Column], Column] = plain) -> DataFrame:
     """by, n, exact_rate, token_rate (gold among the words), last_token_rate, substring_rate of normalised answers; an
     answer that is null takes part as what `norm` makes of it."""

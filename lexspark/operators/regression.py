@@ -7,10 +7,11 @@ on a bounded sample of labelled rows (`fit_rows`), its grid spread over the exec
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ CUTOFF = 24
 def correlation_table(df: DataFrame, features: Sequence[str], target: str = "mmse", least: float = 0.3) -> DataFrame:
     """feature, n, r, p_value, passes (|r| > least, strictly): one aggregation over all features, no row per feature."""
     y = F.col(target).cast("double")
-    sums = [a for i, f in enumerate(features) for a in (F.corr(F.col(f).cast("double"), y).alias(f"r{i}"), F.count(F.when(F.col(f).isNotNull(), F.col(target))).alias(f"n{i}"))]
+    sums = [a for i, f in enumerate(features) for a in (stats.correlation(F.col(f).cast("double"), y).alias(f"r{i}"), F.count(F.when(F.col(f).isNotNull(), F.col(target))).alias(f"n{i}"))]
     g = df.agg(*sums)
     rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"n{i}").alias("n"), stats.finite(F.col(f"r{i}")).alias("r")) for i, f in enumerate(features)])
     return stats.with_rho_p(g.select(F.inline(rows)), "r").withColumn("passes", F.coalesce(F.abs("r") > least, F.lit(False)))
@@ -201,6 +202,51 @@ def svr_cv(df: DataFrame, features: Sequence[str], target: str = "mmse", stratum
     return dealt.mapInPandas(predict, f"fold int, {key} {df.schema[key].dataType.simpleString()}, truth double, prediction double, c double, gamma string")
 
 
+def model_cv(df: DataFrame, features: Sequence[str], fit: Callable[[np.ndarray, np.ndarray, dict], Callable[[np.ndarray], np.ndarray]], grid: Sequence[dict], target: str = "mmse", stratum: str = "diagnosis", key: str = "participant_id", seed: int = 0, outer: int = 5, inner: int = 3, fit_rows: int = 5000) -> DataFrame:
+    """fold, key, truth, prediction, setting of every labelled row, held out, by a model of one's own: `fit` takes
+    scaled features, targets and a setting of `grid` and gives a function that predicts. The setting with the least
+    mean absolute error of an inner cross-validation is chosen, the first if equal. As in `svr_cv`, a fold's model sees
+    the `fit_rows` rows with the smallest hashes among those of the other folds; every row is predicted."""
+    rows = check_missing_share(df, [*features, target]).withColumn("_h", F.xxhash64(F.lit(seed), key))
+    dealt = cut(stratified_folds(rows, stratum, key, outer, seed).select(key, "fold", *features, target, "_h"), "folds")
+    train = {}
+    for f in range(outer):
+        t = dealt.filter(F.col("fold") != f).orderBy("_h", key).limit(fit_rows).toPandas().sort_values(key)
+        train[f] = t[list(features)].to_numpy(dtype=float), t[target].to_numpy(dtype=float)
+    settings = list(grid)
+
+    def scaler(x: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        m, s = x.mean(0), x.std(0)
+        return lambda v: (v - m) / np.where(s > 0, s, 1.0)
+
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in frames:
+            for f in t["fold"]:
+                x, y = train[f]
+                k, errors = max(2, min(inner, len(y) // 2)), []
+                part = np.arange(len(y)) % k
+                for setting in settings:
+                    e = []
+                    for g in range(k):
+                        scale = scaler(x[part != g])
+                        e.append(np.abs(fit(scale(x[part != g]), y[part != g], setting)(scale(x[part == g])) - y[part == g]).mean())
+                    errors.append(float(np.mean(e)))
+                best = settings[int(np.argmin(errors))]
+                yield pd.DataFrame({"fold": [f], "setting": [repr(best)], "model": [cloudpickle.dumps((scaler(x), fit(scaler(x)(x), y, best)))]})
+
+    folds = df.sparkSession.createDataFrame([(f,) for f in range(outer) if len(train[f][1])], "fold int").repartition(outer, "fold")
+    fitted = {r["fold"]: (r["setting"], bytes(r["model"])) for r in folds.mapInPandas(choose, "fold int, setting string, model binary").collect()}
+
+    def held_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models = {f: cloudpickle.loads(m) for f, (_, m) in fitted.items()}
+        for t in frames:
+            for f, held in t.groupby("fold"):
+                scale, model = models[f]
+                yield pd.DataFrame({"fold": f, key: held[key].to_numpy(), "truth": held[target].to_numpy(dtype=float), "prediction": model(scale(held[list(features)].to_numpy(dtype=float))), "setting": fitted[f][0]})
+
+    return dealt.mapInPandas(held_out, f"fold int, {key} {df.schema[key].dataType.simpleString()}, truth double, prediction double, setting string")
+
+
 def most_common_setting(folds: DataFrame, *setting: str) -> DataFrame:
     """The setting most folds chose; the one of the earliest fold if equal."""
     g = folds.select("fold", *setting).distinct().groupBy(*setting).agg(F.count("*").alias("n"), F.min("fold").alias("first"))

@@ -4,8 +4,6 @@ Ranks over a whole table are found from counts per distinct value and bucketed r
 partition). Contingency statistics are closed forms over counts. Undefined results are null, never NaN.
 """
 
-from __future__ import annotations
-
 import math
 from collections.abc import Iterator, Sequence
 
@@ -41,6 +39,14 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r of the rows that have both, as an aggregate; null where one side does not vary (the built-in divides
+    by zero there)."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    var = F.var_pop(a) * F.var_pop(b)
+    return F.covar_pop(a, b) / F.sqrt(F.when(var > 0, var))
+
+
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), min_n: int = 2) -> DataFrame:
     """by, n, spearman_rho of the rows where both are given; null below `min_n` rows or where one does not vary.
 
@@ -137,13 +143,23 @@ def _beta(a: float, b: float, x: float) -> float:
 
 
 def chi2_p(x: Column, df: Column) -> Column:
-    """`chi2_sf` of columns."""
-    return F.pandas_udf(lambda x, df: pd.Series([chi2_sf(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(x, df)], dtype="float64"), "double", F.PandasUDFType.SCALAR)(x, df)
+    """`chi2_sf` of columns; one call per row of a result table."""
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([chi2_sf(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(x, df)], dtype="float64")
+
+    return tail(x, df)
 
 
 def t_p(t: Column, df: Column) -> Column:
-    """`t_two_sided` of columns."""
-    return F.pandas_udf(lambda t, df: pd.Series([t_two_sided(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(t, df)], dtype="float64"), "double", F.PandasUDFType.SCALAR)(t, df)
+    """`t_two_sided` of columns; one call per row of a result table."""
+
+    @F.pandas_udf("double")
+    def tails(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([t_two_sided(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(t, df)], dtype="float64")
+
+    return tails(t, df)
 
 
 def with_rho_p(df: DataFrame, rho: str = "spearman_rho", n: str = "n", name: str = "p_value") -> DataFrame:
@@ -205,6 +221,15 @@ def residuals(df: DataFrame, y: str, x: str, name: str = "residual") -> DataFram
     return df.withColumn(name, F.col(y) - (F.lit(float(slope)) * F.col(x) + F.lit(float(icept))))
 
 
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """a, b, n, r of every two columns, over the rows that have both; r null where one does not vary. One aggregation."""
+    two = [(i, j) for i in range(len(columns)) for j in range(len(columns))]
+    x = [F.col(c).cast("double") for c in columns]
+    g = df.agg(*[e for i, j in two if i <= j for e in (correlation(x[i], x[j]).alias(f"r{i}_{j}"), F.count(F.when(x[i].isNotNull(), x[j])).alias(f"n{i}_{j}"))])
+    at = lambda k, i, j: F.col(f"{k}{min(i, j)}_{max(i, j)}")
+    return g.select(F.inline(F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), at("n", i, j).alias("n"), finite(at("r", i, j)).alias("r")) for i, j in two])))
+
+
 def exact_percentiles(df: DataFrame, value: str, probabilities: Sequence[float]) -> list[float]:
     """Percentiles by linear interpolation, exact, over all non-null values; empty for an empty column. The values at
     the positions in question are found through bucketed running counts of distinct values, so no task holds them all."""

@@ -31,6 +31,22 @@ def group_means(df: DataFrame, group: str, metrics: Sequence[str]) -> DataFrame:
     return df.groupBy(group).agg(F.count("*").alias("n"), *[f(m).alias(f"{m}_{k}") for m in metrics for k, f in (("mean", F.avg), ("sd", F.stddev_samp), ("min", F.min), ("max", F.max))])
 
 
+def in_report_order(summary: DataFrame, group: str = "diagnosis") -> DataFrame:
+    """A summary by diagnosis with `position`: HC, MCI, non-AD, AD, then others and null."""
+    return summary.withColumn("position", diagnosis_order(F.col(group))).orderBy("position", group)
+
+
+def overall(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """A row per metric over all rows: metric, n, mean, min, max. One aggregation."""
+    g = df.agg(*[f(F.col(m).cast("double")).alias(f"{k}{i}") for i, m in enumerate(metrics) for k, f in (("n", F.count), ("mean", F.avg), ("min", F.min), ("max", F.max))])
+    return g.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), *[F.col(f"{k}{i}").alias(k) for k in ("n", "mean", "min", "max")]) for i, m in enumerate(metrics)])))
+
+
+def lowest_positive(df: DataFrame, value: str, key: str, k: int = 10) -> DataFrame:
+    """The k rows with the least values above 0, ties by key (a bounded report)."""
+    return df.filter(F.col(value) > 0).orderBy(value, key).limit(k)
+
+
 def item_variation(df: DataFrame, item: str, value: str, k: int | None = 10) -> DataFrame:
     """Items with n, mean and deviation of their values, the most varied first (ties by item), the first k if given."""
     g = df.groupBy(item).agg(F.count("*").alias("n"), F.avg(value).alias("value_mean"), F.stddev_samp(value).alias("value_sd"))

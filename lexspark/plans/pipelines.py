@@ -7,10 +7,16 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.operators import agreement, embedding, frequency, matching, regression, sampling, sequence, stats, summaries, vectors
+from lexspark.operators import agreement, embedding, frequency, graph, matching, regression, sampling, sequence, stats, summaries, vectors
+from lexspark.operators.graph import SenseGraph
 from lexspark.session import cut
 from lexspark.sources import sheets, tables
 
+
+class NoFeature(ValueError):
+    """No feature is left to regress on."""
+
+
 WordVectors = Callable[[DataFrame], DataFrame]
 
 
@@ -90,9 +96,11 @@ def rater_samples(scored: DataFrame, model_name: str, raters: int = 2, per_quart
     return out
 
 
-def rating_analysis(files: Sequence[DataFrame], sample: DataFrame, models: DataFrame, relations: DataFrame | None = None, test_retest: bool = False) -> dict[str, DataFrame]:
-    """reliability of every two raters (or of two rounds), agreement of each model with the mean rating - in all, by
-    quartile, by category - and the divergence catalog of the first model by name.
+def rating_analysis(files: Sequence[DataFrame], sample: DataFrame, models: DataFrame, lexicon: SenseGraph | None = None, test_retest: bool = False, n_boot: int = 1000) -> dict[str, DataFrame]:
+    """reliability of every two raters (or of two rounds) with its summary: the mean weighted kappa and the flag by it;
+    agreement of each model with the mean rating, with bootstrap intervals - in all, by quartile, by category (null below
+    15 pairs); with a lexicon the agreement of ratings with its graph; and the divergence catalog of the first model by
+    name, the greatest disagreement first, with the words' relation in the lexicon.
 
     Two or three rating tables are expected, exactly two for test and retest."""
     if not (len(files) == 2 if test_retest else 2 <= len(files) <= 3):
@@ -104,17 +112,71 @@ def rating_analysis(files: Sequence[DataFrame], sample: DataFrame, models: DataF
     for i, j in pairs:
         r = agreement.reliability(files[i], files[j]).select(F.lit(i).alias("rater_a"), F.lit(j).alias("rater_b"), "*")
         rel = r if rel is None else rel.unionByName(r)
+    rel = cut(rel, "reliability")
+    if rel.isEmpty():
+        raise ValueError("the rating tables share no pair")
     rated = cut(agreement.consolidate(files), "rated")
     cosines = cut(agreement.fan_out(models, sample).select("pair_id", "model_name", F.col("cosine_sim")), "cosines")
-    out = {"reliability": rel, "models": agreement.model_agreement(rated, cosines)}
-    out["by_quartile"] = agreement.model_agreement(rated, cosines.join(sample.select("pair_id", "cosine_quartile"), "pair_id"), ("model_name", "cosine_quartile"))
-    out["by_category"] = agreement.model_agreement(rated, cosines, ("model_name", "category"), 15)
+    out = {"reliability": rel, "reliability_summary": agreement.reliability_summary(rel), "models": agreement.with_interval(rated, cosines, n_boot=n_boot)}
+    out["by_quartile"] = agreement.with_interval(rated, cosines.join(sample.select("pair_id", "cosine_quartile"), "pair_id"), ("model_name", "cosine_quartile"), n_boot=n_boot)
+    out["by_category"] = agreement.with_interval(rated, cosines, ("model_name", "category"), 15, n_boot)
     first = cosines.agg(F.min("model_name")).first()[0]
     one = cosines.filter(F.col("model_name") == first).groupBy("pair_id").agg(F.first("cosine_sim").alias("cosine_sim"))
-    out["divergence"] = agreement.divergence_catalog(rated, sample.select("pair_id", "target", "response").join(one, "pair_id"), relations=relations)
+    asked, relations = sample.select("pair_id", "target", "response"), None
+    if lexicon is not None:
+        words = cut(asked.select("target", "response").distinct(), "words")
+        out["graph"] = agreement.graph_agreement(rated, asked, graph.pair_similarity(words, lexicon), n_boot)
+        relations = graph.relation_summary(words, lexicon).withColumnRenamed("relation", "relation_summary")
+    catalog = agreement.ranked_catalog(agreement.divergence_catalog(rated, asked.join(one, "pair_id"), relations=relations))
+    known = F.col("relation_summary") if lexicon is not None else F.lit(None).cast("string").alias("relation_summary")
+    out["divergence"] = catalog.orderBy("position", "pair_id").select("pair_id", "target", "response", F.col("rating").alias("rater_mean_rating"), F.col("cosine_sim").alias("cosine_sim_primary_model"), "disagreement", F.col("category").alias("rater_category"), "is_compound", known, "is_divergence_case")
     return out
 
 
+def analysis_report(results: dict[str, DataFrame]) -> str:
+    """The small tables of `rating_analysis` as one markdown text, and how many pairs diverge."""
+    titles = {"reliability": "Reliability", "reliability_summary": "Reliability, summary", "models": "Agreement of models", "by_quartile": "Agreement by quartile", "by_category": "Agreement by category", "graph": "Agreement with the lexicon's graph"}
+    parts = [f"## {t}\n\n{tables.to_markdown(results[k].orderBy(*results[k].columns[:2]))}" for k, t in titles.items() if k in results]
+    n, cases = results["divergence"].agg(F.count("*"), F.count_if("is_divergence_case")).first()
+    return "\n\n".join(["# Rating analysis", *parts, f"## Divergence\n\n{cases} of {n} pairs diverge."]) + "\n"
+
+
+def eligibility_report(scored: DataFrame) -> str:
+    """Funnel, quartile edges and counts by quartile and diagnosis of a scored table as markdown."""
+    eligible = cut(matching.eligible_pairs(scored), "eligible")
+    edges = ", ".join(f"{x:.4f}" for x in stats.quartile_cutpoints(eligible, "cosine_sim"))
+    counts = summaries.contingency(stats.assign_quartile(eligible, "cosine_sim"), "cosine_quartile", "diagnosis", summaries.DIAGNOSES).orderBy("cosine_quartile")
+    return f"# Eligibility\n\n{tables.to_markdown(matching.eligibility_funnel(scored))}\n\nQuartile edges: {edges}\n\n{tables.to_markdown(counts)}\n"
+
+
+def model_sweep(entries: Sequence[dict], run: Callable[[WordVectors], DataFrame], output: str, skip_existing: bool = False) -> dict[str, str]:
+    """`run` (a pipeline that takes word vectors) with each model of a configuration, its table saved under output/label.
+    A model that fails does not stop the others. label -> done, skipped or the error; `entries`: label, and what
+    `embedding.factory` and `embedding.prefix_of` read."""
+    said = {}
+    for e in entries:
+        path = f"{output}/{e['label']}"
+        try:
+            if skip_existing and tables.exists(path):
+                said[e["label"]] = "skipped"
+                continue
+            tables.save_csv(run(model_vectors(embedding.factory(e), embedding.prefix_of(e), e.get("batch", 32))), path)
+            said[e["label"]] = "done"
+        except Exception as x:  # noqa: BLE001
+            said[e["label"]] = f"{type(x).__name__}: {x}".splitlines()[0]
+    return said
+
+
+def probe_models(spark: SparkSession, entries: Sequence[dict], words: Sequence[tuple[str, str]]) -> DataFrame:
+    """model_name, n, mean, std, min, max, separation and a flag of each model on a few (word, label) probes."""
+    probes, out = spark.createDataFrame(list(words), "word string, label string"), None
+    for e in entries:
+        v = model_vectors(embedding.factory(e), embedding.prefix_of(e))(probes).join(probes, "word")
+        one = embedding.health(vectors.similarity_health(cut(v, "probes"), "word", "embedding", "label")).withColumn("model_name", F.lit(e["label"]))
+        out = one if out is None else out.unionByName(one)
+    return out.select("model_name", "n", "mean", "std", "min", "max", "separation", "flag")
+
+
 def mmse_regression(scored: DataFrame, features: Sequence[str], seed: int = 0, least: float = 0.3, svr_rows: int = 400) -> dict[str, DataFrame]:
     """correlations of the features with mmse; for those that pass, held-out predictions, errors, confusion and kappa
     of ridge and support vectors. An error if no feature passes or fewer than five rows remain."""
@@ -122,7 +184,7 @@ def mmse_regression(scored: DataFrame, features: Sequence[str], seed: int = 0, l
     table = regression.correlation_table(rows, features, least=least)
     chosen = regression.select_features(table)
     if not chosen:
-        raise ValueError("no feature correlates with the score")
+        raise NoFeature("no feature correlates with the score")
     if rows.count() < 5:
         raise ValueError("fewer than 5 rows")
     out = {"correlations": table}

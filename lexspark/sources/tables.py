@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The columns of rating, score and frequency files.
 RATINGS = "pair_id string, target string, response string, rating int, category string, is_compound string, notes string"
 SCORED = "participant_id string, gender string, age double, diagnosis string, mmse double, gold string, raw_response string, normalized string, is_exact_match boolean, is_non_response boolean, cosine_sim double, binary_score int"
 FREQUENCIES = "lemma string, frequency_per_million string"
@@ -22,9 +23,13 @@ def rater_id(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]+)\.csv$", 1), r"^(?:.*_)?ratings_", "")
 
 
-def read_ratings(spark: SparkSession, pattern: str) -> DataFrame:
-    """All rating files a pattern names, with rater_id and the flag as it was written."""
-    return read_csv(spark, pattern, RATINGS).withColumn("rater_id", rater_id(F.input_file_name()))
+def read_ratings(spark: SparkSession, pattern: str, rounds: bool | None = None) -> DataFrame:
+    """All rating files a pattern names, with rater_id and the flag as it was written. `rounds`: only the files with
+    "round" in their name (of a retest), or only those without."""
+    rows = read_csv(spark, pattern, RATINGS).withColumn("_file", F.input_file_name())
+    named = F.regexp_extract("_file", r"([^/]+)$", 1).contains("round")
+    rows = rows if rounds is None else rows.filter(named if rounds else ~named)
+    return rows.withColumn("rater_id", rater_id(F.col("_file"))).drop("_file")
 
 
 def save_csv(df: DataFrame, path: str, lead: tuple[str, ...] = (), columns: tuple[str, ...] | None = None, mode: str = "overwrite") -> None:
@@ -33,6 +38,23 @@ def save_csv(df: DataFrame, path: str, lead: tuple[str, ...] = (), columns: tupl
     df.select(*chosen).write.mode(mode).option("header", True).csv(path)
 
 
+def exists(path: str) -> bool:
+    """Whether something lies under a path, on whatever file system it names."""
+    spark = SparkSession.getActiveSession()
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def save_text(spark: SparkSession, text: str, path: str) -> None:
+    """A report as one text file, on whatever file system the path names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def to_markdown(df: DataFrame, max_rows: int = 1000) -> str:
     """A small result as a markdown table; an error for more than `max_rows` rows."""
     rows = df.limit(max_rows + 1).collect()
