@@ -1,4 +1,4 @@
-"""Lexicon XML (LexicalEntry elements) -> sense graph tables, through the built-in splittable XML source."""
+"""Lexicon XML (LexicalEntry elements) -> sense graph tables, through the built-in XML source (a task per file; a file has one root element)."""
 
 from __future__ import annotations
 

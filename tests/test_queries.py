@@ -3,11 +3,11 @@ import os
 import pytest
 from compare import same_rows
 
-from lexspark.plans import reference, training
+from lexspark.plans import reference, training, workflows
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = {**training.QUERIES, **reference.QUERIES}
-SQL = {**training.SQL, **reference.SQL}
+QUERIES = {**training.QUERIES, **reference.QUERIES, **workflows.QUERIES}
+SQL = {**training.SQL, **reference.SQL, **workflows.SQL}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
@@ -16,7 +16,7 @@ def test_rows_of_query_and_sql_agree(spark, name):
     same_rows(spark, FOLDER, QUERIES[name], SQL[name])
 
 
-@pytest.mark.parametrize("name", ["p2_records", "p6_wide", "spearman_p", "kruskal_p", "ridge_cv"])
+@pytest.mark.parametrize("name", ["spearman_p", "kruskal_p", "ridge_cv", "stratified_sample", "rater_view", "training_sample"])
 def test_queries_without_sql_give_rows(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
