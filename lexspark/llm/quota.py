@@ -34,14 +34,18 @@ def allocate(share: np.ndarray, floor: np.ndarray, available: np.ndarray, size:
     share = np.maximum(np.nan_to_num(share.astype("float64")), 0.0)
     if total <= low.sum() or share.sum() <= 0:
         return low
+    share = np.where(share > 0, np.maximum(share / share.max(), 1e-12), 0.0)
+    # the level x at which the shares x * share, kept between the bounds, add up to the total: their sum rises along
+    # straight lines that bend where a share leaves its floor or meets its bound; the bends around it are found by halving
     level = lambda x: np.clip(x * share, low, high)
-    a, b = 0.0, 1.0
-    while level(b).sum() < total and b < 1e18:
-        b *= 2
-    for _ in range(80):
-        m = (a + b) / 2
-        a, b = (m, b) if level(m).sum() < total else (a, m)
-    ideal = level(b)
+    some = share > 0
+    bends = np.unique(np.concatenate([[0.0], low[some] / share[some], high[some] / share[some]]))
+    a, b = 0, len(bends) - 1
+    while b - a > 1:
+        m = (a + b) // 2
+        a, b = (m, b) if level(bends[m]).sum() < total else (a, m)
+    under, over = level(bends[a]).sum(), level(bends[b]).sum()
+    ideal = level(bends[a] + min(max((total - under) / (over - under), 0.0), 1.0) * (bends[b] - bends[a]) if over > under else bends[b])
     quota = np.clip(np.floor(ideal + 1e-9), low, high).astype("int64")
     order = np.argsort(-np.round(ideal - quota, 9), kind="stable")
     while (left := total - int(quota.sum())) > 0:
