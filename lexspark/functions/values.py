@@ -12,6 +12,8 @@ MALE = ("m", "man", "male", "1")
 FEMALE = ("f", "k", "kvinna", "female", "woman", "2")
 
 _BLANKS = r"[\p{Z}\s\u200B\uFEFF]"
+#: The same, one by one: separators, control blanks, zero-width space and byte order mark.
+_BLANK_CHARS = "".join(map(chr, (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x200B, 0xFEFF)))
 _NUMBER = r"[-+−]?\d+(?:[.,]\d+)?"
 
 
@@ -24,7 +26,7 @@ def compose(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without outer blanks of any kind (SQL trim removes spaces only)."""
-    return F.regexp_replace(c, f"^{_BLANKS}+|{_BLANKS}+$", "")
+    return F.btrim(c, F.lit(_BLANK_CHARS))
 
 
 def label_key(c: Column) -> Column:

@@ -56,15 +56,15 @@ def promote(a: str, b: str) -> str:
     return b if a == "void" else "string"
 
 
-def json_kind(value: Column) -> Column:
-    """JSON type of a variant: number, string, boolean, array, object, or void for null."""
-    t = F.schema_of_variant(value)
+def json_kind(schema: Column) -> Column:
+    """JSON type of a variant from its schema (`schema_of_variant`): number, string, boolean, array, object, or void for
+    null."""
     return (
-        F.when(value.isNull() | (t == "VOID"), "void")
-        .when(t.startswith("ARRAY"), "array")
-        .when(t.startswith("OBJECT"), "object")
-        .when(t == "BOOLEAN", "boolean")
-        .when(t.isin("BIGINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL"), "number")
+        F.when(schema.isNull() | (schema == "VOID"), "void")
+        .when(schema.startswith("ARRAY"), "array")
+        .when(schema.startswith("OBJECT"), "object")
+        .when(schema == "BOOLEAN", "boolean")
+        .when(schema.isin("BIGINT", "DOUBLE", "FLOAT") | schema.startswith("DECIMAL"), "number")
         .otherwise("string")
     )
 
@@ -94,20 +94,18 @@ def _cells(records: DataFrame, payload: str) -> DataFrame:
     return cells.select(*_FILE, label_key(F.col("raw")).alias("label"), "v")
 
 
-def headers(records: DataFrame, fields: Sequence[Field] = SHEET_FIELDS, payload: str = "payload") -> DataFrame:
-    """Header schemas: a row per (series_id, file_seq, file_id, field, label, kind) with the number `n` of its values,
-    how many of them are placeholders (`n_blank`) and how many others state a number (`n_numeric`).
+def headers(records: DataFrame, fields: Sequence[Field] = SHEET_FIELDS, payload: str = "payload", contents: bool = True) -> DataFrame:
+    """Header schemas: a row per (series_id, file_seq, file_id, field, label, kind) with the number `n` of its values
+    and, with `contents`, how many of them are placeholders (`n_blank`) and how many others state a number (`n_numeric`).
 
     Rows delivered twice count once. Payloads that are null or no JSON object bring no labels; files without any label
     have no row here (see `file_order`). A label given twice in one object makes that object unreadable.
     """
     text = strip(F.lower(F.col("v").try_cast("string")))
-    return (
-        _cells(records, payload).select(*_FILE, "label", json_kind(F.col("v")).alias("kind"), F.coalesce(text.isin(*PLACEHOLDERS), F.lit(False)).alias("blank"), F.coalesce(text.rlike(_NUMERIC), F.lit(False)).alias("numeric"))
-        .groupBy(*_FILE, "label", "kind")
-        .agg(F.count("*").alias("n"), F.count_if("blank").alias("n_blank"), F.count_if(~F.col("blank") & F.col("numeric")).alias("n_numeric"))
-        .withColumn("field", _field_of(F.col("label"), fields))
-    )
+    looks = {"blank": F.coalesce(text.isin(*PLACEHOLDERS), F.lit(False)), "numeric": F.coalesce(text.rlike(_NUMERIC), F.lit(False))} if contents else {}
+    counts = [F.count_if("blank").alias("n_blank"), F.count_if(~F.col("blank") & F.col("numeric")).alias("n_numeric")] if contents else []
+    cells = _cells(records, payload).select(*_FILE, "label", F.schema_of_variant("v").alias("_s"), *[c.alias(n) for n, c in looks.items()])
+    return cells.groupBy(*_FILE, "label", json_kind(F.col("_s")).alias("kind")).agg(F.count("*").alias("n"), *counts).withColumn("field", _field_of(F.col("label"), fields))
 
 
 def file_order(records: DataFrame) -> DataFrame:
@@ -141,7 +139,7 @@ def schema_changes(records: DataFrame, fields: Sequence[Field] = SHEET_FIELDS, e
     least `evidence` of their values (see `proposed_renames`), it is a renamed field; None looks at no evidence. Records
     with a null file_id form one file of their series.
     """
-    h = cut(headers(records, fields), "headers")
+    h = cut(headers(records, fields, contents=False), "headers")
     order = file_order(records)
     present = cut(_present(h, order), "present")
     a = present.select(F.col("series_id").alias("s"), F.col("pos").alias("p"), F.col("field").alias("f"), F.col("label").alias("after"))
@@ -167,7 +165,7 @@ def proposed_renames(records: DataFrame, fields: Sequence[Field] = SHEET_FIELDS,
 
     The values of a label in a file are known by the least hash in each of `sketch` classes of hashes; labels meet in a
     join on type and hash, so only labels that share one ever meet."""
-    present = present if present is not None else cut(_present(headers(records, fields), file_order(records)), "present")
+    present = present if present is not None else cut(_present(headers(records, fields, contents=False), file_order(records)), "present")
     listed = [x for f in fields for x in f.labels]
     unknown = present.filter(~F.col("label").isin(*listed)) if listed else present
     value = F.lower(F.trim(F.col("v").try_cast("string")))
