@@ -78,14 +78,8 @@ _FILE = ("series_id", "file_seq", "file_id")
 
 
 def _once(records: DataFrame, payload: str) -> DataFrame:
-    """The records (_FILE, record_no, _p) without rows delivered twice. Which rows may be repeats is found from hashes of
-    the payloads; the payloads themselves move only for those."""
-    rows = records.select(*_FILE, "record_no", F.col(payload).alias("_p"))
-    hashed = rows.withColumn("_h", F.xxhash64("file_seq", "record_no", "_p"))
-    repeats = hashed.select("file_id", "_h").groupBy("file_id", "_h").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("file_id").alias("_f"), F.col("_h").alias("_r"))
-    same = F.col("file_id").eqNullSafe(F.col("_f")) & (F.col("_h") == F.col("_r"))
-    single, twice = hashed.join(repeats, same, "left_anti").drop("_h"), hashed.join(repeats, same, "left_semi").drop("_h")
-    return single.unionByName(twice.distinct())
+    """The records (_FILE, record_no, _p) without rows delivered twice: one hash aggregation over the rows."""
+    return records.select(*_FILE, "record_no", F.col(payload).alias("_p")).distinct()
 
 
 def _cells(records: DataFrame, payload: str) -> DataFrame:
