@@ -3,6 +3,8 @@ metadata rows are known by their labels, wherever they stand."""
 
 from __future__ import annotations
 
+import json
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +23,15 @@ class Dataset:
     sheet: str = "0"
 
 
+def registry(path: str) -> list[Dataset]:
+    """The registered tests of a JSON file: {"bnt": {"path": .., "sheet": ..}, ..}; paths that are not absolute lie beside
+    the file."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    here = os.path.dirname(os.path.abspath(path))
+    return [Dataset(test, d["path"] if "://" in d["path"] else os.path.join(here, d["path"]), str(d.get("sheet", "0"))) for test, d in found.items()]
+
+
 def resolve(registry: list[Dataset], test: str) -> Dataset:
     for d in registry:
         if d.test == test:

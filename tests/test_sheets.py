@@ -125,3 +125,12 @@ def test_calibration_and_command_line(sheet, spark, tmp_path):
     assert sweep.count() == 9 and best.count() <= 3
     with pytest.raises(SystemExit):
         main(["nothing"])
+
+
+def test_registered_sheets(sheet, spark, tmp_path):
+    sheet([["1", "hund", "katt"]])
+    (tmp_path / "tests.json").write_text('{"svf": {"path": "t.xlsx"}, "bnt": {"path": "s3://b/x.xlsx", "sheet": 1}}', encoding="utf-8")
+    known = sheets.registry(str(tmp_path / "tests.json"))
+    assert sheets.resolve(known, "bnt") == sheets.Dataset("bnt", "s3://b/x.xlsx", "1")
+    d = sheets.resolve(known, "svf")
+    assert {r.word for r in sheets.load_svf(sheets.read_sheet(spark, d.path, d.sheet))[0].collect()} == {"hund", "katt"}
