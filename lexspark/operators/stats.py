@@ -6,6 +6,7 @@ partition). Contingency statistics are closed forms over counts. Undefined resul
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexspark.operators.ranking import running_offset, spread_key
-from lexspark.session import cut
+from lexspark.session import cut, release, release_shuffles
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
@@ -261,14 +262,15 @@ def assign_quartile(df: DataFrame, value: str, name: str = "cosine_quartile") ->
     return df.withColumn(name, F.when(F.col(value).isNotNull(), label))
 
 
-def bootstrap_spearman(df: DataFrame, x: str, y: str, by: Sequence[str], order: str, n_boot: int = 1000, seed: int = 20260507, exact_rows: int = 100_000) -> DataFrame:
+def bootstrap_spearman(df: DataFrame, x: str, y: str, by: Sequence[str], order: str, n_boot: int = 1000, seed: int = 20260507, exact_rows: int = 100_000, few: int = 1000, per_range: int = 20_000) -> DataFrame:
     """by, n, spearman_rho, ci_low, ci_high. Resamples whose values do not vary are dropped; below three rows null.
 
     One estimator at every size: in a resample a row weighs Poisson(1), so c rows with the same two values weigh
     Poisson(c), drawn by a seeded hash of their values; every resample is ranked anew through its counts of distinct
-    values. `exact_rows` only says where: a group of at most so many rows is computed in one task, a larger one by
-    bucketed running sums over its resampled values, with the same weights. `order` is not read, as no row's place
-    matters.
+    values. `exact_rows` only says where: a group of at most so many rows is computed in one task, a larger one in many,
+    with the same weights. If one of the two columns has at most `few` distinct values there, sums per range of the other
+    column, of `per_range` cells or more, are all that leaves a task (`_by_ranges`); else a row per cell and resample is written, a few resamples at a
+    time (`_by_rows`). `order` is not read, as no row's place matters.
     """
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     cells = cut(both.groupBy(*by, "x", "y").agg(F.count("*").alias("c")).withColumn("h", F.xxhash64(F.lit(seed), *by, "x", "y")), "cells")
@@ -291,48 +293,139 @@ def bootstrap_spearman(df: DataFrame, x: str, y: str, by: Sequence[str], order:
     if sizes.filter(F.col("n") > exact_rows).isEmpty():
         return cells.groupBy(*by).applyInPandas(whole, schema)
     size = sizes.select(*[F.col(k).alias(f"_{k}") for k in by], "n")
-    same = F.lit(True)
-    for k in by:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    sized = cells.join(size, same).drop(*[f"_{k}" for k in by])
+    sized = cells.join(size, _same(by)).drop(*[f"_{k}" for k in by])
     small = sized.filter(F.col("n") <= exact_rows).drop("n").groupBy(*by).applyInPandas(whole, schema)
-    drawn_schema = T.StructType([*base, *(T.StructField(c, T.DoubleType()) for c in ("x", "y")), T.StructField("b", T.IntegerType()), T.StructField("w", T.LongType())])
-
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row per cell and resample in which it occurs; resample -1 is the data."""
-        for f in frames:
-            for start in range(0, len(f), 1000):
-                g = f.iloc[start : start + 1000]
-                c = g["c"].to_numpy()
-                b = -1
-                for w in [c[:, None], *resample_weights(g["h"].to_numpy(), c, n_boot)]:
-                    i, j = np.nonzero(w)
-                    yield pd.DataFrame({**{k: g[k].to_numpy()[i] for k in by}, "x": g["x"].to_numpy()[i], "y": g["y"].to_numpy()[i], "b": (b + j).astype("int32"), "w": w[i, j].astype("int64")})
-                    b += w.shape[1]
-
-    key = [*by, "b"]
-    ranked = cut(sized.filter(F.col("n") > exact_rows).drop("n").mapInPandas(draw, drawn_schema), "drawn")
-    for v in ("x", "y"):
-        counts = cut(ranked.groupBy(*key, v).agg(F.sum("w").alias("m")), "counts")
-        placed = running_offset(counts, key, spread_key(counts, v), F.col("m"), ties=[v], name="_o")
-        rank = placed.select(*[F.col(k).alias(f"_{k}") for k in key], F.col(v).alias("_v"), (F.col("_o") + (F.col("m") + 1) / 2).alias(f"r{v}"))
-        on = F.col(v) == F.col("_v")
-        for k in key:
-            on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-        ranked = ranked.join(rank, on).drop("_v", *[f"_{k}" for k in key])
-    a, c, w = F.col("rx"), F.col("ry"), F.col("w").cast("double")
-    middle = (F.col("s0") + 1) / 2
-    s = ranked.groupBy(*key).agg(F.sum(w).alias("s0"), F.sum(w * a * c).alias("s1"), F.sum(w * a * a).alias("s2"), F.sum(w * c * c).alias("s3"))
-    va, vc = (F.col(v) - F.col("s0") * middle * middle for v in ("s2", "s3"))
-    rho = F.when((va > 1e-6) & (vc > 1e-6), (F.col("s1") - F.col("s0") * middle * middle) / F.sqrt(va * vc))
+    large = cut(sized.filter(F.col("n") > exact_rows).drop("n"), "large")
+    distinct = [large.groupBy(*by, v).agg(F.lit(1).alias("_one")).groupBy(*by).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] for v in ("x", "y")]
+    if min(distinct) > few:
+        resamples = _by_rows(large, base, n_boot)
+    else:  # the correlation is the same with the columns exchanged
+        turned = large if distinct[0] <= distinct[1] else large.select(*by, F.col("y").alias("x"), F.col("x").alias("y"), "c", "h")
+        resamples = _by_ranges(turned, base, n_boot, max(per_range, 80 * min(distinct)))
     drawn = F.when(F.col("b") >= 0, F.col("rho"))
-    big = s.withColumn("rho", rho).groupBy(*by).agg(F.max(F.when(F.col("b") < 0, F.col("s0"))).cast("bigint").alias("n"), F.max(F.when(F.col("b") < 0, F.col("rho"))).alias("spearman_rho"), F.percentile(drawn, F.lit(0.025)).alias("ci_low"), F.percentile(drawn, F.lit(0.975)).alias("ci_high"))
+    big = resamples.groupBy(*by).agg(F.max(F.when(F.col("b") < 0, F.col("n"))).cast("bigint").alias("n"), F.max(F.when(F.col("b") < 0, F.col("rho"))).alias("spearman_rho"), F.percentile(drawn, F.lit(0.025)).alias("ci_low"), F.percentile(drawn, F.lit(0.975)).alias("ci_high"))
     return small.unionByName(big.select(*[f.name for f in schema]))
 
 
-def resample_weights(h: np.ndarray, c: np.ndarray, n_boot: int, at_once: int = 100) -> Iterator[np.ndarray]:
-    """Weights (cell x resample) of cells of c rows, in blocks of resamples: Poisson(c) by the cell's hash and block."""
-    for start in range(0, n_boot, at_once):
+def _same(by: Sequence[str], on: Column | None = None) -> Column:
+    """Each of `by` like the column of that name with _ before it, nulls too."""
+    cond = F.lit(True) if on is None else on
+    for k in by:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return cond
+
+
+def _by_ranges(cells: DataFrame, base: Sequence[T.StructField], n_boot: int, per_range: int) -> DataFrame:
+    """(base, b, n, rho) of every resample, -1 being the data. x has few distinct values.
+
+    A group is divided into ranges of y of about `per_range` cells. A task ranks y within its range, for every resample,
+    and returns per x value the sums of weights and of weighted ranks. What the ranges before weigh is added when the
+    ranges of a group are put together, a block of resamples in a task; so no weight is ever written."""
+    by = [f.name for f in base]
+    counts = cut(cells.groupBy(*by, "y").agg(F.count("*").alias("m")), "counts")
+    placed = running_offset(counts, by, spread_key(counts, "y"), F.col("m"), ties=["y"], name="_o")
+    ranges = placed.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("y").alias("_v"), F.floor(F.col("_o") / per_range).cast("int").alias("q"))
+    ranged = cells.join(ranges, _same(by, F.col("y") == F.col("_v"))).drop("_v", *[f"_{k}" for k in by])
+    double = T.ArrayType(T.DoubleType())
+    part = T.StructType([*base, *(T.StructField(c, T.IntegerType()) for c in ("q", "b")), *(T.StructField(c, double) for c in ("xs", "w", "wr", "t"))])
+
+    def sums(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["y", "x"])
+        c, h = g["c"].to_numpy(), g["h"].to_numpy()
+        xs, px = np.unique(g["x"].to_numpy(), return_inverse=True)
+        py = np.unique(g["y"].to_numpy(), return_inverse=True)[1]
+        starts = np.flatnonzero(np.diff(py, prepend=-1))
+        cuts = [0]
+        for s in starts:  # about 2000 cells at a time, a value of y never divided
+            if s - cuts[-1] >= 2000:
+                cuts.append(int(s))
+        out: dict[int, list[np.ndarray]] = {}
+        for lo, hi in zip(cuts, [*cuts[1:], len(g)]):
+            x, runs = px[lo:hi], np.flatnonzero(np.diff(py[lo:hi], prepend=-1))
+            run, order = py[lo:hi] - py[lo], np.argsort(x, kind="stable")
+            heads = np.flatnonzero(np.diff(x[order], prepend=-1))
+            here, b = x[order][heads], -1
+            for w in [c[lo:hi, None], *resample_weights(h[lo:hi], c[lo:hi], n_boot)]:
+                k, w = w.shape[1], w.astype(float)
+                if b not in out:
+                    out[b] = [np.zeros((len(xs), k)), np.zeros((len(xs), k)), np.zeros(k), np.zeros(k)]
+                a, r, t, before = out[b]
+                m = np.add.reduceat(w, runs, axis=0)
+                rank = before + np.cumsum(m, axis=0) - (m - 1) / 2
+                a[here] += np.add.reduceat(w[order], heads, axis=0)
+                r[here] += np.add.reduceat((w * rank[run])[order], heads, axis=0)
+                t += (m * m * m - m).sum(0)
+                before += m.sum(0)
+                b = b + k
+        rows = [{"b": b, "xs": xs, "w": a.ravel(), "wr": r.ravel(), "t": t} for b, (a, r, t, _) in out.items()]
+        return pd.DataFrame(rows).assign(q=g["q"].iloc[0], **{k: g[k].iloc[0] for k in by})[part.names]
+
+    def together(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("q")
+        xs, k = np.unique(np.concatenate(g["xs"].tolist())), len(g["t"].iloc[0])
+        a, r, t, n = np.zeros((len(xs), k)), np.zeros((len(xs), k)), np.zeros(k), np.zeros(k)
+        for own, w, wr, ties in zip(g["xs"], g["w"], g["wr"], g["t"]):
+            at, w = np.searchsorted(xs, own), np.reshape(w, (-1, k))
+            a[at] += w
+            r[at] += np.reshape(wr, (-1, k)) + n * w
+            t += ties
+            n += w.sum(0)
+        middle = (n + 1) / 2
+        rx = np.cumsum(a, axis=0) - (a - 1) / 2 - middle
+        va, vc = (a * rx * rx).sum(0), (n * n * n - n - t) / 12
+        ok = (va > 1e-6) & (vc > 1e-6)
+        rho = np.where(ok, (rx * (r - middle * a)).sum(0) / np.sqrt(np.where(ok, va * vc, 1.0)), np.nan)
+        out = pd.DataFrame({"b": np.arange(k, dtype="int32") + int(g["b"].iloc[0]), "n": n, "rho": [None if math.isnan(v) else v for v in rho]})
+        return out.assign(**{c: g[c].iloc[0] for c in by})[[*by, "b", "n", "rho"]]
+
+    tasks = -(-2 * cells.count() // per_range)  # small rows, much to compute: adaptive execution would put them together
+    parts = ranged.repartition(tasks, *by, "q").groupBy(*by, "q").applyInPandas(sums, part)
+    return parts.groupBy(*by, "b").applyInPandas(together, T.StructType([*base, T.StructField("b", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in ("n", "rho"))]))
+
+
+def _by_rows(cells: DataFrame, base: Sequence[T.StructField], n_boot: int, at_once: int = 25) -> DataFrame:
+    """As `_by_ranges`, for any number of distinct values: a row per cell and resample in which it occurs, ranked by
+    bucketed running sums. `at_once` resamples lie on disk at a time."""
+    by = [f.name for f in base]
+    drawn_schema = T.StructType([*base, *(T.StructField(c, T.DoubleType()) for c in ("x", "y")), T.StructField("b", T.IntegerType()), T.StructField("w", T.LongType())])
+    key = [*by, "b"]
+
+    def some(first: int) -> DataFrame:
+        def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for start in range(0, len(f), 1000):
+                    g = f.iloc[start : start + 1000]
+                    c = g["c"].to_numpy()
+                    b = first if first < 0 else first // 100 * 100
+                    for w in [c[:, None]] if first < 0 else resample_weights(g["h"].to_numpy(), c, min(n_boot, b + 100), first=b):
+                        w = w if first < 0 else w[:, first - b : first - b + at_once]
+                        i, j = np.nonzero(w)
+                        yield pd.DataFrame({**{k: g[k].to_numpy()[i] for k in by}, "x": g["x"].to_numpy()[i], "y": g["y"].to_numpy()[i], "b": (first + j).astype("int32"), "w": w[i, j].astype("int64")})
+
+        drawn = ranked = cut(cells.mapInPandas(draw, drawn_schema), "drawn")
+        written = [drawn]
+        for v in ("x", "y"):
+            counts = cut(drawn.groupBy(*key, v).agg(F.sum("w").alias("m")), "counts")
+            written.append(counts)
+            placed = running_offset(counts, key, spread_key(counts, v), F.col("m"), ties=[v], name="_o")
+            rank = placed.select(*[F.col(k).alias(f"_{k}") for k in key], F.col(v).alias("_v"), (F.col("_o") + (F.col("m") + 1) / 2).alias(f"r{v}"))
+            ranked = ranked.join(rank, _same(key, F.col(v) == F.col("_v"))).drop("_v", *[f"_{k}" for k in key])
+        a, c, w = F.col("rx"), F.col("ry"), F.col("w").cast("double")
+        middle = (F.col("n") + 1) / 2
+        s = ranked.groupBy(*key).agg(F.sum(w).alias("n"), F.sum(w * a * c).alias("s1"), F.sum(w * a * a).alias("s2"), F.sum(w * c * c).alias("s3"))
+        va, vc = (F.col(v) - F.col("n") * middle * middle for v in ("s2", "s3"))
+        out = cut(s.select(*key, "n", F.when((va > 1e-6) & (vc > 1e-6), (F.col("s1") - F.col("n") * middle * middle) / F.sqrt(va * vc)).alias("rho")), "resamples")
+        release(*written)
+        release_shuffles(cells.sparkSession)
+        return out
+
+    return reduce(DataFrame.unionByName, [some(b) for b in (-1, *range(0, n_boot, at_once))])
+
+
+def resample_weights(h: np.ndarray, c: np.ndarray, n_boot: int, at_once: int = 100, first: int = 0) -> Iterator[np.ndarray]:
+    """Weights (cell x resample) of cells of c rows, in blocks of resamples: Poisson(c) by the cell's hash and block. The
+    blocks begin with the one at `first`."""
+    for start in range(first, n_boot, at_once):
         k = min(at_once, n_boot - start)
         yield np.stack([np.random.default_rng([int(x) & 0x7FFFFFFFFFFFFFFF, start]).poisson(n, k) for x, n in zip(h, c)])
 

@@ -102,6 +102,30 @@ def test_one_interval_wherever_it_is_computed(spark):
     assert one["a"].spearman_rho == pytest.approx(p[p.g == "a"].x.rank().corr(p[p.g == "a"].y.rank()))
 
 
+def test_large_groups_write_no_row_per_resample(spark, monkeypatch):
+    """Resamples in ranges of y, with x and y exchanged and as rows a few at a time: the interval of one task, and a row
+    per cell and resample in the last case only, released when it is used."""
+    rng = np.random.default_rng(5)
+    p = pd.DataFrame({"g": np.where(np.arange(9000) % 3, "a", None), "x": rng.integers(0, 7, 9000) / 3, "y": rng.permutation(9000) // 2 / 7})
+    df = spark.createDataFrame(p.assign(y=p["y"] + p["x"].round()))
+    cut, written, released = stats.cut, [], []
+    monkeypatch.setattr(stats, "cut", lambda d, name="cut": written.append((name, cut(d, name))) or written[-1][1])
+    monkeypatch.setattr(stats, "release", lambda *t: released.extend(t))
+    get = lambda *columns, **k: {r.g: tuple(r)[1:] for r in stats.bootstrap_spearman(df, *columns, ["g"], "y", 30, **k).collect()}
+    want = get("x", "y")
+    assert set(want) == {"a", None} and want["a"][0] == 6000
+    for columns in (("x", "y"), ("y", "x")):
+        got = get(*columns, exact_rows=2000, per_range=500)
+        for g in want:
+            assert got[g][:2] == pytest.approx(want[g][:2], abs=1e-9) and got[g][2:] == pytest.approx(want[g][2:], abs=1e-9 if columns[0] == "x" else 0.03)
+    assert max(t.count() for _, t in written) <= len(p)
+    written.clear()
+    got = get("x", "y", exact_rows=2000, few=1)
+    assert all(got[g] == pytest.approx(want[g], abs=1e-9) for g in want)
+    drawn = [t for name, t in written if name == "drawn"]
+    assert len(drawn) == 3 and {id(t) for t in drawn} <= {id(t) for t in released} and max(t.count() for t in drawn) < 26 * len(p)
+
+
 def test_a_resample_is_ranked_by_its_own_counts():
     x, y, w = np.array([0, 0, 1, 2, 2]), np.array([1, 0, 1, 2, 0]), np.array([[2.0], [0.0], [1.0], [3.0], [1.0]])
     rows = np.repeat(np.arange(5), w[:, 0].astype(int))
