@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text
@@ -27,23 +26,20 @@ def query(f):
 # --- sheets: the lists as wide sheets of about a hundred participants each, read as sheets are
 
 
-def _sheets(spark: SparkSession, d: str, cells: DataFrame, per_sheet: int = 100) -> list[DataFrame]:
-    """`cells` (participant_id, row_idx, label, value) and the participants' metadata rows as wide sheets."""
-    p = cut(base.participants(spark, d).filter("participant_id IS NOT NULL").withColumn("sheet", F.pmod(F.xxhash64("participant_id"), F.lit(10**6))), "participants")
-    n = -(-p.count() // per_sheet)
+def _sheets(spark: SparkSession, d: str, cells: DataFrame, per_sheet: int = 100) -> tuple[DataFrame, DataFrame]:
+    """`cells` (participant_id, row_idx, label, value) and the participants' metadata rows as wide sheets: a stack of all of
+    them and its header, as `sheets.split_rows` takes them."""
+    found = cut(base.participants(spark, d).filter("participant_id IS NOT NULL").drop("responses"), "participants")
+    n = max(1, -(-found.count() // per_sheet))
+    p = found.withColumn("sheet", F.pmod(F.xxhash64("participant_id"), F.lit(n))).withColumn("place", F.row_number().over(Window.partitionBy("sheet").orderBy("participant_id")) - 1)
+    p = cut(p, "placed")
     values = [("Gender:", F.col("gender")), ("Age:", F.col("age").cast("string")), ("Kategori:", F.col("diagnosis")), ("MMSE", F.col("mmse").cast("string"))]
-    meta = p.select("participant_id", F.inline(F.array(*[F.struct(F.lit(10**6 + i).cast("bigint").alias("row_idx"), F.lit(k).alias("label"), v.alias("value")) for i, (k, v) in enumerate(values)])))
-    rows = cut(cells.select("participant_id", F.col("row_idx").cast("bigint").alias("row_idx"), "label", "value").unionByName(meta).join(p.select("participant_id", F.pmod("sheet", F.lit(n)).alias("sheet")), "participant_id"), "cells")
-    out = []
-    for i in range(n):
-        users = sorted(r[0] for r in p.filter(F.pmod("sheet", F.lit(n)) == i).select("participant_id").collect())  # the columns of one sheet
-        if users:
-            out.append(rows.filter(F.col("sheet") == i).groupBy("row_idx", "label").pivot("participant_id", users).agg(F.first("value")))
-    return out
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    meta = p.select("sheet", "place", F.inline(F.array(*[F.struct(F.lit(10**6 + i).cast("bigint").alias("row_idx"), F.lit(k).alias("label"), v.alias("value")) for i, (k, v) in enumerate(values)])))
+    rows = cells.join(p.select("participant_id", "sheet", "place"), "participant_id").select("sheet", "place", F.col("row_idx").cast("bigint").alias("row_idx"), "label", "value").unionByName(meta)
+    width = 1 + (p.agg(F.max("place")).first()[0] or 0)  # the columns of the widest sheet
+    wide = rows.repartition("sheet", "row_idx").groupBy("sheet", "row_idx", "label").pivot("place", list(range(width))).agg(F.first("value"))
+    header = p.groupBy("sheet").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "participant_id"))), lambda u: u["participant_id"]).alias("users"))
+    return cut(wide, "sheets"), header
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:
@@ -52,12 +48,12 @@ def _lists(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def sheet_words(spark: SparkSession, d: str) -> DataFrame:
-    return _union([sheets.load_svf(s)[0] for s in _sheets(spark, d, _lists(spark, d))]).withColumn("pos", F.col("pos").cast("bigint"))
+    return sheets.load_svf(*_sheets(spark, d, _lists(spark, d)))[0].drop("sheet").withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query
 def sheet_meta(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_union([sheets.load_svf(s)[1] for s in _sheets(spark, d, _lists(spark, d))]))
+    return rounded(sheets.load_svf(*_sheets(spark, d, _lists(spark, d)))[1].drop("sheet"))
 
 
 @query
@@ -65,14 +61,14 @@ def sheet_triplets(spark: SparkSession, d: str) -> DataFrame:
     """The words of a list in cells of three; every fifth word is marked as a name, a cell of only empty words is empty."""
     w = base.words(spark, d).filter(~F.col("word").contains(",")).withColumn("raw", F.when(F.char_length("word") % 5 == 0, F.concat(F.lit("<"), "word", F.lit(">"))).otherwise(F.col("word")))
     cells = w.groupBy("participant_id", F.expr("pos div 3").alias("row_idx")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda x: x["raw"]), ", ").alias("value")).withColumn("label", F.lit("x"))
-    return _union([sheets.load_fas(s)[0] for s in _sheets(spark, d, cells)]).withColumn("pos", F.col("pos").cast("bigint"))
+    return sheets.load_fas(*_sheets(spark, d, cells))[0].drop("sheet").withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query
 def sheet_answers(spark: SparkSession, d: str) -> DataFrame:
     """The n-th words of all lists as answers to one item, with an item row that ends in a colon."""
     w = base.words(spark, d).select("participant_id", F.col("pos").alias("row_idx"), F.concat(F.lit(" Item "), F.col("pos").cast("string"), F.when(F.col("pos") == 3, ": ").otherwise(" ")).alias("label"), F.when(F.col("word") == "ko", "nan").otherwise(F.col("word")).alias("value"))
-    rows = _union([sheets.load_bnt(s)[0] for s in _sheets(spark, d, w)])
+    rows = sheets.load_bnt(*_sheets(spark, d, w))[0]
     return rows.filter("raw_response IS NOT NULL").select("gold", "participant_id", "raw_response", F.col("item_pos").cast("bigint").alias("item_pos"))
 
 

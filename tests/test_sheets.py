@@ -1,10 +1,12 @@
 import zipfile
+from datetime import datetime
 
 import pytest
+from compare import same_rows
 from pyspark.sql import functions as F
 
 from lexspark.__main__ import main
-from lexspark.plans import pipelines
+from lexspark.plans import pipelines, workflows
 from lexspark.sources import sheets, tables, xlsx
 
 
@@ -78,6 +80,44 @@ def test_fas_stops_at_the_first_null(sheet, spark, tmp_path):
     assert tuple(out.columns) == tables.FAS_COLUMNS and r["User-1"].total_fas_score == 3 and r["User-2.1"].proper_nouns_count == 3
 
 
+def test_a_stack_of_sheets_is_read_as_each_of_them(spark):
+    """Two sheets of different widths that share a name, with their metadata at different rows."""
+    meta = lambda at, n: [(at + i, k, *([v] * n)) for i, (k, v) in enumerate((("Gender:", "F"), ("Age:", str(at)), ("Category:", "HC"), ("MMSE", "29")))]
+    one = [(1, "a", "Hund", "nan", "ko"), (2, "b", "<Fia>, al", "x", None), *meta(3, 3)]
+    two = [(1, "a", "katt"), (2, "b", "Fia,,s"), (3, "c:", "häst"), *meta(5, 1)]
+    names = ["User-1", "note", "User-2"], ["User-1"]
+    each = [spark.createDataFrame(rows, f"row_idx long, label string, {', '.join(f'`{u}` string' for u in users)}") for rows, users in zip((one, two), names)]
+    stack = spark.createDataFrame([(i, *r, *[None] * (5 - len(r))) for i, rows in enumerate((one, two)) for r in rows], "sheet long, row_idx long, label string, `0` string, `1` string, `2` string")
+    header = spark.createDataFrame(list(enumerate(names)), "sheet long, users array<string>")
+    rows = lambda df: sorted(map(str, df.collect()))
+    for load in (sheets.load_bnt, sheets.load_svf, sheets.load_fas):
+        for k in (0, 1):
+            got, want = load(stack, header)[k], [load(s)[k].withColumn("sheet", F.lit(i).cast("long")) for i, s in enumerate(each)]
+            assert rows(got.select(want[0].columns)) == rows(want[0].union(want[1])) != []
+    with pytest.raises(ValueError, match="metadata"):
+        sheets.load_svf(stack.filter("sheet = 0 OR row_idx < 4"), header)
+    with pytest.raises(ValueError, match="User"):
+        sheets.load_svf(stack, header.filter("sheet = 0").union(spark.createDataFrame([(1, ["note"])], header.schema)))
+    with pytest.raises(ValueError, match="columns"):
+        sheets.load_svf(stack.drop("2"), header)
+
+
+@pytest.mark.parametrize("name", ["sheet_meta"])
+def test_steps_do_not_grow_with_the_sheets(spark, tmp_path, name):
+    """One sheet of 90 participants or eleven of a hundred: as many jobs, the rows of the SQL."""
+    jobs = []
+    for k, n in enumerate((90, 1100)):
+        rows = [(f"User-{i}", [f"Ord {i % 7}", None, "nan", f" ko{i % 3} "], "F", 60.0 + i % 9, "hc", None, "a", datetime(2024, 1, 1)) for i in range(n)]
+        spark.createDataFrame(rows, "participant_id string, responses array<string>, gender string, age double, diagnosis string, mmse double, source_file string, loaded_at timestamp").write.parquet(f"{tmp_path}/{k}/svf_participant.parquet")
+        spark.sparkContext.setJobGroup(f"{name}-{n}", name)
+        try:
+            same_rows(spark, f"{tmp_path}/{k}", workflows.QUERIES[name], workflows.SQL[name])
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"{name}-{n}")))
+    assert 0 < jobs[1] <= jobs[0] + 3
+
+
 def test_no_user_columns_or_metadata(spark):
     with pytest.raises(ValueError):
         sheets.user_columns(spark.createDataFrame([(1, "a")], "row_idx long, x string"))
