@@ -100,7 +100,8 @@ def _split_stack(stack: DataFrame, header: DataFrame) -> tuple[DataFrame, DataFr
         raise ValueError("no metadata row")
     if (faults["width"] or 0) > len(places):
         raise ValueError("a header has more names than the stack has columns")
-    cells = rows.join(heads, "sheet").select("sheet", "row_idx", "label", "_first", F.inline(F.arrays_zip("participant_id", "value")))
+    # without the hint the stack, small as a file, is broadcast; hashed is the header
+    cells = rows.join(heads.hint("shuffle_hash"), "sheet").select("sheet", "row_idx", "label", "_first", F.inline(F.arrays_zip("participant_id", "value")))
     cells = _nulled(cells.filter(F.col("participant_id").startswith("User")))
     meta = cells.drop("_first").filter(F.col("label").rlike(META_LABEL)).withColumn("field", meta_key(F.col("label")))
     return cells.filter(F.col("row_idx") < F.col("_first")).drop("_first"), meta

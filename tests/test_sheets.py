@@ -102,7 +102,7 @@ def test_a_stack_of_sheets_is_read_as_each_of_them(spark):
         sheets.load_svf(stack.drop("2"), header)
 
 
-@pytest.mark.parametrize("name", ["sheet_meta"])
+@pytest.mark.parametrize("name", ["sheet_words", "sheet_meta"])
 def test_steps_do_not_grow_with_the_sheets(spark, tmp_path, name):
     """One sheet of 90 participants or eleven of a hundred: as many jobs, the rows of the SQL."""
     jobs = []
@@ -116,6 +116,8 @@ def test_steps_do_not_grow_with_the_sheets(spark, tmp_path, name):
             spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"{name}-{n}")))
     assert 0 < jobs[1] <= jobs[0] + 3
+    plan = workflows.QUERIES[name](spark, f"{tmp_path}/1")._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan.split("ShuffledHashJoin")[0]
 
 
 def test_no_user_columns_or_metadata(spark):
