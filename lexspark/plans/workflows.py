@@ -37,7 +37,8 @@ def _sheets(spark: SparkSession, d: str, cells: DataFrame, per_sheet: int = 100)
     meta = p.select("sheet", "place", F.inline(F.array(*[F.struct(F.lit(10**6 + i).cast("bigint").alias("row_idx"), F.lit(k).alias("label"), v.alias("value")) for i, (k, v) in enumerate(values)])))
     rows = cells.join(p.select("participant_id", "sheet", "place"), "participant_id").select("sheet", "place", F.col("row_idx").cast("bigint").alias("row_idx"), "label", "value").unionByName(meta)
     width = 1 + (p.agg(F.max("place")).first()[0] or 0)  # the columns of the widest sheet
-    wide = rows.repartition("sheet", "row_idx").groupBy("sheet", "row_idx", "label").pivot("place", list(range(width))).agg(F.first("value"))
+    cell = F.map_from_entries(F.collect_list(F.struct("place", "value")))  # a pivot costs four times as much with so many columns
+    wide = rows.repartition("sheet", "row_idx").groupBy("sheet", "row_idx", "label").agg(cell.alias("c")).select("sheet", "row_idx", "label", *[F.try_element_at("c", F.lit(i)).alias(str(i)) for i in range(width)])
     header = p.groupBy("sheet").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "participant_id"))), lambda u: u["participant_id"]).alias("users"))
     return cut(wide, "sheets"), header
 
